@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import langid, media, secrets
+from marlstone.llm import langid, lines, media, mixing, neardup, secrets
 from marlstone.llm.common import held_out
 
 
@@ -15,12 +15,35 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "mirrored", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+LINE_SQL = """
+WITH l AS (SELECT doc_id, source, trim(u.x, ' ') AS line, u.x AS raw, u.i FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i) u),
+b AS (SELECT line FROM l WHERE length(line) >= 8 GROUP BY line HAVING count(DISTINCT source) >= 10),
+m AS (SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS hit, sum(length(raw)) AS chars, coalesce(sum(length(raw)) FILTER (b.line IS NOT NULL), 0) AS gone, string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS rest FROM l LEFT JOIN b USING (line) GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN gone > 0.5 * chars THEN 0 ELSE coalesce(hit, 0) END AS n_removed,
+  coalesce(gone > 0.5 * chars, false) AS mirrored, md5(CASE WHEN hit > 0 AND gone <= 0.5 * chars THEN coalesce(rest, '') ELSE text END) AS text_md5
+FROM documents LEFT JOIN m USING (doc_id)
+"""
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
     return langid.predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), params=neardup.Params(words=4))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(_table(spark, sf_dir, "documents")))
 
@@ -37,8 +60,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_langid, op9_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_langid, op7_neardup, op9_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINE_SQL}
