@@ -79,15 +79,32 @@ def dual_rates(histogram: Column, target: Column, total: Column, mean: Column, c
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, lambda s: s["m"])
 
 
-def mix(df: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, chunk: int = 16384, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def rounded_copies(docs: Column) -> Column:
+    """Whole copies for an array of documents (largest first): ``floor(rate)`` or one more.
+
+    The running sum of what the rates ask for decides: a document gets the further copy if that
+    brings the words taken nearer to it. Later, smaller documents make up for earlier errors.
+    """
+
+    def add(s: Column, d: Column) -> Column:
+        base = F.floor(d["rate"])
+        asked = s["asked"] + d["rate"] * d["size"]
+        more = (d["rate"] > base) & (s["taken"] + base * d["size"] + d["size"] / 2 <= asked)
+        copies = (base + more.cast("int")).cast("int")
+        return F.struct(asked.alias("asked"), (s["taken"] + copies * d["size"]).cast("double").alias("taken"), F.concat(s["copies"], F.array(copies)).alias("copies"))
+
+    empty = F.array().cast("array<int>")
+    return F.aggregate(docs, F.struct(F.lit(0.0).alias("asked"), F.lit(0.0).alias("taken"), empty.alias("copies")), add, lambda s: s["copies"])
+
+
+def mix(df: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cap: float = 3.0, chunk: int = 1024, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """``doc_id, size, source_size, target, rate, copies, taken`` for every row of ``df``.
 
     ``targets(source, target)`` gives words per source; without it, sources share all words by
     cyclic weights, capped at ``cap`` times what they have. Sources missing in it take nothing.
-    A source takes every document ``floor(rate)`` times; the rest of its target is filled with
-    further copies in the order of ``hash / fraction`` until the next one does not fit, then with
-    those that still fit, and last by one that overshoots if that comes nearer. A source is dealt into chunks of about ``chunk`` documents by a hash of
-    the id, each with its share of the target, so a source with a third of all rows is no single group.
+    Rates become whole copies largest document first, each error carried on to the next. A source
+    is dealt into chunks of about ``chunk`` documents by a hash of the id, each rounded on its own,
+    so a source with a third of all rows is no single group.
 
     Null and empty texts have size 0 and take 0 words. A null source is a source. Ties and
     repeated rows are distinct documents; null ids too. Reruns agree. An empty table gives no rows.
@@ -107,19 +124,9 @@ def mix(df: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id",
 
     rate = F.when((F.col("target") <= 0) | (F.col("size") == 0), 0.0).when(F.col("__m").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), F.exp(F.col("__m") * F.sqrt(F.col("size") / F.col("__mean")))))
     docs = base.join(solved, _KEY).withColumn("rate", rate)
-    docs = docs.withColumns({"__base": F.floor("rate").cast("int"), "__u": (F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 12) + 1) / float(2**52), "__chunk": F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.ceil(F.col("__docs") / chunk))})
-    docs = docs.withColumn("__part", F.col("rate") - F.col("__base"))
-    group = Window.partitionBy(*_KEY, "__chunk")
-    in_order = group.orderBy(F.when(F.col("__part") > 0, F.col("__u") / F.col("__part")).asc_nulls_last(), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    docs = docs.withColumns({"__left": F.sum(F.col("__part") * F.col("size")).over(group), "__more": F.lit(False)})
-    for _ in range(4):
-        fits = ~F.col("__more") & (F.col("__part") > 0) & (F.col("size") <= F.col("__left"))
-        docs = docs.withColumn("__fits", fits)
-        docs = docs.withColumn("__now", F.col("__fits") & (F.sum(F.when(F.col("__fits"), F.col("size")).otherwise(0)).over(in_order) <= F.col("__left")))
-        docs = docs.withColumn("__left", F.col("__left") - F.sum(F.when(F.col("__now"), F.col("size")).otherwise(0)).over(group)).withColumn("__more", F.col("__more") | F.col("__now"))
-    miss = F.abs(F.col("size") - F.col("__left"))
-    better = ~F.col("__more") & (F.col("__part") > 0) & (miss < F.col("__left"))
-    nearest = F.row_number().over(group.orderBy(F.when(better, miss).asc_nulls_last(), "__u", "doc_id", "size"))
-    docs = docs.withColumn("__more", F.col("__more") | (better & (nearest == 1)))
-    copies = (F.col("__base") + F.col("__more").cast("int")).alias("copies")
-    return docs.select("doc_id", "size", "source_size", "target", "rate", copies, (copies * F.col("size")).cast("long").alias("taken"))
+    docs = docs.withColumn("__chunk", F.pmod(F.xxhash64(F.lit(3), "doc_id", "size"), F.ceil(F.col("__docs") / chunk)))
+    one = F.struct((-F.col("size")).alias("key"), F.xxhash64("doc_id", "size").alias("u"), "doc_id", "size", "rate")
+    grouped = docs.groupBy(*_KEY, "__chunk").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.array_sort(F.collect_list(one)).alias("__docs"))
+    chosen = grouped.withColumn("__copies", rounded_copies(F.col("__docs"))).select("source_size", "target", F.explode(F.arrays_zip("__docs", "__copies")).alias("x"))
+    copies = F.col("x.__copies").alias("copies")
+    return chosen.select("x.__docs.doc_id", "x.__docs.size", "source_size", "target", "x.__docs.rate", copies, (copies * F.col("x.__docs.size")).cast("long").alias("taken"))
