@@ -24,6 +24,21 @@ def ascii_lower(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def plain_words(text: Column) -> Column:
+    """Runs of digits, letters and non-ASCII characters, A-Z in lower case; null for null."""
+    return F.array_remove(F.split(ascii_lower(text), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+
+
+def row_key(*columns: str) -> list[Column]:
+    """128 bits that stand for a row's id and text, never null, so that null and repeated ids join safely."""
+    return [F.xxhash64(*columns).alias("__k1"), F.xxhash64(F.lit(5), *reversed(columns)).alias("__k2")]
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted to have at most ``most_rows`` rows; else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Apply ``fn(*columns)``, which takes a batch's columns as lists, to Arrow batches.
 

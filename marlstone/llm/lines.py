@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.common import row_key
 from marlstone.session import materialise
 
 
@@ -48,10 +49,10 @@ def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     df = df.drop("n_lines", "n_removed", "mirrored")
     boilerplate = spread_lines(df, text_col, site_col, min_sites, min_chars)
-    row_key = [F.xxhash64(id_col, text_col).alias("__k1"), F.xxhash64(F.lit(5), F.col(text_col), F.col(id_col)).alias("__k2")]
-    occurring = df.select(*row_key, F.explode(_lines(F.col(text_col))).alias("line")).filter(F.char_length("line") >= min_chars).select("__k1", "__k2", _line_key(F.col("line")).alias("k")).select("__k1", "__k2", "k.h1", "k.h2")
+    key = row_key(id_col, text_col)
+    occurring = df.select(*key, F.explode(_lines(F.col(text_col))).alias("line")).filter(F.char_length("line") >= min_chars).select("__k1", "__k2", _line_key(F.col("line")).alias("k")).select("__k1", "__k2", "k.h1", "k.h2")
     hits = occurring.join(boilerplate, ["h1", "h2"]).groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
-    joined = df.select("*", *row_key).join(hits, ["__k1", "__k2"], "left")
+    joined = df.select("*", *key).join(hits, ["__k1", "__k2"], "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~(F.array_contains("__gone", _line_key(F.trim(x))) & (F.char_length(F.trim(x)) >= min_chars)))
     chars = lambda a: F.char_length(F.array_join(a, ""))

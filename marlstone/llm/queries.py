@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import langid, lines, media, mixing, neardup, secrets
+from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, secrets
 from marlstone.llm.common import held_out
 
 
@@ -40,10 +40,33 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), params=neardup.Params(words=4))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+DECONTAM_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, least(13, len(ws)) AS k, array_to_string(list_slice(ws, s, s + least(13, len(ws)) - 1), ' ') AS win FROM i, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS s) u WHERE len(ws) > 0),
+p AS (SELECT doc_id, ws, k.k, unnest(range(1, len(ws) - k.k + 2)) AS s FROM d, (SELECT DISTINCT k FROM w) k WHERE len(ws) >= k.k),
+h AS (SELECT doc_id, s, p.k, item_id FROM p JOIN w ON p.k = w.k AND array_to_string(list_slice(ws, s, s + p.k - 1), ' ') = win),
+n AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS x FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.describe(media.store(_table(spark, sf_dir, "documents")))
 
@@ -60,8 +83,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_langid, op7_neardup, op9_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_langid, op5_licenses, op7_neardup, op8_decontam, op9_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_SQL}
+    return {"op2_line_dedup": LINE_SQL, "op8_decontam": DECONTAM_SQL}
