@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, secrets
+from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, quality, secrets, substrings
 from marlstone.llm.common import held_out
 
 
@@ -34,6 +34,12 @@ FROM documents LEFT JOIN m USING (doc_id)
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~held_out(F.col("doc_id"))))
+    return quality.score(docs, model).withColumn("held_out", held_out(F.col("doc_id")))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~held_out(F.col("doc_id"))))
@@ -44,6 +50,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_spans(_table(spark, sf_dir, "documents")).drop("k")
+
+
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), params=neardup.Params(words=4))
 
@@ -83,7 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op4_langid, op5_licenses, op7_neardup, op8_decontam, op9_media, op10_secrets)}
+    return {f.__name__: f for f in (op1_mixing, op2_line_dedup, op3_quality, op4_langid, op5_licenses, op6_substrings, op7_neardup, op8_decontam, op9_media, op10_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
