@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES: tuple[str, ...] = ()
+_MODULES = ("relations", "censuses")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
