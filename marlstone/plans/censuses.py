@@ -10,7 +10,7 @@ from marlstone.functions import text as tx
 from marlstone.operators import census as ce
 from marlstone.plans.catalog import register, table
 
-R4 = "floor({} * 10000 + 0.5) / 10000"
+R4 = "floor(({}) * 10000 + 0.5) / 10000"
 
 
 @register("status_counts", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
