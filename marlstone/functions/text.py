@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def nfc(s: Column) -> Column:
     """Canonical composition. Spark has no built-in for it, so this is an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def compose(x: pd.Series) -> pd.Series:
         return x.str.normalize("NFC")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,9 +124,7 @@ def whiten(df: DataFrame, vec: str, mean: np.ndarray, directions: np.ndarray) ->
     """Vectors without the mean and the leading directions (all but the top)."""
 
     @F.pandas_udf("array<double>")
-    def apply(x):
-        import pandas as pd
-
+    def apply(x: pd.Series) -> pd.Series:
         m = np.array(x.tolist(), np.float64) - mean
         return pd.Series((m - m @ directions.T @ directions).tolist())
 
