@@ -117,14 +117,19 @@ def silhouette(spark, sf):
     return vc.silhouette(_means(spark, sf)).select(round_up(F.col("silhouette"), 4).alias("silhouette"), "n")
 
 
-@register("csls_topk")
+@register("csls_topk", f"""
+WITH {_V}, {_PAIRS}, st AS (SELECT CAST(ceil(count(*) / 1500.0) AS BIGINT) AS stride FROM v), ref AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM v), st WHERE rn % stride = 0),
+rr AS (SELECT query, avg(s) AS r FROM (SELECT query, s, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p WHERE neighbour IN (SELECT vec_id FROM ref)) WHERE rank <= 10 GROUP BY 1),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p) WHERE rank <= 20),
+c AS (SELECT k.query, k.neighbour, floor((2 * s - a.r - b.r) * 1e4 + 0.5) / 1e4 AS score FROM k JOIN rr a ON a.query = k.query JOIN rr b ON b.query = k.neighbour)
+SELECT query, neighbour, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, neighbour) AS rank FROM c) WHERE rank <= 5""")
 def csls_topk(spark, sf):
     """Hubness-corrected neighbours against a stride-sampled reference of at most 1,500 vectors."""
     e = table(spark, sf, "embeddings")
     stride = max(1, -(-e.count() // 1500))
     numbered = e.withColumn("rn", F.row_number().over(Window.orderBy("vec_id")) - 1)
     sample = numbered.filter(F.col("rn") % stride == 0).drop("rn")
-    return vc.csls(_edges(spark, sf, 20), vc.knn_edges(e, sample, 10, same=True), K)
+    return vc.csls(_edges(spark, sf, 20), vc.knn_edges(e, sample, 10, same=True), K).withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("whitened_topk")
@@ -171,7 +176,14 @@ def risk_coverage(spark, sf):
     return out.select("threshold", round_up(F.col("coverage"), 4).alias("coverage"), round_up(F.col("accuracy"), 4).alias("accuracy"))
 
 
-@register("mcnemar")
+def _run_sql(k: int) -> str:
+    return f"k{k} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p) WHERE rank <= {k}), c{k} AS (SELECT query, own, l, count(*) AS n FROM k{k} GROUP BY 1, 2, 3), w{k} AS (SELECT query, arg_min(l, (-n, l)) = own AS ok FROM c{k} GROUP BY query, own)"
+
+
+@register("mcnemar", f"""
+WITH {_V}, {_PAIRS}, {_run_sql(3)}, {_run_sql(5)}, d AS (SELECT count(*) FILTER (w3.ok AND NOT w5.ok) AS b, count(*) FILTER (NOT w3.ok AND w5.ok) AS c FROM w3 JOIN w5 USING (query)),
+x AS (SELECT b, c, CASE WHEN b + c > 0 THEN greatest(abs(b - c) - 1, 0) ** 2 / (b + c) ELSE 0 END AS chi FROM d), t AS (SELECT *, sqrt(chi / 2) AS z, 1 / (1 + 0.3275911 * sqrt(chi / 2)) AS t FROM x)
+SELECT b, c, {_R.format('chi')} AS chi2, {_R.format('((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-z * z)')} AS p FROM t""")
 def mcnemar(spark, sf):
     """k = 3 against k = 5 on the same rows."""
     run = lambda k: _votes(spark, sf, k).select("query", (F.col("predicted") == F.col("own")).alias("correct"))
