@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import map_rows
@@ -28,7 +28,7 @@ class Params:
     percent: int = 80
     bands: int = 24
     rows: int = 4
-    star_rounds: int = 3
+    star_rounds: int = 2
 
     @property
     def samples(self) -> int:
@@ -92,16 +92,20 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return map_rows(texts, ["node", "text"], run, "node binary, shingles array<long>")
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Of candidate pairs (a, b), those whose sketches agree, with the exact counts of their full sets."""
-    odd = nodes.select("node", "odd", F.col("n_shingles").alias("n"))
-    left, right = (odd.select(F.col("node").alias(c), F.col("odd").alias(f"odd_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-    differ = sum((F.bit_count(F.col("odd_a")[i].bitwiseXOR(F.col("odd_b")[i])) for i in range(4)), F.lit(0))
-    low, high = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    likely = materialise(pairs.join(left, "a").join(right, "b").filter((differ <= p.max_bits) & (100 * low >= p.percent * high)).select("a", "b", "n_a", "n_b"))
-    with_sets = likely.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return with_sets.select("a", "b", (100 * both >= p.percent * (F.col("n_a") + F.col("n_b") - both)).alias("linked"))
+def _alike(x: Column, y: Column, p: Params) -> Column:
+    """What a candidate pair must pass before its sets are read: sketches that agree, and sizes that can."""
+    differ = sum((F.bit_count(x["odd"][i].bitwiseXOR(y["odd"][i])) for i in range(4)), F.lit(0))
+    return (100 * F.least(x["n"], y["n"]) >= p.percent * F.greatest(x["n"], y["n"])) & (differ <= p.max_bits)
+
+
+def _linked(both: Column, n_a: Column, n_b: Column, p: Params) -> Column:
+    return 100 * both >= p.percent * (n_a + n_b - both)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Candidate pairs with the verdict on their full sets."""
+    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return with_sets.select("a", "b", "root_a", "root_b", _linked(F.size(F.array_intersect("sa", "sb")), F.col("n_a"), F.col("n_b"), p).alias("linked"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
@@ -110,8 +114,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with equal shingle sets form a class and go on as one. Classes that share a band's
     bucket are candidates: each member is compared with a leader of its bucket, the one with the
     most links so far, and buckets whose members still lie in several components are compared
-    with further leaders; what is left after ``star_rounds`` is compared pair by pair across
-    components only. So no group emits all its pairs, and no link between components is lost.
+    with further leaders; what is left after ``star_rounds`` is compared across components only.
+    So no group emits all its pairs, and no link between components is lost.
     Candidates pass the odd sketch and a size bound, then full sets are intersected.
 
     ``component_id`` is the least id reachable. An empty or null text is linked with nothing. A row
@@ -122,8 +126,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sig = materialise(signatures(df, id_col, text_col, p))
     ok = sig.filter("node is not null and doc_id is not null")
     nodes = materialise(ok.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
-    links = _links(nodes, df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text")), p)
-    roots = nodes.select("node", "doc").join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
+    texts = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    roots = nodes.select("node", "doc").join(_roots(nodes, texts, p), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
     least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
     of_node = materialise(roots.join(least, "root").select("node", "component_id"))
     known = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
@@ -132,42 +136,70 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _links(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+def _cross_links(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
+    """Links (root_a, root_b) between members of one bucket that lie in different components.
+
+    ``members``: key, node, root, n, odd, leader. With h = the leader's set, a document has
+    ``inner`` shingles of it, ``alone`` that none of these documents shares, and
+    ``outer`` others. An intersection is at most min(inner) + min(outer), which rules out nearly
+    all pairs of a large group of near copies by comparing numbers; the pairs that are left come out.
+    """
+    members = materialise(members)
+    live = materialise(sets.join(members.select("node").distinct(), "node", "left_semi"))
+    alone = live.select(F.xxhash64("node").alias("by"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("by").alias("by")).filter("c = 1").groupBy("by").agg(F.count("*").cast("int").alias("alone"))
+    single = live.withColumn("by", F.xxhash64("node")).join(alone, "by", "left").select("node", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
+    ends = members.select("node", "leader").distinct()
+    inner = ends.join(live.select("node", F.col("shingles").alias("sa")), "node").join(live.select(F.col("node").alias("leader"), F.col("shingles").alias("sb")), "leader").select("node", "leader", F.size(F.array_intersect("sa", "sb")).alias("inner"))
+    bounds = materialise(inner.join(single, "node").select("node", "leader", "inner", (F.col("common") - F.col("inner")).alias("outer")))
+    full = members.join(bounds, ["node", "leader"]).filter(100 * (F.col("inner") + F.col("outer")) >= p.percent * F.col("n"))
+    full = full.join(live, "node").select("key", F.struct("node", "root", "odd", "n", "inner", "outer", "shingles").alias("x"))
+    x, y = F.col("x"), F.col("y")
+    pairs = full.join(full.select("key", F.col("x").alias("y")), "key").filter((x["node"] < y["node"]) & (x["root"] != y["root"]))
+    pairs = pairs.filter(_linked(F.least(x["inner"], y["inner"]) + F.least(x["outer"], y["outer"]), x["n"], y["n"], p)).filter(_alike(x, y, p))
+    pairs = pairs.filter(_linked(F.size(F.array_intersect(x["shingles"], y["shingles"])), x["n"], y["n"], p))
+    return pairs.select(x["root"].alias("root_a"), y["root"].alias("root_b"), F.lit(True).alias("linked")).distinct()
+
+
+def _roots(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
+    """``node, root`` of the classes that share a bucket with another."""
     spread = nodes.select("node", F.explode("bands").alias("key"))
     shared = materialise(spread.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     members = materialise(spread.join(shared, "key", "left_semi"))
-    involved = materialise(nodes.select("node", "doc", "text_hash", "n_shingles", "odd").join(members.select("node").distinct(), "node", "left_semi"))
-    wanted = texts.join(involved.select("node", "doc", "text_hash"), ["doc", "text_hash"]).select("node", "text")
+    state = materialise(nodes.select("node", "doc", "text_hash", F.col("n_shingles").alias("n"), "odd").join(members.select("node").distinct(), "node", "left_semi").withColumns({"root": F.col("node"), "degree": F.lit(0)}))
+    wanted = texts.join(state.select("node", "doc", "text_hash"), ["doc", "text_hash"]).select("node", "text")
     sets = materialise(_sets(wanted, p.words).dropDuplicates(["node"]))
-    state = involved.select("node", "doc", F.col("node").alias("root"), F.lit(0).alias("degree"))
-    step, tested = 0, None
+    step, failed = 0, None
     while True:
         last = step >= p.star_rounds
         placed = members.join(state, "node")
-        top = F.max(F.struct("degree", (-F.col("doc")).alias("d"), "node", "root"))
-        mixed = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), top.alias("top")).filter("r0 <> r1")
+        top = F.max(F.struct("degree", (-F.col("doc")).alias("d"), "node", "root", "odd", "n"))
+        mixed = materialise(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), top.alias("leader")).filter("r0 <> r1").select("key", "leader"))
+        if mixed.isEmpty():
+            return state.select("node", "root")
         if last:
-            # What the leaders left apart: pairs across components only, of buckets that still mix them.
-            left = materialise(placed.join(mixed.select("key"), "key", "left_semi").select("key", "node", "root"))
-            other = left.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            pairs = left.join(other, "key").filter("root < root2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+            fresh = materialise(_cross_links(placed.join(mixed.select("key", F.col("leader.node").alias("leader")), "key").select("key", "node", "root", "odd", "n", "leader"), sets, p))
         else:
-            leaders = materialise(mixed.select("key", F.col("top.node").alias("leader"), F.col("top.root").alias("leader_root")))
-            pairs = placed.join(leaders, "key").filter("root <> leader_root").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = materialise(_verify(pairs, involved, sets, p))
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        links = tested.filter("linked").select("a", "b")
+            pairs = placed.join(mixed, "key").filter("root <> leader.root").select(F.struct("node", "root", "odd", "n").alias("u"), F.struct("leader.node", "leader.root", "leader.odd", "leader.n").alias("v"))
+            pairs = pairs.filter(_alike(F.col("u"), F.col("v"), p))
+            swap = F.col("u.node") > F.col("v.node")
+            pairs = pairs.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("y"))
+            pairs = pairs.select(*[F.col(f"{c}.{f}").alias(g) for c, s in (("x", "a"), ("y", "b")) for f, g in (("node", s), ("root", f"root_{s}"), ("n", f"n_{s}"))]).distinct()
+            if failed is not None:
+                pairs = pairs.join(failed, ["a", "b"], "left_anti")
+            fresh = materialise(_verified(pairs, sets, p))
+        # Components of components: only links found in this round, between the roots so far.
+        joined = connected_components(fresh.filter("linked").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+        state = state.join(joined, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
         if last:
-            return links
-        if fresh.filter("linked").isEmpty():
+            return state.select("node", "root")
+        if joined.isEmpty():
             step = p.star_rounds
-            continue
-        step += 1
-        roots = connected_components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("degree"))
-        state = materialise(involved.select("node", "doc").join(roots, "node", "left").join(degree, "node", "left").select("node", "doc", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        else:
+            step += 1
+            more = fresh.filter("linked").select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").cast("int").alias("more"))
+            state = materialise(state.join(more, "node", "left").withColumn("degree", F.col("degree") + F.coalesce("more", F.lit(0))).drop("more"))
+        no = fresh.filter("not linked").select("a", "b")
+        failed = no if failed is None else failed.unionByName(no)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
