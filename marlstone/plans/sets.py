@@ -17,9 +17,18 @@ _NEAR = "greatest(0.0, 1 - abs(a.bpm * {f} - b.bpm) / b.bpm / 0.06)"
 _TEMPO = f"greatest({_NEAR.format(f='1.0::DOUBLE')}, 0.8 * {_NEAR.format(f='2.0::DOUBLE')}, 0.8 * {_NEAR.format(f='0.5::DOUBLE')}, 0.8 * {_NEAR.format(f='1.5::DOUBLE')}, 0.8 * {_NEAR.format(f='(2.0::DOUBLE / 3.0)')})"
 
 
-def _pool(spark, sf):
+def _features(part, grp):
     k = F.col("p_partkey")
-    return table(spark, sf, "part").filter("p_partkey < 1200").select(k.alias("id"), (F.col("p_size") % 8).alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
+    return part.select(k.alias("id"), grp.alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
+
+
+def _pool(spark, sf):
+    return _features(table(spark, sf, "part").filter("p_partkey < 1200"), F.col("p_size") % 8)
+
+
+def _sessions(spark, sf):
+    """All of part. A session is a key range of 1,200 and a size class, so sessions stay bounded as part grows; one per brand would leave each a single artist."""
+    return _features(table(spark, sf, "part"), F.floor(F.col("p_partkey") / 1200) * 8 + F.col("p_size") % 8)
 
 
 def _pairs(spark, sf):
@@ -70,19 +79,19 @@ def transition_types(spark, sf):
 
 @register("set_greedy")
 def set_greedy(spark, sf):
-    return sc.build_chains(_pool(spark, sf), "grp", 25).withColumn("score", round_up(F.col("score"), 4))
+    return sc.build_chains(_sessions(spark, sf), "grp", 25).withColumn("score", round_up(F.col("score"), 4))
 
 
 @register("set_beam")
 def set_beam(spark, sf):
-    return sc.build_chains(_pool(spark, sf), "grp", 25, 8).withColumn("score", round_up(F.col("score"), 4))
+    return sc.build_chains(_sessions(spark, sf), "grp", 25, 8).withColumn("score", round_up(F.col("score"), 4))
 
 
 @register("set_quality")
 def set_quality(spark, sf):
     """The scorecard of the greedy chains."""
-    pool = _pool(spark, sf).select("id", "artist", "arousal")
-    chains = sc.build_chains(_pool(spark, sf), "grp", 25).join(pool, "id")
+    pool = _sessions(spark, sf).select("id", "artist", "arousal")
+    chains = sc.build_chains(_sessions(spark, sf), "grp", 25).join(pool, "id")
     parts = chains.groupBy("grp").agg(F.avg("score").alias("mean"), F.min(F.when(F.col("step") > 0, F.col("score"))).alias("low"), (F.countDistinct("artist") / F.count("*")).alias("variety"), F.abs(F.corr("step", "arousal")).alias("arc"), F.avg((F.col("score") > 0.5).cast("int")).alias("typed"))
     zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
     return parts.select("grp", round_up(sc.quality(zero("mean"), zero("low"), zero("mean"), zero("variety"), zero("arc"), zero("typed")), 4).alias("quality"))

@@ -194,6 +194,18 @@ def test_chain_search_beats_or_equals_greedy(spark):
     assert total(8) >= total(1) > 0
 
 
+def test_sets_are_built_from_all_of_part(spark, tmp_path):
+    from marlstone.plans import catalog
+
+    rows_ = [(i, i % 50, f"Brand#{i % 25}") for i in range(1, 3001)]
+    spark.createDataFrame(rows_, "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    sessions = {(i // 1200) * 8 + size % 8 for i, size, _ in rows_}
+    got = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("set_greedy", "set_beam", "set_quality")}
+    assert all({r["grp"] for r in rows_} == sessions for rows_ in got.values())
+    assert max(r["id"] for r in got["set_greedy"]) >= 2400 and max(r["id"] for r in got["set_beam"]) >= 2400
+    assert all(r["grp"] == r["id"] // 1200 * 8 + r["id"] % 50 % 8 for r in got["set_greedy"])
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "tree/sub").mkdir(parents=True)
     (tmp_path / "tree/sub/a.mp3").write_bytes(b"12345")
