@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
+    done = lines.remove_boilerplate(_table(spark, sf_dir, "documents"), max_share=0.5)  # the share that its SQL states
     return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "mirrored", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 

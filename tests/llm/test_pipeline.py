@@ -42,3 +42,14 @@ def test_line_dedup_matches_its_sql(spark):
         df = queries.queries()[name](spark, SF)
         columns = sorted(df.columns)
         assert sorted(map(tuple, df.select(*columns).collect())) == sorted(con.sql(sql).select(*columns).fetchall())
+
+
+def test_line_dedup_cleans_pages_that_are_mostly_boilerplate(spark):
+    import corpus_pipeline as cp
+
+    banner = "one long banner that stands on every one of the sites, over and over"
+    rows = [(i, f"{banner}\nbody {i}", "en", f"s{i}", 0) for i in range(12)] + [(20, f"{banner}\n \n{banner}", "en", "s0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in dict(cp.STAGES)["line_dedup"](spark, docs, "").collect()}
+    assert all(got[i] == f"body {i}" for i in range(12))
+    assert got[20] == rows[-1][1]  # nothing but such lines: left to near-dedup
