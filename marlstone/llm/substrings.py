@@ -21,7 +21,7 @@ class Chunking:
 
     The 32-bit hash covers the last 32 bytes, so equal passages are cut alike from 32 bytes in,
     whatever was inserted before them. With 5 bits a chunk has about 48 bytes: a passage of 50
-    words shares several. Runs of repeated chunks under ``min_run`` bytes are not reported.
+    words shares one at least, nearly always. Repeated passages under ``min_run`` bytes are not reported.
     """
 
     bits: int = 5
@@ -78,62 +78,161 @@ def chunk(text: str | None, c: Chunking) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, c: Chunking) -> DataFrame:
-    """``doc_id, k, digests, ends, sizes``: a row per document; ``k`` stands for its id and text."""
+    """``doc_id, k, digests, starts, sizes``, in bytes: a row per document; ``k`` stands for its id and text."""
 
     def run(ids: list, keys: list, texts: list) -> list:
         made = [chunk(t, c) for t in texts]
-        lists = [pa.array([m[i] for m in made], pa.list_(t)) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))]
+        starts = [np.cumsum(m[2]) - m[2] for m in made]
+        lists = [pa.array(x, pa.list_(t)) for x, t in (([m[0] for m in made], pa.int64()), (starts, pa.int32()), ([m[2] for m in made], pa.int32()))]
         return [ids, keys, *lists]
 
     source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    return map_rows(source, ["doc_id", "k", "text"], run, f"doc_id {df.schema[id_col].dataType.simpleString()}, k long, digests array<long>, ends array<int>, sizes array<int>")
+    return map_rows(source, ["doc_id", "k", "text"], run, f"doc_id {df.schema[id_col].dataType.simpleString()}, k long, digests array<long>, starts array<int>, sizes array<int>")
+
+
+def _common(a: bytes, i: int, b: bytes, j: int, step: int) -> int:
+    """How many bytes ``a`` from ``i`` and ``b`` from ``j`` agree, rightwards, or leftwards and before them if ``step`` is -1."""
+    most = min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
+    n, size = 0, 64
+    while n < most and size:
+        size = min(size, most - n)
+        x, y = (a[i + n : i + n + size], b[j + n : j + n + size]) if step > 0 else (a[i - n - size : i - n], b[j - n - size : j - n])
+        if x == y:
+            n += size
+            size *= 2
+        else:
+            most = n + size - 1
+            size //= 2
+    return n
+
+
+def matches(text: bytes, other: bytes, at: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Passages ``lo, hi`` of ``text`` that ``other`` holds, and the ``(lo, hi)`` there of each chunk in them.
+
+    ``at``: start, size and start in ``other`` of chunks with equal digests. Each is compared byte
+    by byte and extended both ways as far as the texts agree, but splits no UTF-8 character.
+    Passages that lie within others are left out.
+    """
+    found: list[list] = []
+    last: dict[int, list] = {}  # by the distance between the two places
+    wide = None
+    for s, size, f in sorted(at):
+        delta = f - s
+        same = last.get(delta)
+        if same and s + size <= same[1]:
+            same[2].append((f, same[0] + delta, same[1] + delta))
+            continue
+        # Held already: another place counts only where it agrees further.
+        if wide and wide[0] <= s and s + size <= wide[1]:
+            lo, hi, _ = wide
+            before = lo > 0 and lo + delta > 0 and text[lo - 1] == other[lo - 1 + delta]
+            if not before and not (hi < len(text) and hi + delta < len(other) and text[hi] == other[hi + delta]):
+                continue
+        if text[s : s + size] != other[f : f + size]:
+            continue
+        lo, hi = s - _common(text, s, other, f, -1), s + size + _common(text, s + size, other, f + size, 1)
+        while text[lo] & 0xC0 == 0x80:
+            lo += 1
+        while hi < len(text) and text[hi] & 0xC0 == 0x80:
+            hi -= 1
+        last[delta] = [lo, hi, [(f, lo + delta, hi + delta)]]
+        found.append(last[delta])
+        if not wide or hi > wide[1]:
+            wide = last[delta]
+    out, end = [], -1
+    for lo, hi, anchors in sorted(found, key=lambda x: (x[0], -x[1])):
+        if hi > end:
+            out.append((lo, hi, anchors))
+            end = hi
+    return out
+
+
+def _points(text: bytes) -> np.ndarray:
+    """Code points before each byte, and in all."""
+    return np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunking: Chunking | None = None) -> DataFrame:
-    """``doc_id, k, start, end, n_chunks, n_bytes, first_doc_id, kept``: runs of chunks that other documents share.
+    """``doc_id, k, start, end, n_chunks, n_bytes, first_doc_id, kept``: passages that other documents share.
 
-    A chunk repeats if its digest occurs under several ids. Neighbouring repeated chunks whose
-    first document agrees form a run; ``start`` and ``end`` (exclusive) are code points. Together
-    with the runs that touch it, a run reported spans ``min_run`` bytes or more. ``first_doc_id`` is
-    the least id that holds the chunks and ``kept`` marks its own run, the copy that stays.
+    A chunk repeats if its digest occurs under several ids. Each repeated chunk is compared byte by
+    byte with the text that holds it first, the one of the least id, and extended both ways as far
+    as the two agree. ``start`` and ``end`` (exclusive) are code points; passages may overlap where
+    they come from different documents. Together with those that touch it, a passage reported spans
+    ``min_run`` bytes or more. ``kept`` marks the passages of ``first_doc_id`` itself, the copy that
+    stays: there the matches of other documents are joined where they touch.
 
-    Digests have 64 bits; a false match would have to fall into a run of true ones to be reported.
     Null and empty texts have no chunks. Rows with a null id are left out. Repeated rows (same id
     and text) count as one document; an empty table gives no rows.
     """
     c = chunking or Chunking()
-    cut = materialise(chunks(df.filter(F.col(id_col).isNotNull()), id_col, text_col, c))
+    known = df.filter(F.col(id_col).isNotNull())
+    cut = materialise(chunks(known, id_col, text_col, c))
     digests = cut.select("doc_id", F.explode("digests").alias("digest"))
     seen = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = materialise(seen.filter("first <> last").select("digest", "first"))
-    starts = lambda x: F.concat(F.array(F.lit(0)), F.slice(x, 1, F.size(x) - 1))
-    placed = cut.filter(F.size("digests") > 0).select("doc_id", "k", F.posexplode(F.arrays_zip(F.col("digests").alias("d"), starts(F.col("ends")).alias("s"), F.col("ends").alias("e"), F.col("sizes").alias("b"))).alias("pos", "x"))
-    placed = placed.select("doc_id", "k", "pos", F.col("x.d").alias("digest"), F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.col("x.b").alias("b"))
-    hits = placed.join(repeated, "digest").groupBy("doc_id", "k").agg(F.collect_set(F.struct("pos", "s", "e", "b", "first")).alias("hits"))
+    placed = cut.select("doc_id", "k", F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("starts").alias("s"), F.col("sizes").alias("b"))))
+    hits = materialise(placed.join(repeated, "digest"))
+    origin = materialise(hits.filter("doc_id = first").groupBy("digest").agg(F.min(F.struct("k", "s")).alias("x")).select("digest", F.col("x.k").alias("fk"), F.col("x.s").alias("f")))
+    pairs = hits.join(origin, "digest").groupBy("doc_id", "k", "first", "fk").agg(F.collect_set(F.struct("s", "b", "f")).alias("hits"))
+    texts = known.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    firsts = hits.filter("doc_id = first").select("doc_id", "k").distinct()
+    held = materialise(texts.join(firsts, ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"])).select(F.col("doc_id").alias("first"), F.col("k").alias("fk"), F.col("text").alias("other"))
+    both = pairs.join(texts, ["doc_id", "k"]).join(held, ["first", "fk"])
+
+    def compare(ids: list, keys: list, firsts: list, first_keys: list, texts: list, others: list, found: list) -> list:
+        out: list[list] = [[] for _ in range(9)]
+
+        def put(*row) -> None:
+            for column, value in zip(out, row):
+                column.append(value)
+
+        for doc, k, first, fk, text, other, hit in zip(ids, keys, firsts, first_keys, texts, others, found):
+            text, other = text.encode("utf-8", "replace"), other.encode("utf-8", "replace")
+            there = _points(other)
+            if (doc, k) == (first, fk):
+                for h in hit:
+                    lo, hi = h["s"], h["s"] + h["b"]
+                    put(doc, k, first, lo, lo, hi, there[lo], there[hi], 1)
+                continue
+            here = _points(text)
+            for lo, hi, anchors in matches(text, other, [(h["s"], h["b"], h["f"]) for h in hit]):
+                put(doc, k, first, -1 - lo, lo, hi, here[lo], here[hi], len(anchors))
+                for f, a, b in anchors:
+                    put(first, fk, first, f, a, b, there[a], there[b], 1)
+        return out
 
-    def runs(ids: list, keys: list, found: list) -> list:
+    kind = df.schema[id_col].dataType.simpleString()
+    made = map_rows(both, ["doc_id", "k", "first", "fk", "text", "other", "hits"], compare, f"doc_id {kind}, k long, first {kind}, anchor long, lo long, hi long, start long, end long, n long")
+    # What all documents have in common with a chunk of their first one is its kept passage.
+    made = made.groupBy("doc_id", "k", "first", "anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n"))
+    spans = made.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "lo", "hi", "start", "end", "n", "first")).alias("spans"))
+
+    def report(ids: list, keys: list, found: list) -> list:
         out: list[list] = [[] for _ in range(8)]
-        for doc, k, hit in zip(ids, keys, found):
-            hit = sorted(hit, key=lambda h: h["pos"])
-            i = 0
-            while i < len(hit):
-                j = i + 1
-                while j < len(hit) and hit[j]["pos"] == hit[j - 1]["pos"] + 1:
-                    j += 1
-                if sum(h["b"] for h in hit[i:j]) >= c.min_run:
-                    a = i
-                    for b in range(i + 1, j + 1):
-                        if b == j or hit[b]["first"] != hit[a]["first"]:
-                            part, first = hit[a:b], hit[a]["first"]
-                            row = (doc, k, part[0]["s"], part[-1]["e"], len(part), sum(h["b"] for h in part), first, first == doc)
+        for doc, k, spans in zip(ids, keys, found):
+            whole: list[dict] = []
+            for x in sorted((x for x in spans if x["anchor"] >= 0), key=lambda x: (x["lo"], x["hi"])):
+                if whole and x["lo"] <= whole[-1]["hi"]:
+                    whole[-1] |= {"hi": max(x["hi"], whole[-1]["hi"]), "end": max(x["end"], whole[-1]["end"]), "n": whole[-1]["n"] + x["n"]}
+                else:
+                    whole.append(dict(x))
+            near: list[dict] = []
+            end = -1
+            for x in [*sorted([*whole, *(x for x in spans if x["anchor"] < 0)], key=lambda x: (x["lo"], x["hi"])), None]:
+                if near and (x is None or x["lo"] > end):
+                    if end - near[0]["lo"] >= c.min_run:
+                        for y in near:
+                            row = (doc, k, y["start"], y["end"], y["n"], y["hi"] - y["lo"], y["first"], y["first"] == doc)
                             for column, value in zip(out, row):
                                 column.append(value)
-                            a = b
-                i = j
+                    near = []
+                if x is not None:
+                    near.append(x)
+                    end = max(end, x["hi"])
         return out
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(hits, ["doc_id", "k", "hits"], runs, f"doc_id {kind}, k long, start long, end long, n_chunks long, n_bytes long, first_doc_id {kind}, kept boolean")
+    return map_rows(spans, ["doc_id", "k", "spans"], report, f"doc_id {kind}, k long, start long, end long, n_chunks long, n_bytes long, first_doc_id {kind}, kept boolean")
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunking: Chunking | None = None) -> DataFrame:
@@ -142,6 +241,6 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans = gone.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "__spans")
     joined = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(id_col, text_col) == F.col("__k")), "left")
     text = F.col(text_col)
-    fold = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"), s["end"].alias("at")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
+    fold = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("out"), F.greatest(a["at"], s["end"]).alias("at")), lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))))
     cleaned = F.when(F.col("__spans").isNull(), text).otherwise(fold)
     return joined.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in df.columns])

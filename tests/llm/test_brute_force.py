@@ -190,6 +190,31 @@ def test_shared_passages_are_found(spark):
     assert all(cleaned[2 * i] == texts[2 * i] and len(cleaned[2 * i + 1]) < len(texts[2 * i + 1]) for i in range(40))
 
 
+def test_repeats_reach_the_ends_of_the_match(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghié"), rng.integers(2, 6))) for _ in range(n))
+    passages = [prose(51) for _ in range(300)]
+    texts = {2 * i + j: f"{prose(60)} {'XY'[j]}{p}{'YX'[j]} {prose(60)}" for i, p in enumerate(passages) for j in range(2)}
+    spans = substrings.repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    found = {r["doc_id"]: texts[r["doc_id"]][r["start"] : r["end"]] for r in spans}
+    whole = {2 * i + j for i, p in enumerate(passages) for j in range(2) if found.get(2 * i + j) == p}
+    shares = {i for i in range(300) if set(substrings.chunk(texts[2 * i], substrings.Chunking())[0].tolist()) & set(substrings.chunk(texts[2 * i + 1], substrings.Chunking())[0].tolist())}
+    assert whole == {2 * i + j for i in shares for j in range(2)} and len(shares) > 280
+    assert all(r["n_bytes"] == len(found[r["doc_id"]].encode()) and r["kept"] == (r["doc_id"] % 2 == 0) for r in spans)
+
+
+def test_overlapping_repeats_leave_one_copy(spark):
+    rng = np.random.default_rng(6)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+    a, b, c = prose(60), prose(60), prose(60)
+    texts = {1: f"1 {a} {b} 1", 2: f"2 {b} {c} 2", 3: f"3 {a} {b} {c} 3", 4: "w " * 3000, 5: "v" + "w " * 2000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = substrings.repeated_spans(df).collect()
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] in texts[r["first_doc_id"]] for r in spans) and len(spans) < 12
+    left = {r["doc_id"]: r["text"] for r in substrings.drop_repeats(df).collect()}
+    assert left == {1: texts[1], 2: f"2{c} 2", 3: "33", 4: texts[4], 5: "v"}
+
+
 # ---- 7 near-duplicates
 
 
