@@ -141,7 +141,7 @@ def _cross_links(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
 
     ``members``: key, node, root, n, odd, leader. With h = the leader's set, a document has
     ``inner`` shingles of it, ``alone`` that none of these documents shares, and
-    ``outer`` others. An intersection is at most min(inner) + min(outer), which rules out nearly
+    ``outer`` others, none for the leader itself, which may have shingles of its own. An intersection is at most min(inner) + min(outer), which rules out nearly
     all pairs of a large group of near copies by comparing numbers; the pairs that are left come out.
     """
     members = materialise(members)
@@ -150,7 +150,7 @@ def _cross_links(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     single = live.withColumn("by", F.xxhash64("node")).join(alone, "by", "left").select("node", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
     ends = members.select("node", "leader").distinct()
     inner = ends.join(live.select("node", F.col("shingles").alias("sa")), "node").join(live.select(F.col("node").alias("leader"), F.col("shingles").alias("sb")), "leader").select("node", "leader", F.size(F.array_intersect("sa", "sb")).alias("inner"))
-    bounds = materialise(inner.join(single, "node").select("node", "leader", "inner", (F.col("common") - F.col("inner")).alias("outer")))
+    bounds = materialise(inner.join(single, "node").select("node", "leader", "inner", F.greatest(F.lit(0), F.col("common") - F.col("inner")).alias("outer")))
     full = members.join(bounds, ["node", "leader"]).filter(100 * (F.col("inner") + F.col("outer")) >= p.percent * F.col("n"))
     full = full.join(live, "node").select("key", F.struct("node", "root", "odd", "n", "inner", "outer", "shingles").alias("x"))
     x, y = F.col("x"), F.col("y")

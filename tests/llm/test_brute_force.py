@@ -252,6 +252,15 @@ def test_a_group_of_borderline_copies(spark):
     assert got == want and len(set(want.values())) > 5
 
 
+def test_a_leader_with_shingles_of_its_own_links(spark):
+    leader, other, third = range(100), [*range(92), *range(200, 208)], [*range(92, 95), *range(300, 397)]
+    rows = [(1, bytes([i]), bytes([i]), 100, [0, 0, 0, 0], b"\1") for i in (1, 2, 3)]
+    members = spark.createDataFrame(rows, "key long, node binary, root binary, n int, odd array<long>, leader binary")
+    sets = spark.createDataFrame([(bytes([i + 1]), list(x)) for i, x in enumerate((leader, other, third))], "node binary, shingles array<long>")
+    got = neardup._cross_links(members, sets, neardup.Params()).collect()
+    assert [(bytes(r["root_a"]), bytes(r["root_b"])) for r in got] == [(b"\1", b"\2")]
+
+
 def test_components_in_rounds(spark):
     rng = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(30)]
