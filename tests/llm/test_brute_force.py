@@ -287,6 +287,16 @@ def test_odd_sketch_estimates_similarity():
     assert 1 + 256 / (4 * 96) * np.log(1 - 2 * bits / 256) == pytest.approx(77 / 96, abs=0.06)
 
 
+def test_sketch_bound_keeps_borderline_pairs():
+    rng = np.random.default_rng(3)
+    flips = 2 * rng.binomial(96, 0.2, 60_000)
+    odd = np.zeros((flips.size, 256), bool)
+    for j in range(flips.max()):
+        on = np.flatnonzero(flips > j)
+        odd[on, rng.integers(0, 256, on.size)] ^= True
+    assert (odd.sum(axis=1) > neardup.Params().max_bits).sum() == 0
+
+
 # ---- 8 decontamination
 
 
