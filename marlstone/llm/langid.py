@@ -29,10 +29,12 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     Only rows with an id, a text and a language take part; the caller removes what may not be
     learnt from. The sample is picked by a hash of the id, so reruns agree. The driver holds
     ``max_langs * docs_per_lang`` texts at most, cut to ``dict_bytes`` of each language's
-    passages; an empty table gives no languages, and every prediction is then ``und``.
+    passages; more languages than ``max_langs`` are an error. An empty table gives no languages, and every prediction is then ``und``.
     """
     usable = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("i is not null and l is not null and length(t) > 0")
-    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_langs).collect()}
+    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
+    if len(counts) > max_langs:
+        raise ValueError(f"more than max_langs = {max_langs} languages; each needs a dictionary to be predicted")
     if not counts:
         return Dictionaries({}, **options)
     spread = 1 << 30

@@ -131,11 +131,10 @@ def train(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, attentio
     return AttentionModel(mean, scale, m)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, max_chars: int = 200_000, **options) -> AttentionModel | None:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = 4000, **options) -> AttentionModel | None:
     """A model from a bounded sample of labelled rows: about ``max_docs`` of them, by a hash of the id.
 
-    Training texts are read up to ``max_chars``, which bounds the driver's memory; scoring reads
-    whole texts. Ids with contradicting labels, null ids, texts or labels teach nothing. Without
+    Whole texts are encoded on the executors, as in scoring; the driver gets their passages. Ids with contradicting labels, null ids, texts or labels teach nothing. Without
     any label the model is None.
     """
     one = labels.select(F.col("doc_id").alias("i"), F.col(label_col).alias("y")).filter("i is not null and y is not null")
@@ -146,13 +145,20 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     spread = 1 << 30
     part = min(spread, math.ceil(spread * max_docs / n))
     chosen = one.filter(F.pmod(F.xxhash64("i"), F.lit(spread)) < part)
-    texts = df.select(F.col(id_col).alias("i"), F.substring(F.col(text_col), 1, max_chars).alias("t")).filter("i is not null and t is not null")
-    rows = texts.join(chosen, "i").collect()
+    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter("i is not null and t is not null")
+    known = texts.join(chosen, "i").select("i", "t", F.col("y").cast("double").alias("y")).distinct()
+
+    def run(ids: list, values: list, ys: list) -> list:
+        import xxhash
+
+        return [ids, [xxhash.xxh3_128_digest(t.encode("utf-8", "replace")) for t in values], ys, [encode(t).astype(np.float32).tobytes() for t in values]]
+
+    rows = map_rows(known, ["i", "t", "y"], run, f"i {df.schema[id_col].dataType.simpleString()}, h binary, y double, bag binary").collect()
     if not rows:
         return None
-    rows = sorted({(r["i"], r["t"], r["y"]) for r in rows})
-    y = np.array([float(r[2]) for r in rows])
-    return train([encode(r[1]).astype(np.float64) for r in rows], y, **options)
+    rows = sorted(rows, key=lambda r: (r["i"], bytes(r["h"])))
+    bags = [np.frombuffer(r["bag"], np.float32).reshape(-1, DIMENSIONS).astype(np.float64) for r in rows]
+    return train(bags, np.array([r["y"] for r in rows]), **options)
 
 
 def score(df: DataFrame, model: AttentionModel | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every operator over odd rows and over an empty table: the results that the docstrings state."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, quality, secrets, substrings
@@ -88,3 +89,16 @@ def test_secrets(odd_docs, no_docs):
     out = secrets.scan_spans(odd_docs)
     assert out.count() == 9 and out.filter(F.size("found") > 0).count() == 0
     assert secrets.scan_spans(no_docs).count() == 0
+
+
+def test_training_reads_whole_texts_and_every_language(spark):
+    pad = "same words here " * 13_000
+    rows = [(i, pad + ("GOOD! " if i % 2 else "bad ") * 20_000) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    got = by_id(quality.score(df, quality.fit(df, labels, steps=40)))
+    assert min(got[i]["score"] for i in range(1, 12, 2)) > max(got[i]["score"] for i in range(0, 12, 2)) + 0.5
+    langs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    assert set(langid.fit(langs, max_langs=4).content) == {"l0", "l1", "l2", "l3"}
+    with pytest.raises(ValueError, match="max_langs"):
+        langid.fit(langs, max_langs=3)
