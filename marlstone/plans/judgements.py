@@ -9,7 +9,7 @@ from marlstone.functions.text import signature
 from marlstone.operators import energy as en
 from marlstone.operators import integrity as it
 from marlstone.operators import labels as lb
-from marlstone.operators.graph import components
+from marlstone.operators.graph import connected_components as components
 from marlstone.plans.catalog import register, table
 
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -210,7 +210,7 @@ def folder_variants(spark, sf):
 WITH RECURSIVE e AS (SELECT a.p_partkey AS x, b.p_partkey AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_name = b.p_name AND abs(a.p_size - b.p_size) <= 3 AND a.p_partkey <> b.p_partkey),
 r AS (SELECT DISTINCT x AS node, x AS c FROM e UNION SELECT e.y, r.c FROM r JOIN e ON r.node = e.x) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def connected_components(spark, sf):
-    return components(it.near_names(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_type", "p_name"], "p_size", 3), "a", "b")
+    return components(it.near_names(table(spark, sf, "part"), "p_partkey", ["p_brand", "p_type", "p_name"], "p_size", 3)).withColumnRenamed("root", "component")
 
 
 @register("integrity_sweep", """
