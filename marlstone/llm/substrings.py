@@ -10,233 +10,278 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import map_rows
-from marlstone.session import materialise
+from marlstone.operators.joins import join_by_size
+from marlstone.session import materialise, release
 
-_GEAR = np.random.default_rng(97).integers(0, 2**32, 256, dtype=np.uint32)
+_GEAR = np.random.default_rng(97).integers(0, 2**16, 256, dtype=np.uint16)
+_END = np.uint16(65535)
 
 
 @dataclass(frozen=True)
 class Chunking:
-    """Cuts where the top ``bits`` bits of the rolling hash are 0, ``least`` to ``most`` bytes apart.
+    """Cuts behind the byte whose rolling hash is the least of the ``reach`` hashes on either side.
 
-    The 32-bit hash covers the last 32 bytes, so equal passages are cut alike from 32 bytes in,
-    whatever was inserted before them. With 5 bits a chunk has about 48 bytes: a passage of 50
-    words shares one at least, nearly always. Repeated passages under ``min_run`` bytes are not reported.
+    The 16-bit hash covers the last 16 bytes and nothing else moves a cut, so equal passages are cut
+    alike from 16 + ``reach`` bytes in, whatever was inserted before them. Chunks have more than
+    ``reach`` bytes, about 47 on average; where a text repeats within that distance no hash is the
+    least, and the least one in ``most`` bytes (255 at most) cuts. A run of repeated chunks is
+    extended by up to ``edge`` bytes on either side; passages under ``min_run`` bytes are not reported.
     """
 
-    bits: int = 5
-    least: int = 16
-    most: int = 128
-    min_run: int = 72
+    reach: int = 23
+    most: int = 144
+    edge: int = 128
+    min_run: int = 200
 
 
 def gear_hash(raw: np.ndarray) -> np.ndarray:
-    """The gear hash behind every byte: h = 2h + gear[byte] mod 2^32, by doubling the span five times."""
+    """The gear hash behind every byte: h = 2h + gear[byte] mod 2^16, by doubling the span four times."""
     h = _GEAR[raw]
-    for span in (1, 2, 4, 8, 16):
+    for span in (1, 2, 4, 8):
         more = h.copy()
-        more[span:] += h[:-span] << np.uint32(span)
+        more[span:] += h[:-span] << np.uint16(span)
         h = more
     return h
 
 
-def cut_points(raw: np.ndarray, c: Chunking) -> np.ndarray:
-    """Ends of the chunks of ``raw``, the last one its length. A cut never splits a UTF-8 character.
+def _least_ahead(h: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the ``reach`` values behind each place; nothing is less than the end."""
+    low, span = np.append(h[1:], _END), 1
+    while span < reach:
+        step = min(span, reach - span)
+        low[:-step] = np.minimum(low[:-step], low[step:])
+        span += step
+    return low
 
-    Where no cut comes up in ``most`` bytes, the least hash among them cuts: still a choice by
-    content, so that a text of one word over and over is cut at the same phase everywhere.
-    """
-    whole = np.ones(raw.size, bool)
-    whole[:-1] = (raw[1:] & 0xC0) != 0x80
-    h = gear_hash(raw)
-    marks = np.flatnonzero((h >> np.uint32(32 - c.bits) == 0) & whole) + 1
+
+def cut_points(raw: np.ndarray, c: Chunking) -> np.ndarray:
+    """Ends of the chunks of ``raw``, the last one its length. A cut never splits a UTF-8 character."""
+    h = gear_hash(raw) >> np.uint16(1)
+    h[:-1][(raw[1:] & 0xC0) == 0x80] = _END
+    ahead, behind = _least_ahead(h, c.reach), _least_ahead(h[::-1], c.reach)[::-1]
+    marks = np.flatnonzero((h < behind) & (h <= ahead)) + 1
     ends, last = [], 0
     for m in [*marks.tolist(), raw.size]:
         while m - last > c.most:
-            near = slice(last + c.least - 1, last + c.most)
-            last = near.start + 1 + int(np.where(whole[near], h[near], 2**32).argmin())
+            near = slice(last + c.reach, last + c.most)
+            last = near.start + 1 + int(h[near].argmin())
             ends.append(last)
-        if m - last >= c.least or m == raw.size and m > last:
+        if m > last:
             ends.append(m)
             last = m
     return np.array(ends, np.int64)
 
 
-def chunk(text: str | None, c: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Digests of a text's chunks, with their ends in code points and their sizes in bytes."""
+def chunk(text: str | None, c: Chunking) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, tags, starts and shifts of a text's chunks.
+
+    A tag has 16 further bits of the digest, the code points and the bytes of the chunk. A start is
+    in bytes; a shift is twice what to take from it to get code points, one more for the last chunk.
+    """
     import xxhash
 
     data = (text or "").encode("utf-8", "replace")
     raw = np.frombuffer(data, np.uint8)
     if not raw.size:
-        return (np.empty(0, np.int64),) * 3
+        return (np.empty(0, np.int64),) * 4
     ends = cut_points(raw, c)
-    starts = [0, *ends[:-1].tolist()]
-    digests = np.array([xxhash.xxh3_64_intdigest(data[s:e]) for s, e in zip(starts, ends.tolist())], np.uint64).view(np.int64)
-    points = np.cumsum((raw & 0xC0) != 0x80)
-    return digests, points[ends - 1], np.diff(ends, prepend=0)
+    starts = np.concatenate((np.zeros(1, np.int64), ends[:-1]))
+    wide = np.frombuffer(b"".join([xxhash.xxh3_128_digest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]), ">u8").astype(np.uint64).reshape(-1, 2)
+    points = np.add.reduceat(((raw & 0xC0) != 0x80).astype(np.int64), starts)
+    tags = (wide[:, 0] & np.uint64(0x7FFF)).astype(np.int64) << 16 | points << 8 | (ends - starts)
+    shifts = 2 * (starts - np.concatenate((np.zeros(1, np.int64), np.cumsum(points)[:-1])))
+    shifts[-1] += 1
+    return wide[:, 1].view(np.int64), tags, starts, shifts
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str, c: Chunking) -> DataFrame:
-    """``doc_id, k, digests, starts, sizes``, in bytes: a row per document; ``k`` stands for its id and text."""
+    """``doc_id, k, digests, tags, starts, shifts``: a row per document; ``k`` stands for its id and text."""
 
     def run(ids: list, keys: list, texts: list) -> list:
         made = [chunk(t, c) for t in texts]
-        starts = [np.cumsum(m[2]) - m[2] for m in made]
-        lists = [pa.array(x, pa.list_(t)) for x, t in (([m[0] for m in made], pa.int64()), (starts, pa.int32()), ([m[2] for m in made], pa.int32()))]
-        return [ids, keys, *lists]
+        kinds = (np.int64, np.int32, np.int32, np.int32)
+        return [ids, keys, *[pa.array([m[i].astype(t) for m in made], pa.list_(pa.from_numpy_dtype(t))) for i, t in enumerate(kinds)]]
 
     source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    return map_rows(source, ["doc_id", "k", "text"], run, f"doc_id {df.schema[id_col].dataType.simpleString()}, k long, digests array<long>, starts array<int>, sizes array<int>")
-
-
-def _common(a: bytes, i: int, b: bytes, j: int, step: int) -> int:
-    """How many bytes ``a`` from ``i`` and ``b`` from ``j`` agree, rightwards, or leftwards and before them if ``step`` is -1."""
-    most = min(len(a) - i, len(b) - j) if step > 0 else min(i, j)
-    n, size = 0, 64
-    while n < most and size:
-        size = min(size, most - n)
-        x, y = (a[i + n : i + n + size], b[j + n : j + n + size]) if step > 0 else (a[i - n - size : i - n], b[j - n - size : j - n])
-        if x == y:
-            n += size
-            size *= 2
-        else:
-            most = n + size - 1
-            size //= 2
+    return map_rows(source, ["doc_id", "k", "text"], run, f"doc_id {df.schema[id_col].dataType.simpleString()}, k long, digests array<long>, tags array<int>, starts array<int>, shifts array<int>")
+
+
+def _hits(cut: DataFrame) -> DataFrame:
+    """``doc_id, k, hits``: a document's chunks that several ids hold, each with the first of these ids."""
+    every = cut.select("doc_id", F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("tags").alias("tag"))))
+    seen = every.groupBy("digest", "tag").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    repeated = materialise(seen.filter("first <> last").select("digest", "tag", "first", "n"))
+    placed = cut.select("doc_id", "k", F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("tags").alias("tag"), F.col("starts").alias("s"), F.col("shifts").alias("shift"))))
+    found = join_by_size(placed, repeated, ["digest", "tag"], least=5000)
+    return materialise(found.groupBy("doc_id", "k").agg(F.collect_set(F.struct("s", "digest", "tag", "shift", "first")).alias("hits")))
+
+
+def _passages(hits: DataFrame) -> DataFrame:
+    """``doc_id, k, parts``: runs of neighbouring hits, in parts that have the same first document."""
+
+    def run(ids: list, keys: list, found: list) -> list:
+        out = []
+        for hit in found:
+            parts: list[dict] = []
+            for h in sorted(hit, key=lambda h: h["s"]):
+                size, points = h["tag"] & 255, h["tag"] >> 8 & 255
+                at = h["s"] - (h["shift"] >> 1)
+                joins = bool(parts) and parts[-1]["hi"] == h["s"]
+                if joins and parts[-1]["first"] == h["first"]:
+                    p = parts[-1]
+                    p["hi"], p["to"], p["n"] = h["s"] + size, at + points, p["n"] + 1
+                else:
+                    p = {"lo": h["s"], "hi": h["s"] + size, "at": at, "to": at + points, "n": 1, "first": h["first"], "left": not joins and h["s"] > 0, "right": False, "d0": h["digest"], "t0": h["tag"]}
+                    if parts and not joins:
+                        parts[-1]["right"] = True
+                    parts.append(p)
+                p["d1"], p["t1"], p["right"] = h["digest"], h["tag"], not h["shift"] & 1
+            for p, q in zip(parts, parts[1:]):
+                p["right"] = p["hi"] < q["lo"]
+            out.append(parts)
+        return [ids, keys, out]
+
+    kind = hits.schema["doc_id"].dataType.simpleString()
+    part = f"struct<lo:int,hi:int,at:int,to:int,n:int,first:{kind},left:boolean,right:boolean,d0:long,t0:int,d1:long,t1:int>"
+    return materialise(map_rows(hits, ["doc_id", "k", "hits"], run, f"doc_id {kind}, k long, parts array<{part}>"))
+
+
+def _edges(passages: DataFrame) -> DataFrame:
+    """``doc_id, k, first, side, at, digest, tag``: where a passage ends inside its text; side -1 is its left end."""
+    p = F.col("p")
+    ends = F.array(F.struct(F.lit(-1).alias("side"), p["left"].alias("open"), p["lo"].alias("at"), p["d0"].alias("digest"), p["t0"].alias("tag")), F.struct(F.lit(1).alias("side"), p["right"].alias("open"), p["hi"].alias("at"), p["d1"].alias("digest"), p["t1"].alias("tag")))
+    rows = passages.select("doc_id", "k", F.explode("parts").alias("p")).select("doc_id", "k", p["first"].alias("first"), F.explode(ends).alias("e"))
+    return rows.filter("e.open").select("doc_id", "k", "first", "e.side", "e.at", "e.digest", "e.tag")
+
+
+def _common(a: bytes, b: bytes, side: int) -> int:
+    """How many bytes ``a`` and ``b`` agree, from their start or, for side -1, from their end, in whole characters of ``a``."""
+    if side < 0:
+        a, b = a[::-1], b[::-1]
+    n = most = min(len(a), len(b))
+    if a[:most] != b[:most]:
+        x, y = (np.frombuffer(v[:most], np.uint8) for v in (a, b))
+        n = int((x != y).argmax())
+    if side > 0:
+        while n and n < len(a) and a[n] & 0xC0 == 0x80:
+            n -= 1
+    else:
+        while n and a[n - 1] & 0xC0 == 0x80:
+            n -= 1
     return n
 
 
-def matches(text: bytes, other: bytes, at: list[tuple[int, int, int]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """Passages ``lo, hi`` of ``text`` that ``other`` holds, and the ``(lo, hi)`` there of each chunk in them.
+def _extensions(passages: DataFrame, hits: DataFrame, texts: DataFrame, c: Chunking) -> DataFrame:
+    """``doc_id, k, side, at, bytes, points``: how much further the text at an edge agrees with the first document's.
 
-    ``at``: start, size and start in ``other`` of chunks with equal digests. Each is compared byte
-    by byte and extended both ways as far as the texts agree, but splits no UTF-8 character.
-    Passages that lie within others are left out.
+    Only the ``edge`` bytes beside an edge are compared: those of every edge, and those beside the
+    same chunk in its first document. An edge in that document gets the longest agreement that
+    others have with it.
     """
-    found: list[list] = []
-    last: dict[int, list] = {}  # by the distance between the two places
-    wide = None
-    for s, size, f in sorted(at):
-        delta = f - s
-        same = last.get(delta)
-        if same and s + size <= same[1]:
-            same[2].append((f, same[0] + delta, same[1] + delta))
-            continue
-        # Held already: another place counts only where it agrees further.
-        if wide and wide[0] <= s and s + size <= wide[1]:
-            lo, hi, _ = wide
-            before = lo > 0 and lo + delta > 0 and text[lo - 1] == other[lo - 1 + delta]
-            if not before and not (hi < len(text) and hi + delta < len(other) and text[hi] == other[hi + delta]):
-                continue
-        if text[s : s + size] != other[f : f + size]:
-            continue
-        lo, hi = s - _common(text, s, other, f, -1), s + size + _common(text, s + size, other, f + size, 1)
-        while text[lo] & 0xC0 == 0x80:
-            lo += 1
-        while hi < len(text) and text[hi] & 0xC0 == 0x80:
-            hi -= 1
-        last[delta] = [lo, hi, [(f, lo + delta, hi + delta)]]
-        found.append(last[delta])
-        if not wide or hi > wide[1]:
-            wide = last[delta]
-    out, end = [], -1
-    for lo, hi, anchors in sorted(found, key=lambda x: (x[0], -x[1])):
-        if hi > end:
-            out.append((lo, hi, anchors))
-            end = hi
-    return out
-
-
-def _points(text: bytes) -> np.ndarray:
-    """Code points before each byte, and in all."""
-    return np.concatenate(([0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)))
+    edges = _edges(passages)
+    sought = edges.filter("first <> doc_id")
+    wanted = sought.select("digest", "tag", "side").distinct()
+    h = F.col("h")
+    owned = hits.select("doc_id", "k", F.explode("hits").alias("h")).filter(h["first"] == F.col("doc_id")).groupBy(h["digest"].alias("digest"), h["tag"].alias("tag")).agg(F.min(F.struct(F.col("doc_id"), F.col("k"), h["s"].alias("s"))).alias("o"))
+    place = F.when(F.col("side") < 0, F.col("o.s")).otherwise(F.col("o.s") + F.col("tag").bitwiseAND(F.lit(255)))
+    origins = wanted.join(owned, ["digest", "tag"]).select("o.doc_id", "o.k", "side", place.alias("at"), "digest", "tag", F.lit(True).alias("origin"))
+    asked = sought.select("doc_id", "k", "side", "at", "digest", "tag", F.lit(False).alias("origin")).unionByName(origins)
+    by_doc = asked.groupBy("doc_id", "k").agg(F.collect_set(F.struct("side", "at", "digest", "tag", "origin")).alias("asked"))
+
+    def look(ids: list, keys: list, asked: list, values: list) -> list:
+        out: list[list] = [[] for _ in range(8)]
+        for doc, k, ask, text in zip(ids, keys, asked, values):
+            data = text.encode("utf-8", "replace")
+            for a in ask:
+                lo, hi = (max(0, a["at"] - c.edge), a["at"]) if a["side"] < 0 else (a["at"], min(len(data), a["at"] + c.edge))
+                while lo < hi and data[lo] & 0xC0 == 0x80:
+                    lo += 1
+                while lo < hi < len(data) and data[hi] & 0xC0 == 0x80:
+                    hi -= 1
+                for column, value in zip(out, (doc, k, a["side"], a["at"], a["digest"], a["tag"], a["origin"], data[lo:hi])):
+                    column.append(value)
+        return out
+
+    kind = passages.schema["doc_id"].dataType.simpleString()
+    near = materialise(map_rows(by_doc.join(texts, ["doc_id", "k"]), ["doc_id", "k", "asked", "text"], look, f"doc_id {kind}, k long, side int, at int, digest long, tag int, origin boolean, beside binary"))
+    mine = near.filter("not origin").drop("origin").distinct()
+    counts = mine.groupBy("digest", "tag", "side").agg(F.count("*").alias("n"))
+    theirs = near.filter("origin").select("digest", "tag", "side", F.col("k").alias("fk"), F.col("at").alias("fat"), F.col("beside").alias("other")).dropDuplicates(["digest", "tag", "side"])
+    theirs = materialise(theirs.join(counts, ["digest", "tag", "side"]))
+
+    def compare(*columns: list) -> list:
+        agree = [_common(a, b, s) for a, b, s in zip(columns[-2], columns[-1], columns[2])]
+        points = [sum(x & 0xC0 != 0x80 for x in (a[:n] if s > 0 else a[len(a) - n :])) for a, n, s in zip(columns[-2], agree, columns[2])]
+        return [*columns[:-2], agree, points]
+
+    pairs = join_by_size(mine, theirs, ["digest", "tag", "side"])
+    carried = ["doc_id", "k", "side", "at", "digest", "tag", "fk", "fat"]
+    found = materialise(map_rows(pairs, [*carried, "beside", "other"], compare, f"doc_id {kind}, k long, side int, at int, digest long, tag int, fk long, fat int, bytes int, points int"))
+    best = found.groupBy("digest", "tag", "side", "fk", "fat").agg(F.max(F.struct("bytes", "points")).alias("b"))
+    kept = edges.filter("first = doc_id").join(best.withColumnsRenamed({"fk": "k", "fat": "at"}), ["digest", "tag", "side", "k", "at"]).select("doc_id", "k", "side", "at", "b.bytes", "b.points")
+    release(near, theirs)
+    return found.select("doc_id", "k", "side", "at", "bytes", "points").unionByName(kept)
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunking: Chunking | None = None) -> DataFrame:
     """``doc_id, k, start, end, n_chunks, n_bytes, first_doc_id, kept``: passages that other documents share.
 
-    A chunk repeats if its digest occurs under several ids. Each repeated chunk is compared byte by
-    byte with the text that holds it first, the one of the least id, and extended both ways as far
-    as the two agree. ``start`` and ``end`` (exclusive) are code points; passages may overlap where
-    they come from different documents. Together with those that touch it, a passage reported spans
-    ``min_run`` bytes or more. ``kept`` marks the passages of ``first_doc_id`` itself, the copy that
-    stays: there the matches of other documents are joined where they touch.
+    A chunk repeats if its digest (80 bits, with its size) occurs under several ids. Neighbouring
+    repeated chunks form a passage, extended at both ends by comparing bytes with the first document
+    that holds the chunk there, the one of the least id. A passage of parts with different first
+    documents gives a row for each. ``start`` and ``end`` (exclusive) are code points. Passages that
+    touch count together towards ``min_run`` bytes; longer ones are reported whole. ``kept`` marks
+    what the document itself holds first, the copy that stays.
 
-    Null and empty texts have no chunks. Rows with a null id are left out. Repeated rows (same id
-    and text) count as one document; an empty table gives no rows.
+    Only repeats in different documents count, not those inside one. Null and empty texts have no
+    chunks; rows with a null id are left out; repeated rows (same id and text) count as one
+    document; an empty table gives no rows. A very long text costs its worker about ten times its size.
     """
     c = chunking or Chunking()
     known = df.filter(F.col(id_col).isNotNull())
     cut = materialise(chunks(known, id_col, text_col, c))
-    digests = cut.select("doc_id", F.explode("digests").alias("digest"))
-    seen = digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    repeated = materialise(seen.filter("first <> last").select("digest", "first"))
-    placed = cut.select("doc_id", "k", F.inline(F.arrays_zip(F.col("digests").alias("digest"), F.col("starts").alias("s"), F.col("sizes").alias("b"))))
-    hits = materialise(placed.join(repeated, "digest"))
-    origin = materialise(hits.filter("doc_id = first").groupBy("digest").agg(F.min(F.struct("k", "s")).alias("x")).select("digest", F.col("x.k").alias("fk"), F.col("x.s").alias("f")))
-    pairs = hits.join(origin, "digest").groupBy("doc_id", "k", "first", "fk").agg(F.collect_set(F.struct("s", "b", "f")).alias("hits"))
+    hits = _hits(cut)
+    release(cut)
+    passages = _passages(hits)
     texts = known.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    firsts = hits.filter("doc_id = first").select("doc_id", "k").distinct()
-    held = materialise(texts.join(firsts, ["doc_id", "k"], "left_semi").dropDuplicates(["doc_id", "k"])).select(F.col("doc_id").alias("first"), F.col("k").alias("fk"), F.col("text").alias("other"))
-    both = pairs.join(texts, ["doc_id", "k"]).join(held, ["first", "fk"])
-
-    def compare(ids: list, keys: list, firsts: list, first_keys: list, texts: list, others: list, found: list) -> list:
-        out: list[list] = [[] for _ in range(9)]
-
-        def put(*row) -> None:
-            for column, value in zip(out, row):
-                column.append(value)
-
-        for doc, k, first, fk, text, other, hit in zip(ids, keys, firsts, first_keys, texts, others, found):
-            text, other = text.encode("utf-8", "replace"), other.encode("utf-8", "replace")
-            there = _points(other)
-            if (doc, k) == (first, fk):
-                for h in hit:
-                    lo, hi = h["s"], h["s"] + h["b"]
-                    put(doc, k, first, lo, lo, hi, there[lo], there[hi], 1)
-                continue
-            here = _points(text)
-            for lo, hi, anchors in matches(text, other, [(h["s"], h["b"], h["f"]) for h in hit]):
-                put(doc, k, first, -1 - lo, lo, hi, here[lo], here[hi], len(anchors))
-                for f, a, b in anchors:
-                    put(first, fk, first, f, a, b, there[a], there[b], 1)
-        return out
-
-    kind = df.schema[id_col].dataType.simpleString()
-    made = map_rows(both, ["doc_id", "k", "first", "fk", "text", "other", "hits"], compare, f"doc_id {kind}, k long, first {kind}, anchor long, lo long, hi long, start long, end long, n long")
-    # What all documents have in common with a chunk of their first one is its kept passage.
-    made = made.groupBy("doc_id", "k", "first", "anchor").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("n"))
-    spans = made.groupBy("doc_id", "k").agg(F.collect_list(F.struct("anchor", "lo", "hi", "start", "end", "n", "first")).alias("spans"))
+    further = _extensions(passages, hits, texts, c).groupBy("doc_id", "k").agg(F.collect_set(F.struct("side", "at", "bytes", "points")).alias("further"))
 
-    def report(ids: list, keys: list, found: list) -> list:
+    def report(ids: list, keys: list, found: list, more: list) -> list:
         out: list[list] = [[] for _ in range(8)]
-        for doc, k, spans in zip(ids, keys, found):
-            whole: list[dict] = []
-            for x in sorted((x for x in spans if x["anchor"] >= 0), key=lambda x: (x["lo"], x["hi"])):
-                if whole and x["lo"] <= whole[-1]["hi"]:
-                    whole[-1] |= {"hi": max(x["hi"], whole[-1]["hi"]), "end": max(x["end"], whole[-1]["end"]), "n": whole[-1]["n"] + x["n"]}
-                else:
-                    whole.append(dict(x))
-            near: list[dict] = []
-            end = -1
-            for x in [*sorted([*whole, *(x for x in spans if x["anchor"] < 0)], key=lambda x: (x["lo"], x["hi"])), None]:
-                if near and (x is None or x["lo"] > end):
-                    if end - near[0]["lo"] >= c.min_run:
-                        for y in near:
-                            row = (doc, k, y["start"], y["end"], y["n"], y["hi"] - y["lo"], y["first"], y["first"] == doc)
-                            for column, value in zip(out, row):
-                                column.append(value)
-                    near = []
-                if x is not None:
-                    near.append(x)
-                    end = max(end, x["hi"])
+        for doc, k, parts, ext in zip(ids, keys, found, more):
+            reach = {(e["side"], e["at"]): e for e in ext or []}
+            end, group = 0, []
+            for p in [*parts, None]:
+                if p is not None:
+                    p, left, right = dict(p), reach.get((-1, p["lo"])), reach.get((1, p["hi"]))
+                    if left:
+                        p["lo"], p["at"] = p["lo"] - left["bytes"], p["at"] - left["points"]
+                    if right:
+                        p["hi"], p["to"] = p["hi"] + right["bytes"], p["to"] + right["points"]
+                    if group and p["lo"] <= end:
+                        p["lo"], p["at"] = end, group[-1]["to"]
+                        if p["hi"] > end:
+                            group.append(p)
+                            end = p["hi"]
+                        continue
+                if group and end - group[0]["lo"] >= c.min_run:
+                    for q in group:
+                        for column, value in zip(out, (doc, k, q["at"], q["to"], q["n"], q["hi"] - q["lo"], q["first"], q["first"] == doc)):
+                            column.append(value)
+                if p is not None:
+                    group, end = [p], p["hi"]
         return out
 
-    return map_rows(spans, ["doc_id", "k", "spans"], report, f"doc_id {kind}, k long, start long, end long, n_chunks long, n_bytes long, first_doc_id {kind}, kept boolean")
+    kind = df.schema[id_col].dataType.simpleString()
+    return map_rows(passages.join(further, ["doc_id", "k"], "left"), ["doc_id", "k", "parts", "further"], report, f"doc_id {kind}, k long, start long, end long, n_chunks long, n_bytes long, first_doc_id {kind}, kept boolean")
 
 
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunking: Chunking | None = None) -> DataFrame:
-    """``df`` with every run that an earlier document already has taken out of the text."""
+    """``df`` with every passage that an earlier document already has taken out of the text.
+
+    Rows without such a passage, with a null id or a null text stay as they are; all columns and all
+    rows stay, repeated rows are treated alike, and an empty table gives an empty one.
+    """
     gone = repeated_spans(df, id_col, text_col, chunking).filter("not kept")
     spans = gone.groupBy("doc_id", "k").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("__spans")).select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "__spans")
     joined = df.join(spans, (F.col(id_col) == F.col("__id")) & (F.xxhash64(id_col, text_col) == F.col("__k")), "left")
