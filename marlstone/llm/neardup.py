@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import map_rows
-from marlstone.llm.components import connected_components
 from marlstone.llm.shingles import mix, shingle_set
-from marlstone.session import materialise
+from marlstone.operators.graph import connected_components
+from marlstone.operators.joins import join_by_size
+from marlstone.session import materialise, release
 
 
 @dataclass(frozen=True)
@@ -103,10 +104,23 @@ def _linked(both: Column, n_a: Column, n_b: Column, p: Params) -> Column:
     return 100 * both >= p.percent * (n_a + n_b - both)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, other: str, name: str, share: int = 1000) -> DataFrame:
+    """``pairs`` with the shingles of the node in ``end``. A node in many pairs, such as a leader, is split over tasks."""
+    counts = pairs.groupBy(F.col(end).alias("node")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(counts.filter(F.col("n") > max(share, total // 100_000)).select("node", F.ceil(F.col("n") / share).cast("int").alias("parts")))
+    salted = pairs.join(heavy.withColumnRenamed("node", end), end, "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64(other), F.col("parts"))).otherwise(0).cast("int")).drop("parts")
+    spread = sets.join(heavy, "node", "left").select(F.col("node").alias(end), F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    return salted.join(spread, [end, "salt"]).drop("salt")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """Candidate pairs with the verdict on their full sets."""
-    with_sets = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    return with_sets.select("a", "b", "root_a", "root_b", _linked(F.size(F.array_intersect("sa", "sb")), F.col("n_a"), F.col("n_b"), p).alias("linked"))
+    pairs = materialise(pairs)
+    with_sets = _with_sets(_with_sets(pairs, sets, "a", "b", "sa"), sets, "b", "a", "sb")
+    judged = materialise(with_sets.select("a", "b", "root_a", "root_b", _linked(F.size(F.array_intersect("sa", "sb")), F.col("n_a"), F.col("n_b"), p).alias("linked")))
+    release(pairs)
+    return judged
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
@@ -114,51 +128,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows with equal shingle sets form a class and go on as one. Classes that share a band's
     bucket are candidates: each member is compared with a leader of its bucket, the one with the
-    most links so far, and buckets whose members still lie in several components are compared
-    with further leaders; what is left after ``star_rounds`` is compared across components only.
+    most links so far, for ``star_rounds`` rounds; members of buckets that still hold several
+    components are compared across components only, where they share a rare shingle.
     So no group emits all its pairs, and no link between components is lost.
     Candidates pass the odd sketch and a size bound, then full sets are intersected.
 
     ``component_id`` is the least id reachable. An empty or null text is linked with nothing. A row
     with a null id keeps n_shingles, has a null component and is kept; it links no others.
     Repeated rows share their component; ``kept`` holds for each of them if it holds for the id.
+    A very long text costs its worker about 40 times its size. An empty table gives no rows.
     """
-    p = params or Params()
+    return _judged(df, id_col, text_col, params or Params()).drop("text_hash")
+
+
+def _judged(df: DataFrame, id_col: str, text_col: str, p: Params) -> DataFrame:
     sig = materialise(signatures(df, id_col, text_col, p))
     ok = sig.filter("node is not null and doc_id is not null")
-    nodes = materialise(ok.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd")))
+    nodes = materialise(ok.groupBy("node").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash"))["text_hash"].alias("text_hash"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.count("*").alias("copies")))
     texts = df.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    roots = nodes.select("node", "doc").join(_roots(nodes, texts, p), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc")
-    least = roots.groupBy("root").agg(F.min("doc").alias("component_id"))
-    of_node = materialise(roots.join(least, "root").select("node", "component_id"))
-    known = sig.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    out = known.join(of_node, "node", "left")
-    component = F.when(F.col("node").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
-
-
-def _cross_links(members: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
-    """Links (root_a, root_b) between members of one bucket that lie in different components.
-
-    ``members``: key, node, root, n, odd, leader. With h = the leader's set, a document has
-    ``inner`` shingles of it, ``alone`` that none of these documents shares, and
-    ``outer`` others, none for the leader itself, which may have shingles of its own. An intersection is at most min(inner) + min(outer), which rules out nearly
-    all pairs of a large group of near copies by comparing numbers; the pairs that are left come out.
+    roots = materialise(nodes.select("node", "doc", "copies").join(_roots(nodes, texts, p), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc", "copies"))
+    least = materialise(roots.groupBy("root").agg(F.min("doc").alias("component_id"), F.count("*").alias("n")))
+    of_node = materialise(join_by_size(roots, least, ["root"]).select("node", "component_id", "copies"))
+    release(nodes, roots, least)
+    # Rows without an id or words have no partners, and no key to be joined by.
+    alone = sig.filter("node is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = join_by_size(ok.select("doc_id", "text_hash", "n_shingles", "node"), of_node, ["node"], "copies").select("doc_id", "text_hash", "n_shingles", "component_id").unionByName(alone)
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _cross_links(members: DataFrame, sets: DataFrame, p: Params, share: int = 1000) -> DataFrame:
+    """Links (root_a, root_b) between ``members(node, root, n, odd)`` that lie in different components.
+
+    A prefix-filtered join: shingles are ordered by how many of these documents have them, those
+    of a single component first. Two linked sets have one in common among the first
+    ``n - need + 1`` of each, ``need`` being the least intersection that a set of n allows. So
+    documents meet on rare shingles only, and one with too many of its own meets nobody. Where a
+    shingle falls in both orders bounds the intersection; sizes and odd sketches are compared next,
+    and full sets last, once for each pair. A shingle with over ``share`` documents is split over tasks.
     """
-    members = materialise(members)
-    live = materialise(sets.join(members.select("node").distinct(), "node", "left_semi"))
-    alone = live.select(F.xxhash64("node").alias("by"), F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("c"), F.min("by").alias("by")).filter("c = 1").groupBy("by").agg(F.count("*").cast("int").alias("alone"))
-    single = live.withColumn("by", F.xxhash64("node")).join(alone, "by", "left").select("node", (F.size("shingles") - F.coalesce("alone", F.lit(0))).alias("common"))
-    ends = members.select("node", "leader").distinct()
-    inner = ends.join(live.select("node", F.col("shingles").alias("sa")), "node").join(live.select(F.col("node").alias("leader"), F.col("shingles").alias("sb")), "leader").select("node", "leader", F.size(F.array_intersect("sa", "sb")).alias("inner"))
-    bounds = materialise(inner.join(single, "node").select("node", "leader", "inner", F.greatest(F.lit(0), F.col("common") - F.col("inner")).alias("outer")))
-    full = members.join(bounds, ["node", "leader"]).filter(100 * (F.col("inner") + F.col("outer")) >= p.percent * F.col("n"))
-    full = full.join(live, "node").select("key", F.struct("node", "root", "odd", "n", "inner", "outer", "shingles").alias("x"))
+    live = materialise(sets.join(members.groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("odd").alias("odd")), "node"))
+    tokens = live.select("node", "root", F.explode("shingles").alias("s"))
+    across = materialise(tokens.groupBy("s").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("s", "c", F.col("c").alias("rank")))
+    shared = join_by_size(tokens.select("node", "s"), across, ["s"], "c").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("rank", "s"))).alias("order"))
+    need = F.ceil(F.lit(p.percent) * F.col("n") / 100).cast("int")
+    before = F.col("n") - F.size("order")
+    firsts = live.select("node", "root", "n", "odd").join(shared, "node").withColumn("left", F.col("n") - need + 1 - before).filter("left > 0")
+    placed = firsts.select("node", "root", "n", "odd", before.alias("before"), F.posexplode(F.slice("order", F.lit(1), F.col("left"))).alias("i", "x"))
+    placed = materialise(placed.select("x.s", "x.rank", "node", "root", "n", "odd", (F.col("n") - F.col("before") - F.col("i")).alias("rest")))
+    parts = F.ceil(F.col("rank") / share).cast("int")
+    one = F.struct("node", "root", "n", "odd", "rest")
+    left = placed.select("s", F.pmod(F.xxhash64("node"), parts).cast("int").alias("salt"), one.alias("x"))
+    right = placed.select("s", F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"), one.alias("y"))
     x, y = F.col("x"), F.col("y")
-    pairs = full.join(full.select("key", F.col("x").alias("y")), "key").filter((x["node"] < y["node"]) & (x["root"] != y["root"]))
-    pairs = pairs.filter(_linked(F.least(x["inner"], y["inner"]) + F.least(x["outer"], y["outer"]), x["n"], y["n"], p)).filter(_alike(x, y, p))
-    pairs = pairs.filter(_linked(F.size(F.array_intersect(x["shingles"], y["shingles"])), x["n"], y["n"], p))
-    return pairs.select(x["root"].alias("root_a"), y["root"].alias("root_b"), F.lit(True).alias("linked")).distinct()
+    pairs = left.join(right, ["s", "salt"]).filter((x["node"] < y["node"]) & (x["root"] != y["root"]))
+    pairs = pairs.filter(_linked(F.least(x["rest"], y["rest"]), x["n"], y["n"], p)).filter(_alike(x, y, p))
+    found = _verified(pairs.select(*[v[f].alias(g) for v, t in ((x, "a"), (y, "b")) for f, g in (("node", t), ("root", f"root_{t}"), ("n", f"n_{t}"))]).distinct(), sets, p)
+    release(live, across, placed)
+    return found.filter("linked")
 
 
 def _roots(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
@@ -172,25 +198,27 @@ def _roots(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     step, failed = 0, None
     while True:
         last = step >= p.star_rounds
-        placed = members.join(state, "node")
+        placed = members.join(state, "node").select("key", "node", "doc", "root", "odd", "n", "degree")
         top = F.max(F.struct("degree", (-F.col("doc")).alias("d"), "node", "root", "odd", "n"))
-        mixed = materialise(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), top.alias("leader")).filter("r0 <> r1").select("key", "leader"))
+        mixed = materialise(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), top.alias("leader")).filter("r0 <> r1").select("key", "leader", "size"))
         if mixed.isEmpty():
             return state.select("node", "root")
+        met = join_by_size(placed, mixed, ["key"], "size")
         if last:
-            fresh = materialise(_cross_links(placed.join(mixed.select("key", F.col("leader.node").alias("leader")), "key").select("key", "node", "root", "odd", "n", "leader"), sets, p))
+            fresh = _cross_links(met.select("node", "root", "n", "odd"), sets, p)
         else:
-            pairs = placed.join(mixed, "key").filter("root <> leader.root").select(F.struct("node", "root", "odd", "n").alias("u"), F.struct("leader.node", "leader.root", "leader.odd", "leader.n").alias("v"))
+            pairs = met.filter("root <> leader.root").select(F.struct("node", "root", "odd", "n").alias("u"), F.struct("leader.node", "leader.root", "leader.odd", "leader.n").alias("v"))
             pairs = pairs.filter(_alike(F.col("u"), F.col("v"), p))
             swap = F.col("u.node") > F.col("v.node")
             pairs = pairs.select(F.when(swap, F.col("v")).otherwise(F.col("u")).alias("x"), F.when(swap, F.col("u")).otherwise(F.col("v")).alias("y"))
             pairs = pairs.select(*[F.col(f"{c}.{f}").alias(g) for c, s in (("x", "a"), ("y", "b")) for f, g in (("node", s), ("root", f"root_{s}"), ("n", f"n_{s}"))]).distinct()
             if failed is not None:
                 pairs = pairs.join(failed, ["a", "b"], "left_anti")
-            fresh = materialise(_verified(pairs, sets, p))
+            fresh = _verified(pairs, sets, p)
         # Components of components: only links found in this round, between the roots so far.
         joined = connected_components(fresh.filter("linked").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        state = state.join(joined, "root", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+        moved = materialise(state.groupBy("root").agg(F.count("*").alias("size")).join(joined, "root", "left").select("root", "size", F.coalesce("new_root", "root").alias("new_root")))
+        state = join_by_size(state, moved, ["root"], "size").drop("root").withColumnRenamed("new_root", "root")
         if last:
             return state.select("node", "root")
         if joined.isEmpty():
@@ -204,6 +232,10 @@ def _roots(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Params | None = None) -> DataFrame:
-    """The rows of ``df`` with one document of each component: the one with the least id."""
-    gone = near_duplicates(df, id_col, text_col, params).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``df`` with one document of each component: the one with the least id.
+
+    A row goes by its id and text, so another row of the same id stays if its text is no copy.
+    Rows with a null id, and those without words, stay; so do repeated rows of the document kept.
+    """
+    gone = _judged(df, id_col, text_col, params or Params()).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    return df.join(gone, (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")

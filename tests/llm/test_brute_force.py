@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import components, decontam, langid, licenses, media, mixing, neardup, quality, queries, secrets, shingles, substrings
+from marlstone.llm import decontam, langid, licenses, media, mixing, neardup, quality, queries, secrets, shingles, substrings
 from marlstone.llm.common import held_out
+from marlstone.operators.graph import connected_components
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -299,6 +300,21 @@ def test_near_duplicates_match_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@needs_tables
+def test_link_recall_on_more_documents(spark):
+    """Every link of sf0.01 by brute force over all pairs that share a shingle."""
+    sf = SF.replace("0.001", "0.01")
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    _, want = brute_components(texts, 4)
+    assert {r["doc_id"]: r["component_id"] for r in queries.op7_neardup(spark, sf).collect()} == want
+
+
+def test_a_row_goes_by_its_text_not_by_its_id(spark):
+    a, b = "one two three four five six seven eight", "a text about something else altogether here"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (None, a)], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in neardup.keep_one(df).collect()) == [(0, a), (1, a), (2, b)]
+
+
 def test_a_group_of_borderline_copies(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(120)]
@@ -314,13 +330,22 @@ def test_a_group_of_borderline_copies(spark):
     assert got == want and len(set(want.values())) > 5
 
 
-def test_a_leader_with_shingles_of_its_own_links(spark):
-    leader, other, third = range(100), [*range(92), *range(200, 208)], [*range(92, 95), *range(300, 397)]
-    rows = [(1, bytes([i]), bytes([i]), 100, [0, 0, 0, 0], b"\1") for i in (1, 2, 3)]
-    members = spark.createDataFrame(rows, "key long, node binary, root binary, n int, odd array<long>, leader binary")
-    sets = spark.createDataFrame([(bytes([i + 1]), list(x)) for i, x in enumerate((leader, other, third))], "node binary, shingles array<long>")
-    got = neardup._cross_links(members, sets, neardup.Params()).collect()
-    assert [(bytes(r["root_a"]), bytes(r["root_b"])) for r in got] == [(b"\1", b"\2")]
+def test_cross_links_are_all_links_between_components(spark):
+    rng = np.random.default_rng(13)
+    sets = []
+    for g in range(12):
+        base = rng.integers(0, 2**40, 100)
+        for _ in range(6):
+            keep = base[rng.random(100) > rng.choice([0.03, 0.1, 0.2])]
+            sets.append(sorted({*keep.tolist(), *rng.integers(0, 50, rng.integers(0, 12)).tolist()}))
+    roots_of = [int(r) for r in rng.integers(0, 30, len(sets))]
+    name = lambda i: bytes([i])
+    members = spark.createDataFrame([(name(i), name(roots_of[i]), len(x), [0, 0, 0, 0]) for i, x in enumerate(sets)] * 2, "node binary, root binary, n int, odd array<long>")
+    table = spark.createDataFrame([(name(i), x) for i, x in enumerate(sets)], "node binary, shingles array<long>")
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if roots_of[i] != roots_of[j] and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    for share in (3, 1000):
+        got = {(r["a"][0], r["b"][0]) for r in neardup._cross_links(members, table, neardup.Params(), share).collect()}
+        assert got == want and len(want) > 20
 
 
 def test_components_in_rounds(spark):
@@ -328,8 +353,8 @@ def test_components_in_rounds(spark):
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 120, (90, 2))] + [(200 + i, 201 + i) for i in range(30)]
     df = spark.createDataFrame(edges, "a long, b long")
     want = roots([e for e in edges if e[0] != e[1]], {x for e in edges if e[0] != e[1] for x in e})
-    for small in (0, 1000):
-        assert {r["node"]: r["root"] for r in components.connected_components(df, small=small).collect()} == want
+    for most in (0, 1000):
+        assert {r["node"]: r["root"] for r in connected_components(df, one_task=most).collect()} == want
 
 
 def test_word_hashes_follow_the_word_rule():
