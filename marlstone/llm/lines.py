@@ -36,17 +36,17 @@ def spread_lines(df: DataFrame, text_col: str, site_col: str, min_sites: int, mi
     return materialise(judged.filter(F.col("sites") > high).select("h1", "h2").unionByName(exact.select("h1", "h2")))
 
 
-def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8, max_share: float | None = None) -> DataFrame:
+def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8) -> DataFrame:
     """``df`` with the lines taken out that stand on ``min_sites`` sites or more.
 
     Adds ``n_lines, n_removed, mirrored`` (any columns of these names in ``df`` give way). Lines
     are compared trimmed of spaces; those under ``min_chars`` never count. A document that holds
     nothing but such lines and blank ones is a copy of a page rather than a page with boilerplate:
-    it is ``mirrored``, stays as it is, and is left to near-dedup. With ``max_share`` a document
-    is mirrored if more than that share of its characters are such lines, whatever else it holds.
+    it is ``mirrored``, stays as it is, and is left to near-dedup.
 
     A null text stays null with 0 lines. A null site counts for no line. Repeated rows are
-    treated alike; null ids are allowed; an empty table gives an empty one.
+    treated alike; null ids are allowed; an empty table gives an empty one. A very long text is one
+    array of lines in its task.
     """
     df = df.drop("n_lines", "n_removed", "mirrored")
     boilerplate = spread_lines(df, text_col, site_col, min_sites, min_chars)
@@ -56,12 +56,8 @@ def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = df.select("*", *key).join(hits, ["__k1", "__k2"], "left")
     lines = F.split(F.col(text_col), "\n")
     kept = F.filter(lines, lambda x: ~(F.array_contains("__gone", _line_key(F.trim(x))) & (F.char_length(F.trim(x)) >= min_chars)))
-    chars = lambda a: F.char_length(F.array_join(a, ""))
     out = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    if max_share is None:
-        whole = ~F.exists("__kept", lambda x: F.regexp_like(x, F.lit("\\S")))
-    else:
-        whole = chars(lines) - chars(F.col("__kept")) > max_share * chars(lines)
+    whole = ~F.exists("__kept", lambda x: F.regexp_like(x, F.lit("\\S")))
     mirrored = F.coalesce(F.col("__kept").isNotNull() & whole, F.lit(False))
     out = out.withColumn("mirrored", mirrored)
     change = F.col("__kept").isNotNull() & ~F.col("mirrored")
