@@ -34,11 +34,6 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("__k1"), F.xxhash64(F.lit(5), *reversed(columns)).alias("__k2")]
 
 
-def small_side(df: DataFrame, most_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``most_rows`` rows; else as it is."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
-
-
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Apply ``fn(*columns)``, which takes a batch's columns as lists, to Arrow batches.
 

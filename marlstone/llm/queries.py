@@ -20,16 +20,16 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.remove_boilerplate(_table(spark, sf_dir, "documents"), max_share=0.5)  # the share that its SQL states
+    done = lines.remove_boilerplate(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), "mirrored", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 LINE_SQL = """
 WITH l AS (SELECT doc_id, source, trim(u.x, ' ') AS line, u.x AS raw, u.i FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i) u),
 b AS (SELECT line FROM l WHERE length(line) >= 8 GROUP BY line HAVING count(DISTINCT source) >= 10),
-m AS (SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS hit, sum(length(raw)) AS chars, coalesce(sum(length(raw)) FILTER (b.line IS NOT NULL), 0) AS gone, string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS rest FROM l LEFT JOIN b USING (line) GROUP BY l.doc_id)
-SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN gone > 0.5 * chars THEN 0 ELSE coalesce(hit, 0) END AS n_removed,
-  coalesce(gone > 0.5 * chars, false) AS mirrored, md5(CASE WHEN hit > 0 AND gone <= 0.5 * chars THEN coalesce(rest, '') ELSE text END) AS text_md5
+m AS (SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS hit, coalesce(bool_or(b.line IS NULL AND regexp_matches(raw, '\\S')), false) AS own, string_agg(raw, chr(10) ORDER BY i) FILTER (b.line IS NULL) AS rest FROM l LEFT JOIN b USING (line) GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, CASE WHEN own THEN coalesce(hit, 0) ELSE 0 END AS n_removed,
+  coalesce(hit > 0 AND NOT own, false) AS mirrored, md5(CASE WHEN hit > 0 AND own THEN coalesce(rest, '') ELSE text END) AS text_md5
 FROM documents LEFT JOIN m USING (doc_id)
 """
 

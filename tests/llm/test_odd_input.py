@@ -18,7 +18,7 @@ def test_mixing(odd_docs, no_docs):
 
 
 def test_lines(odd_docs, no_docs):
-    out = lines.remove_boilerplate(odd_docs, min_sites=2, max_share=1.0)
+    out = lines.remove_boilerplate(odd_docs, min_sites=2)
     got = by_id(out)
     assert out.count() == 9 and out.columns == [*odd_docs.columns, "n_lines", "n_removed", "mirrored"]
     assert got[2]["text"] is None and got[2]["n_lines"] == 0 and got[3]["text"] == ""
@@ -70,8 +70,13 @@ def test_neardup(odd_docs, no_docs):
 def test_decontam(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "three FOUR five"), (2, None), (None, "six seven"), (3, "!!"), (4, "nine"), (1, "three FOUR five")], "item_id long, text string")
     got = by_id(decontam.contamination(odd_docs, items))
-    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["items"], got[1]["contaminated"]) == (10, 4, ["1", "4"], True)
-    assert got[None]["n_hit"] == 4 and got[2]["n_words"] == 0 and not got[2]["contaminated"]
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["items"], got[1]["contaminated"]) == (10, 6, ["1", "4", None], True)
+    assert got[None]["n_hit"] == 6 and got[2]["n_words"] == 0 and not got[2]["contaminated"]
+    unnamed = spark.createDataFrame([(None, "six seven"), (9, "seven eight")], "item_id long, text string")
+    assert (by_id(decontam.contamination(odd_docs, unnamed))[1]["n_hit"], by_id(decontam.contamination(odd_docs, unnamed))[1]["items"]) == (3, ["9", None])
+    rows = spark.createDataFrame([(2, "three four five"), (2, "quite another text"), (None, "three four five"), (None, None), (3, "x three four five " + "y " * 4)], "doc_id long, text string")
+    left = decontam.drop_contaminated(rows, items, hit_share=0.4).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == [(0, ""), (2, "quite another text"), (3, "x three four five " + "y " * 4)]
     assert decontam.contamination(odd_docs, items.limit(0)).filter("contaminated OR n_hit > 0").count() == 0
     assert decontam.contamination(no_docs, items).count() == 0
     assert decontam.drop_contaminated(odd_docs, items).columns == odd_docs.columns
