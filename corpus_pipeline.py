@@ -1,7 +1,10 @@
 """From raw documents to a mixed training corpus, in five stages of the ``llm`` operators.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; the caller writes it as
-Parquet and reads it back as the next stage's ``docs``.
+Parquet and reads it back as the next stage's ``docs``. Stages read the columns of ``documents``;
+others, whatever their names, go. In every stage null ids are allowed, null and empty texts are
+kept (by the first: unless the classifier rejects texts without words), repeated rows fare alike, a
+very long text is judged whole, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from marlstone.llm import decontam, lines, mixing, neardup, quality
 from marlstone.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIXED = ["copies", "rate", "source_size", "target", "taken"]
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +43,11 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: the documents with the number of copies, words, rate and target of each."""
-    plan = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "size").agg(*[F.max(c).alias(c) for c in ("copies", "rate", "source_size", "target", "taken")])
-    plan = plan.withColumnRenamed("doc_id", "__id")
-    return docs.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (mixing.word_count(F.col("text")) == F.col("size"))).select(*COLUMNS, "size", "copies", "rate", "source_size", "target", "taken")
+    plan = mixing.mix(docs).filter("copies > 0").groupBy("doc_id", "size").agg(*[F.max(c).alias(c) for c in MIXED])
+    words = mixing.word_count(F.col("text"))
+    keyed = docs.select(*COLUMNS).withColumn("__size", words)
+    plan = plan.withColumnsRenamed({"doc_id": "__id", "size": "__words"})
+    return keyed.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__size") == F.col("__words"))).select(*COLUMNS, F.col("__size").alias("size"), *MIXED)
 
 
 STAGES = [
