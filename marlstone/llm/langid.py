@@ -23,33 +23,47 @@ class Dictionaries:
     min_margin: float = 0.01
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 96, dict_bytes: int = 98304, max_langs: int = 256, **options) -> Dictionaries:
+#: Pieces of a long text that a dictionary may hold, and the order in which they are taken: any first few lie all over it.
+PIECE, ORDER = 256, (0, 4, 2, 6, 1, 5, 3, 7)
+
+
+def _allowance(sizes: list[int], budget: int) -> int:
+    """How many bytes each text may give so that all together fill ``budget``, short ones giving all they have."""
+    left = budget
+    for i, size in enumerate(sorted(sizes)):
+        share = left // (len(sizes) - i)
+        if size > share:
+            return share
+        left -= size
+    return max(sizes, default=0)
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 96, dict_bytes: int = 98304, **options) -> Dictionaries:
     """Dictionaries from a bounded sample: about ``docs_per_lang`` texts of each language.
 
     Only rows with an id, a text and a language take part; the caller removes what may not be
-    learnt from. The sample is picked by a hash of the id, so reruns agree. The driver holds
-    ``max_langs * docs_per_lang`` texts at most, cut to ``dict_bytes`` of each language's
-    passages; more languages than ``max_langs`` are an error. An empty table gives no languages, and every prediction is then ``und``.
+    learnt from. The sample is picked by a hash of the id, so reruns agree. Every language is
+    learnt; all its sampled texts share ``dict_bytes`` evenly, each giving pieces from all over it.
+    The driver holds 2 KB of each sampled text. An empty table gives no languages, and every
+    prediction is then ``und``.
     """
     usable = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter("i is not null and l is not null and length(t) > 0")
-    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
-    if len(counts) > max_langs:
-        raise ValueError(f"more than max_langs = {max_langs} languages; each needs a dictionary to be predicted")
+    counts = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Dictionaries({}, **options)
     spread = 1 << 30
     pick = F.pmod(F.xxhash64("i"), F.lit(spread))
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("l") == lang) & (pick < min(spread, math.ceil(spread * docs_per_lang / n))))
-    share = dict_bytes // docs_per_lang
-    # A text gives bytes from its middle, where one language is likeliest to stand alone.
-    middle = F.expr(f"substring(t, greatest(1, cast(length(t) / 2 as int) - {share}), {2 * share})")
-    rows = usable.filter(chosen).select("l", pick.alias("p"), middle.alias("t"), "i").collect()
-    texts: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+    shares = usable.sparkSession.createDataFrame([(k, min(spread, math.ceil(spread * docs_per_lang / n))) for k, n in counts.items()], "l string, share long")
+    size = F.char_length("t")
+    step = (size - PIECE) / (len(ORDER) - 1)
+    pieces = F.concat_ws("\n", *[F.substring(F.col("t"), (F.floor(i * step) + 1).cast("int"), F.lit(PIECE)) for i in ORDER])
+    part = F.when(size <= PIECE * len(ORDER), F.col("t")).otherwise(pieces)
+    rows = usable.join(F.broadcast(shares), "l").filter(pick < F.col("share")).select("l", pick.alias("p"), part.alias("t"), "i").collect()
+    texts: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
     for r in sorted(rows, key=lambda r: (r["p"], str(r["i"]), r["t"])):
-        texts[r["l"]].append(r["t"])
-    return Dictionaries({k: "\n".join(v).encode("utf-8", "replace")[:dict_bytes] for k, v in texts.items() if v}, **options)
+        texts[r["l"]].append(r["t"].encode("utf-8", "replace"))
+    content = {k: b"\n".join([t[: _allowance([len(x) for x in v], dict_bytes)] for t in v]) for k, v in texts.items() if v}
+    return Dictionaries(content, **options)
 
 
 def _sizer(model: Dictionaries):

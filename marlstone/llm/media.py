@@ -123,10 +123,11 @@ def cosine_hash(samples: np.ndarray) -> str:
     """64 bits in hex: the sign against their median of the 8 x 8 lowest frequencies.
 
     The image's rows are averaged into ``SIDE`` bands of equal height before the transform.
+    Frequencies are rounded first, so that a flat image has no bits rather than those of rounding.
     """
     bands = samples.reshape(SIDE, -1, samples.shape[1]).mean(axis=1)
     c = _cosines()
-    low = (c @ bands @ c.T).ravel()
+    low = np.round(c @ bands @ c.T, 4).ravel()
     low[0] = 0.0  # brightness carries no shape
     bits = low > np.median(low)
     return np.packbits(bits).tobytes().hex()
@@ -154,19 +155,24 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
 def describe(media: DataFrame) -> DataFrame:
     """Decode the stored bytes of :func:`store` and digest what is read back.
 
-    A damaged image fails the job (``DamagedPng``) rather than yield a wrong digest.
+    A damaged image, or a null one, has null digests and the reason in ``damage``, which is null
+    for whole images. Null ids and repeated rows pass through; an empty table gives no rows.
     """
 
     def read(ids: list, sizes: list, images: list) -> list:
         rows = []
         for n, png in zip(sizes, images):
-            samples = decode_png(png)
+            try:
+                samples = decode_png(png or b"")
+            except DamagedPng as e:
+                rows.append((None,) * 6 + (str(e),))
+                continue
             payload = samples.tobytes()
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples)))
-        return [ids, sizes, *([r[i] for r in rows] for i in range(6))]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest(), cosine_hash(samples), None))
+        return [ids, sizes, *([r[i] for r in rows] for i in range(7))]
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return map_rows(media, ["doc_id", "n_bytes", "media"], read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_rows(media, ["doc_id", "n_bytes", "media"], read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, damage string")
 
 
 def near(feature_a: Column, feature_b: Column) -> Column:

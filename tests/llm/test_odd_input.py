@@ -1,6 +1,5 @@
 """Every operator over odd rows and over an empty table: the results that the docstrings state."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, quality, secrets, substrings
@@ -103,7 +102,82 @@ def test_training_reads_whole_texts_and_every_language(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
     got = by_id(quality.score(df, quality.fit(df, labels, steps=40)))
     assert min(got[i]["score"] for i in range(1, 12, 2)) > max(got[i]["score"] for i in range(0, 12, 2)) + 0.5
-    langs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
-    assert set(langid.fit(langs, max_langs=4).content) == {"l0", "l1", "l2", "l3"}
-    with pytest.raises(ValueError, match="max_langs"):
-        langid.fit(langs, max_langs=3)
+    langs = spark.createDataFrame([(i, f"text {i}", f"l{i}") for i in range(300)], "doc_id long, text string, lang string")
+    assert len(langid.fit(langs).content) == 300
+    # What only the end of a long text, or the last texts of a language, show is learnt too.
+    ends = spark.createDataFrame([(i, "lorem ipsum dolor sit " * 2000 + f"zebra{i} quagga okapi " * 1000, "a") for i in range(90)], "doc_id long, text string, lang string")
+    content = langid.fit(ends).content["a"]
+    assert all(f"zebra{i}".encode() in content for i in range(90)) and len(content) <= 98304 + 90
+
+
+def test_equal_sums_go_to_the_first_language(spark):
+    model = langid.Dictionaries({"b": b"the same words here", "a": b"the same words here"})
+    got = by_id(langid.predict(spark.createDataFrame([(1, "the same words")], "doc_id long, text string"), model))[1]
+    assert got["lang_pred"] == "a" and got["margin"] == 0 and got["rejected"]
+
+
+def test_equal_passages_go_to_the_shortest_then_the_first(spark):
+    text = "all rights reserved x all rights all rights reserved y all rights reserved"
+    df = spark.createDataFrame([(None, text), (None, text), (1, None)], "doc_id long, text string")
+    got = [(r["doc_id"], r["dice"], r["first_word"], r["n_words"]) for r in licenses.scan_licenses(df).collect()]
+    assert got == [(None, 1.0, 0, 3)] * 2
+
+
+def test_real_hits_among_odd_rows(spark):
+    key = "token=abcdef123456"
+    df = spark.createDataFrame([(None, key), (None, key), (1, key + " " + key), (1, None)], "doc_id long, found string").withColumnRenamed("found", "text").withColumn("found", F.lit(1))
+    got = sorted((r["doc_id"] or 0, len(r["found"])) for r in secrets.scan_spans(df).collect())
+    assert got == [(0, 1), (0, 1), (1, 0), (1, 2)]
+    long = " ".join(f"word{i % 89}x{i % 97}" for i in range(120))
+    docs = spark.createDataFrame([(1, f"a {long}"), (1, f"a {long}"), (2, f"b {long} c"), (2, None), (None, long), (3, "")], "doc_id long, text string").withColumns({"k": F.lit("k"), "start": F.lit(1)})
+    spans = substrings.repeated_spans(docs).collect()
+    assert {(r["doc_id"], r["first_doc_id"], r["kept"]) for r in spans} == {(1, 1, True), (2, 1, False)}
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in substrings.drop_repeats(docs).collect())
+    assert [x[0] for x in left] == [0, 1, 1, 2, 2, 3] and len(left[4][1]) < 60 and left[0][1] == long
+
+
+def test_flat_and_damaged_images(spark):
+    import numpy as np
+
+    assert media.cosine_hash(np.full((24, 24), 255, np.uint8)) == "0" * 16
+    whole = media.encode_png(b"abc" * 192)
+    rows = spark.createDataFrame([(1, 576, bytearray(whole)), (2, 576, bytearray(whole[:-3])), (3, 0, None)], "doc_id long, n_bytes long, media binary")
+    got = by_id(media.describe(rows))
+    assert got[1]["damage"] is None and got[1]["payload_bytes"] == 576
+    assert all(got[i]["payload_sha256"] is None and got[i]["feature"] is None and got[i]["damage"] for i in (2, 3))
+
+
+def test_site_columns_with_clashing_names(spark):
+    banner = "a banner line on all of the sites"
+    rows = [(i, f"{banner}\nbody {i}", f"s{i}", 7, 8, "x") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_lines int, n_removed int, mirrored string")
+    got = lines.remove_boilerplate(df).collect()
+    assert {(r["n_lines"], r["n_removed"], r["mirrored"], r["text"].split()[0]) for r in got} == {(2, 1, False, "body")}
+
+
+def test_filters_over_odd_rows(odd_docs, no_docs, spark):
+    rows = odd_docs.withColumns({"__k1": F.lit(1), "node": F.lit("n")})
+    items = spark.createDataFrame([(1, "two three four five six seven")], "item_id long, text string")
+    assert sorted(r["doc_id"] or 0 for r in decontam.drop_contaminated(rows.drop("__k1"), items).collect()) == [2, 3, 5, 6, 8]
+    assert decontam.drop_contaminated(no_docs, items).count() == 0 and neardup.keep_one(no_docs).count() == 0 and substrings.drop_repeats(no_docs).count() == 0
+    assert neardup.keep_one(rows).columns == rows.columns
+
+
+def test_pipeline_stages_over_odd_rows(odd_docs, no_docs, spark, tmp_path):
+    import corpus_pipeline as cp
+
+    sf = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "quite another set of words"), (None, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    clash = odd_docs.withColumns({"copies": F.lit(1), "rate": F.lit(0.5), "target": F.lit("t"), "taken": F.lit(3), "mirrored": F.lit(True)})
+    for name, stage in cp.STAGES:
+        out = stage(spark, clash, sf)
+        got = out.collect()
+        ids = sorted(r["doc_id"] or 0 for r in got)
+        if name == "near_dedup":
+            assert ids == [0, 1, 1, 2, 3, 5, 6, 8]
+        elif name in ("line_dedup", "decontamination"):
+            assert ids == [0, 1, 1, 2, 3, 5, 6, 7, 8]
+        elif name == "mixing":
+            assert {"copies", "size"} <= set(out.columns) and all(r["copies"] > 0 for r in got)
+        assert stage(spark, no_docs, sf).count() == 0
