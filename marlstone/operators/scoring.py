@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The weights, gates and factors that scores must agree on.
@@ -49,9 +49,45 @@ def transition_type(tempo: Column, key: Column, turn: Column) -> Column:
     return F.when((tempo >= 0.9) & (key >= 0.9), "blend").when(tempo >= 0.9, "beatmatch").when(key >= 0.9, "harmonic").when(turn > 0.2, "lift").otherwise("cut")
 
 
-def quality(mean: Column, low: Column, keys: Column, variety: Column, arc: Column, typed: Column) -> Column:
-    """The scorecard: six parts weighted 0.3, 0.15, 0.2, 0.15, 0.1, 0.1."""
-    return 0.3 * mean + 0.15 * low + 0.2 * keys + 0.15 * variety + 0.1 * arc + 0.1 * typed
+# What each part of the scorecard counts.
+PARTS = {"transition": 0.3, "floor": 0.15, "arc": 0.2, "diversity": 0.15, "budget": 0.1, "landmark": 0.1}
+
+
+def scorecard(chains: DataFrame, group: str, asked: int, envelope: tuple[float, float], landmarks: DataFrame | None = None) -> DataFrame:
+    """``group``, six parts and their weighted ``total``, each from 0 to 100 with one decimal.
+
+    ``chains``: group, step from 0, id, score (of the transition into the step), artist, arousal (0
+    to 1). Parts: mean and least transition; 1 - RMSE of arousal to the line between the ends of
+    ``envelope``, half of the range being 0; neighbours of one artist, half of all pairs being 0;
+    steps made of those ``asked`` for; ``landmarks(group, id)`` that were placed. A chain of one step
+    has full transitions and diversity and a neutral arc of 50; nothing asked for costs nothing.
+    """
+    order = Window.partitionBy(group).orderBy("step")
+    whole = Window.partitionBy(group)
+    at = F.col("step") / F.when(F.max("step").over(whole) > 0, F.max("step").over(whole))
+    meant = envelope[0] + at * (envelope[1] - envelope[0])
+    rows = chains.withColumns({"__move": F.when(F.col("step") > 0, F.col("score")), "__off": F.pow(F.col("arousal") - meant, 2), "__same": (F.lag("artist").over(order) == F.col("artist")).cast("int")})
+    if landmarks is not None:
+        rows = rows.join(landmarks.select(group, "id").distinct().withColumn("__placed", F.lit(1)), [group, "id"], "left")
+    else:
+        rows = rows.withColumn("__placed", F.lit(None).cast("int"))
+    part = lambda x, empty: F.when(x.isNull(), empty).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * x)))
+    n = F.count("*")
+    out = rows.groupBy(group).agg(
+        part(F.avg("__move"), 100.0).alias("transition"),
+        part(F.min("__move"), 100.0).alias("floor"),
+        part(1 - F.sqrt(F.avg("__off")) / 0.5, 50.0).alias("arc"),
+        part(1 - 2 * F.sum(F.coalesce("__same", F.lit(0))) / F.when(n > 1, n - 1), 100.0).alias("diversity"),
+        part(n / asked, 100.0).alias("budget"),
+        F.sum("__placed").alias("__placed"),
+    )
+    if landmarks is not None:
+        out = out.join(landmarks.distinct().groupBy(group).agg(F.count("*").alias("__wanted")), group, "left")
+    else:
+        out = out.withColumn("__wanted", F.lit(None).cast("long"))
+    out = out.withColumn("landmark", part(F.coalesce("__placed", F.lit(0)) / F.col("__wanted"), 100.0))
+    total = sum((w * F.col(c) for c, w in PARTS.items()), F.lit(0.0))
+    return out.select(group, *[(F.floor(F.col(c) * 10 + 0.5) / 10).alias(c) for c in PARTS], (F.floor(total * 10 + 0.5) / 10).alias("total"))
 
 
 def _py_scores(pool, i: int, anchor: float):

@@ -48,9 +48,10 @@ def silver_labels(spark, sf):
 
 
 @register("review_queue", f"""
-WITH c AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS kinds, count(*) AS n, avg(l_discount) AS d FROM lineitem GROUP BY 1) SELECT l_partkey, {R4.format('kinds * 1.0 / n + d')} AS suspicion FROM c ORDER BY suspicion DESC, l_partkey LIMIT 100""")
+WITH c AS (SELECT l_partkey, count(DISTINCT l_returnflag) AS kinds, count(*) AS n, sum(round(l_discount * 100)::BIGINT) AS cents FROM lineitem GROUP BY 1) SELECT l_partkey, {R4.format('(100 * kinds + cents)::DOUBLE / (100 * n)')} AS suspicion FROM c ORDER BY suspicion DESC, l_partkey LIMIT 100""")
 def review_queue(spark, sf):
-    c = table(spark, sf, "lineitem").groupBy("l_partkey").agg((F.countDistinct("l_returnflag") * 1.0 / F.count("*") + F.avg("l_discount")).alias("s"))
+    cents = F.sum(F.round(F.col("l_discount") * 100).cast("long"))  # whole units: a sum of doubles depends on its order
+    c = table(spark, sf, "lineitem").groupBy("l_partkey").agg(((100 * F.countDistinct("l_returnflag") + cents) / (100 * F.count("*"))).alias("s"))
     return c.select("l_partkey", round_up(F.col("s"), 4).alias("suspicion")).orderBy(F.desc("suspicion"), "l_partkey").limit(100)
 
 

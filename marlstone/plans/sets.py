@@ -10,7 +10,7 @@ from marlstone.operators import scoring as sc
 from marlstone.plans.catalog import register, table
 
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
-_POOL = "pool AS (SELECT p_partkey AS id, p_size % 8 AS grp, 100 + p_partkey % 40 AS bpm, (p_partkey % 12 + 1)::INT AS hour, (p_partkey // 12) % 2 AS mode, (p_size / 50.0)::DOUBLE AS arousal, (p_partkey % 10) / 10.0 AS dance, p_brand AS artist FROM part WHERE p_partkey < 1200)"
+_POOL = "pool AS (SELECT p_partkey AS id, p_partkey // 1200 * 8 + p_size % 8 AS grp, 100 + p_partkey % 40 AS bpm, (p_partkey % 12 + 1)::INT AS hour, (p_partkey // 12) % 2 AS mode, (p_size / 50.0)::DOUBLE AS arousal, (p_partkey % 10) / 10.0 AS dance, p_brand AS artist FROM part)"
 _STEP = "least(abs(a.hour - b.hour), 12 - abs(a.hour - b.hour))"
 _KEY = f"CASE WHEN {_STEP} = 0 AND a.mode = b.mode THEN 1.0 WHEN ({_STEP} = 1 AND a.mode = b.mode) OR ({_STEP} = 0 AND a.mode <> b.mode) THEN 0.9 WHEN {_STEP} = 2 AND a.mode = b.mode THEN 0.5 ELSE 0.0 END"
 _NEAR = "greatest(0.0, 1 - abs(a.bpm * {f} - b.bpm) / b.bpm / 0.06)"
@@ -22,26 +22,22 @@ def _features(part, grp):
     return part.select(k.alias("id"), grp.alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
 
 
-def _pool(spark, sf):
-    return _features(table(spark, sf, "part").filter("p_partkey < 1200"), F.col("p_size") % 8)
-
-
 def _sessions(spark, sf):
     """All of part. A session is a key range of 1,200 and a size class, so sessions stay bounded as part grows; one per brand would leave each a single artist."""
     return _features(table(spark, sf, "part"), F.floor(F.col("p_partkey") / 1200) * 8 + F.col("p_size") % 8)
 
 
 def _pairs(spark, sf):
-    pool = _pool(spark, sf)
+    pool = _sessions(spark, sf)
     a, b = (pool.select(*[F.col(c).alias(f"{s}_{c}") for c in pool.columns]) for s in "ab")
-    return a.join(b, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_id") < F.col("b_id")) & (F.col("a_id") % 5 == 0))
+    return a.join(b, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_id") < F.col("b_id")))
 
 
 def _side(s):
     return {c: F.col(f"{s}_{c}") for c in ("bpm", "hour", "mode", "arousal", "dance", "artist")}
 
 
-_JOIN = "pool a JOIN pool b ON a.grp = b.grp AND a.id < b.id AND a.id % 5 = 0"
+_JOIN = "pool a JOIN pool b ON a.grp = b.grp AND a.id < b.id"
 
 
 @register("tempo_score", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, {R4.format(_TEMPO)} AS score FROM {_JOIN}")
@@ -89,27 +85,24 @@ def set_beam(spark, sf):
 
 @register("set_quality")
 def set_quality(spark, sf):
-    """The scorecard of the greedy chains."""
+    """The scorecard of the greedy chains: 25 steps asked for, arousal meant to rise over the session, no landmarks."""
     pool = _sessions(spark, sf).select("id", "artist", "arousal")
-    chains = sc.build_chains(_sessions(spark, sf), "grp", 25).join(pool, "id")
-    parts = chains.groupBy("grp").agg(F.avg("score").alias("mean"), F.min(F.when(F.col("step") > 0, F.col("score"))).alias("low"), (F.countDistinct("artist") / F.count("*")).alias("variety"), F.abs(F.corr("step", "arousal")).alias("arc"), F.avg((F.col("score") > 0.5).cast("int")).alias("typed"))
-    zero = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(0.0)), F.lit(0.0))
-    return parts.select("grp", round_up(sc.quality(zero("mean"), zero("low"), zero("mean"), zero("variety"), zero("arc"), zero("typed")), 4).alias("quality"))
+    return sc.scorecard(sc.build_chains(_sessions(spark, sf), "grp", 25).join(pool, "id"), "grp", 25, (0.0, 1.0))
 
 
 @register("match_score", f"""
-WITH q AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '')) AS t, p_size FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS cid, p_brand AS cb, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '')) AS ct, p_size AS cs FROM part WHERE p_partkey % 20 <> 0),
-s AS (SELECT p_partkey, cid, 6 + 4 * (len(list_intersect(t, ct)) / greatest(len(t), len(ct))) + CASE WHEN abs(p_size - cs) <= 2 THEN 3 WHEN abs(p_size - cs) <= 5 THEN 2 ELSE 0 END AS score FROM q JOIN c ON p_brand = cb)
+WITH q AS (SELECT p_partkey, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '')) AS t, p_size FROM part WHERE p_partkey % 20 = 0), c AS (SELECT p_partkey AS cid, p_brand AS cb, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda t: t <> '')) AS ct, p_size AS cs FROM part),
+s AS (SELECT p_partkey, cid, 6 + 4 * (len(list_intersect(t, ct)) / greatest(len(t), len(ct))) + CASE WHEN abs(p_size - cs) <= 2 THEN 3 WHEN abs(p_size - cs) <= 5 THEN 2 ELSE 0 END AS score FROM q JOIN c ON p_brand = cb AND p_partkey <> cid)
 SELECT p_partkey, cid AS best, {R4.format('score')} AS score FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY floor(score * 1e6 + 0.5) DESC, cid) AS r FROM s) WHERE r = 1 AND score >= 8""")
 def match_score(spark, sf):
     """Candidates share the artist (a gate that is also the join key); the best at the floor or above wins."""
     from pyspark.sql import Window
 
     part = table(spark, sf, "part").select("p_partkey", "p_brand", tokens(F.col("p_name")).alias("t"), "p_size")
-    q, c = part.filter("p_partkey % 20 = 0"), part.filter("p_partkey % 20 <> 0").select(F.col("p_partkey").alias("best"), "p_brand", F.col("t").alias("ct"), F.col("p_size").alias("cs"))
+    q, c = part.filter("p_partkey % 20 = 0"), part.select(F.col("p_partkey").alias("best"), "p_brand", F.col("t").alias("ct"), F.col("p_size").alias("cs"))
     gap = F.abs(F.col("p_size") - F.col("cs"))
     score = 6 + 4 * token_ratio(F.col("t"), F.col("ct")) + F.when(gap <= 2, 3).when(gap <= 5, 2).otherwise(0)
-    scored = q.join(c, "p_brand").select("p_partkey", "best", score.alias("s"))
+    scored = q.join(c, "p_brand").filter("p_partkey <> best").select("p_partkey", "best", score.alias("s"))
     rank = F.row_number().over(Window.partitionBy("p_partkey").orderBy(F.floor(F.col("s") * 1e6 + 0.5).desc(), "best"))
     return scored.withColumn("r", rank).filter("r = 1 AND s >= 8").select("p_partkey", "best", round_up(F.col("s"), 4).alias("score"))
 

@@ -224,3 +224,26 @@ def test_sources_and_sinks(spark, tmp_path):
     writers.replace_partitions(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), str(tmp_path / "t"), "k")
     writers.replace_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), str(tmp_path / "t"), "k")
     assert rows(spark.read.parquet(str(tmp_path / "t")).select("k", "v")) == [(1, "a"), (2, "c")]
+
+
+def test_scorecard_parts(spark):
+    from marlstone.operators import scoring
+
+    rows = [("a", i, i, s, w, h) for i, (s, w, h) in enumerate([(0.0, "x", 0.0), (0.8, "y", 0.5), (0.4, "y", 1.0)])] + [("b", 0, 9, 0.0, "x", 0.3)]
+    chains = spark.createDataFrame(rows, "grp string, step long, id long, score double, artist string, arousal double")
+    got = {r["grp"]: r.asDict() for r in scoring.scorecard(chains, "grp", 4, (0.0, 1.0)).collect()}
+    assert got["a"] == {"grp": "a", "transition": 60.0, "floor": 40.0, "arc": 100.0, "diversity": 0.0, "budget": 75.0, "landmark": 100.0, "total": 61.5}
+    assert (got["b"]["transition"], got["b"]["arc"], got["b"]["diversity"], got["b"]["budget"]) == (100.0, 50.0, 100.0, 25.0)
+    marks = spark.createDataFrame([("a", 1), ("a", 77)], "grp string, id long")
+    assert {r["grp"]: r["landmark"] for r in scoring.scorecard(chains, "grp", 4, (0.0, 1.0), marks).collect()} == {"a": 50.0, "b": 100.0}
+
+
+def test_heavy_keys_are_joined_by_broadcast(spark):
+    from marlstone.operators.joins import join_by_size
+
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 1), (3, 2)], "k long, v long")
+    right = spark.createDataFrame([(1, "a", 50), (2, "b", 1)], "k long, w string, n long")
+    for how, rows in (("inner", 51), ("left", 52)):
+        for least in (5, 1000):
+            got = join_by_size(left, right, ["k"], how=how, least=least)
+            assert got.columns == ["k", "v", "w"] and got.count() == rows and got.filter("k = 1 and w = 'a'").count() == 50
