@@ -95,7 +95,7 @@ def test_search_needs_two_characters(spark):
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = dict(rows(graph.components(edges, "a", "b")))
+    got = dict(rows(graph.connected_components(edges, one_task=0)))
     assert set(got.values()) == {0, 100} and got[40] == 0 and got[101] == 100
 
 
