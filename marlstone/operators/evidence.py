@@ -39,7 +39,7 @@ def remixer_prior(tracks: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def with_collapsed(evidence: DataFrame, sibling: str = "same_song_other_version") -> DataFrame:
-    """Direct evidence as it is, and of the siblings' one row per track and family: the most confident, ties by annotator."""
+    """Direct evidence as it is, and of the siblings' one row per track and family, in any case: the most confident, ties by annotator."""
     direct = evidence.filter(~F.col("scope").eqNullSafe(sibling)).select(*ROW)
-    best = evidence.filter(F.col("scope") == sibling).groupBy("track", "family").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "annotator", "scope", "subgenre")).alias("b"))
-    return direct.unionByName(best.select("track", "b.annotator", "b.scope", "family", "b.subgenre", (-F.col("b.c")).alias("confidence")))
+    best = evidence.filter(F.col("scope") == sibling).groupBy("track", F.lower("family")).agg(F.min(F.struct((-F.col("confidence")).alias("c"), "annotator", "scope", "family", "subgenre")).alias("b"))
+    return direct.unionByName(best.select("track", F.concat(F.lit("sibling:collapsed:"), "b.annotator").alias("annotator"), "b.scope", "b.family", "b.subgenre", (-F.col("b.c")).alias("confidence")))

@@ -14,16 +14,22 @@ from marlstone.functions.scalar import round_up
 
 
 def _blocks(df: DataFrame, vec: str, rows: int) -> tuple[DataFrame, int]:
-    """Vectors packed into blocks: ``block, ids, packed`` (float64, unit length; zero vectors stay zero)."""
+    """Vectors packed into blocks: ``block, ids, packed``, both binary (int64; float64 of unit length, zero vectors stay zero)."""
     n = max(1, -(-df.count() // rows))
-    packed = df.select("__id", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int").alias("block"), F.col(vec).cast("array<double>").alias("v"))
-    return packed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("__id", "v"))).alias("rows")), n
+    placed = df.select("__id", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int").alias("block"), F.col(vec).cast("array<double>").alias("v"))
+    grouped = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("__id", "v"))).alias("rows"))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rows_ = batch.column(1)[i].values
+                ids = rows_.field(0).to_numpy(zero_copy_only=False)
+                m = rows_.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([ids.astype(np.int64).tobytes()]), pa.array([unit.tobytes()])], ["block", "ids", "packed"])
 
-def _matrix(rows: list) -> np.ndarray:
-    m = np.array([r["v"] for r in rows], np.float64)
-    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    return grouped.mapInArrow(pack, "block int, ids binary, packed binary"), n
 
 
 def knn_edges(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", same: bool = False, decimals: int = 6, block_rows: int = 2048) -> DataFrame:
@@ -37,15 +43,14 @@ def knn_edges(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_
     q, nq = _blocks(queries.select(F.col(id_col).alias("__id"), vec), vec, block_rows)
     c, nc = _blocks(corpus.select(F.col(id_col).alias("__id"), vec), vec, block_rows)
     # Every query block goes to every corpus block: an equi-join on the corpus block's number.
-    meet = q.select("rows", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("block")).join(c.withColumnRenamed("rows", "others"), "block")
+    meet = q.select("ids", "packed", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("block")).join(c.withColumnsRenamed({"ids": "oids", "packed": "opacked"}), "block")
     scale = 10.0**decimals
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                mine, others = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                ids, oid = np.array([r["__id"] for r in mine]), np.array([r["__id"] for r in others])
-                sims = np.floor(_matrix(mine) @ _matrix(others).T * scale + 0.5) / scale
+                ids, mine, oid, others = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.float64) * 2))
+                sims = np.floor(mine.reshape(len(ids), -1) @ others.reshape(len(oid), -1).T * scale + 0.5) / scale
                 if same:
                     sims[ids[:, None] == oid[None, :]] = -np.inf
                 # others are sorted by id, so a stable sort breaks ties by id
@@ -54,7 +59,7 @@ def knn_edges(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_
                 ok = np.isfinite(value).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])[ok]), pa.array(oid[top].ravel()[ok]), pa.array(value.ravel()[ok])], ["query", "neighbour", "similarity"])
 
-    found = meet.select("rows", "others").mapInArrow(best, "query long, neighbour long, similarity double")
+    found = meet.select("ids", "packed", "oids", "opacked").mapInArrow(best, "query long, neighbour long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

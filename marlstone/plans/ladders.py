@@ -174,7 +174,7 @@ def votes_to_evidence(spark, sf):
 
 @register("evidence_collapsed", f"""
 WITH {_VOTES}, m AS (SELECT *, CASE WHEN track % 2 = 0 AND scope = 'user' THEN 'same_song_other_version' ELSE scope END AS s FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY track, family ORDER BY confidence DESC, annotator) AS r FROM m WHERE s = 'same_song_other_version')
-SELECT track, annotator, s AS scope, family, subgenre, confidence FROM m WHERE s <> 'same_song_other_version' UNION ALL SELECT track, annotator, s, family, subgenre, confidence FROM r WHERE r = 1""")
+SELECT track, annotator, s AS scope, family, subgenre, confidence FROM m WHERE s <> 'same_song_other_version' UNION ALL SELECT track, 'sibling:collapsed:' || annotator, s, family, subgenre, confidence FROM r WHERE r = 1""")
 def evidence_collapsed(spark, sf):
     scope = F.when((F.col("track") % 2 == 0) & (F.col("scope") == "user"), "same_song_other_version").otherwise(F.col("scope"))
     return ev.with_collapsed(_evidence(spark, sf).withColumn("scope", scope))
