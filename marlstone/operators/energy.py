@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.scalar import round_up
+from marlstone.operators.evalstats import cohen_d, spearman
+
 
 def nearest_rank(sorted_values: Column, n: Column, p: float) -> Column:
     """The value at floor(p * n), from 0."""
@@ -62,3 +65,51 @@ def composite(df: DataFrame, signals: dict[str, float]) -> DataFrame:
     have = sum((F.when(F.col(f"__p_{s}").isNotNull(), F.lit(w)).otherwise(0.0) for s, w in signals.items()), F.lit(0.0))
     score = sum((F.coalesce(F.col(f"__p_{s}"), F.lit(0.0)) * w for s, w in signals.items()), F.lit(0.0))
     return out.withColumns({"composite": F.when(have > 0, score / have), "confidence": have / total}).drop(*[f"__p_{s}" for s in signals])
+
+
+def _gate(row: DataFrame, name: str, value: Column, passed: Column) -> DataFrame:
+    return row.select(F.lit(name).alias("name"), passed.alias("pass"), round_up(value, 3).alias("value"))
+
+
+def gate_dominance(df: DataFrame, blocs: list[str], most: float = 0.4, least_rows: int = 10) -> DataFrame:
+    """No bloc has more than ``most`` of the summed variances. Too few rows fail, blocs that never vary pass."""
+    row = df.agg(F.count("*").alias("n"), *[F.coalesce(F.var_samp(b), F.lit(0.0)).alias(b) for b in blocs])
+    total = sum((F.col(b) for b in blocs), F.lit(0.0))
+    share = F.when(F.col("n") >= least_rows, F.when(total < 1e-10, 0.0).otherwise(F.greatest(*[F.col(b) for b in blocs]) / total))
+    return _gate(row, "bloc-dominance", share, F.coalesce(share <= most, F.lit(False)))
+
+
+def gate_not_tempo(df: DataFrame, composite: str, tempo: str, most: float = 0.5) -> DataFrame:
+    """The composite is not just the tempo: rank correlation under ``most`` either way."""
+    rho = round_up(F.abs("rho"), 3)
+    return _gate(spearman(df, composite, tempo), "not-bpm", rho, F.coalesce(rho < most, F.lit(False)))
+
+
+def gate_tiers(df: DataFrame, measured: list[str], perceived: str, least: float = 0.4) -> DataFrame:
+    """The mean of the measured blocs ranks rows like the perceived one."""
+    rows = df.withColumn("__mean", sum((F.col(c) for c in measured), F.lit(0.0)) / len(measured))
+    rho = round_up(F.col("rho"), 3)
+    return _gate(spearman(rows, "__mean", perceived), "tier-agreement", rho, F.coalesce(rho >= least, F.lit(False)))
+
+
+def gate_direction(df: DataFrame, high: Column, value: str, least: float = 0.5) -> DataFrame:
+    """Families meant to be high score higher, by Cohen's d; a check, never a target. ``high`` is null for rows of neither side."""
+    d = round_up(F.col("d"), 3)
+    return _gate(cohen_d(df.filter(high.isNotNull()), high, value), "genre-direction", d, F.coalesce(d > least, F.lit(False)))
+
+
+def gate_bands(df: DataFrame, name: str, a: str, b: str, most: int = 1, least: float = 0.95, empty: bool = False) -> DataFrame:
+    """Two bands of a row (before and after a gain, two copies) lie within ``most`` in ``least`` of the rows; without rows the gate is ``empty``."""
+    row = df.agg(F.avg((F.abs(F.col(a) - F.col(b)) <= most).cast("int")).alias("share"))
+    share = round_up(F.col("share"), 3)
+    return _gate(row, name, share, F.coalesce(share >= least, F.lit(empty)))
+
+
+def collect_gates(gates: list[DataFrame]) -> DataFrame:
+    """All gates, one row each, with ``passed, total, all_pass``. A row a gate, so one window holds them."""
+    out = gates[0]
+    for g in gates[1:]:
+        out = out.unionByName(g)
+    w = Window.partitionBy()
+    out = out.withColumns({"passed": F.count_if("pass").over(w), "total": F.count("*").over(w)})
+    return out.withColumn("all_pass", F.col("passed") == F.col("total"))

@@ -101,3 +101,46 @@ def holm(df: DataFrame, p: str) -> DataFrame:
     m = F.count("*").over(Window.partitionBy())
     raw = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(w) + 1))
     return df.withColumn("__raw", raw).withColumn("adjusted", F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__raw")
+
+
+def run_compare(a: DataFrame, b: DataFrame, key: str, conf: str, correct: str, steps: int = 20) -> DataFrame:
+    """Two runs over the same keys: per threshold the difference in accuracy (0 where a run covers nothing), beside the difference over all rows and McNemar's test."""
+    share = lambda df, name: df.agg(F.avg(F.col(correct).cast("int")).alias(name))
+    curve = lambda df, name: risk_coverage(df, F.col(conf), F.col(correct), steps).select("threshold", F.coalesce("accuracy", F.lit(0.0)).alias(name))
+    whole = share(a, "__a").join(share(b, "__b")).join(mcnemar(a, b, key, correct))  # one row each
+    lines = curve(a, "__x").join(curve(b, "__y"), "threshold").join(F.broadcast(whole))
+    return lines.select("threshold", (F.col("__y") - F.col("__x")).alias("delta"), (F.col("__b") - F.col("__a")).alias("accuracy_delta"), "b", "c", "chi2", "p")
+
+
+# Section labels that mean the same.
+SECTIONS = {"chorus": "drop", "peak": "drop", "up": "buildup", "down": "breakdown"}
+
+
+def section_match(predicted: DataFrame, truth: DataFrame, key: str, tolerance: int = 1) -> DataFrame:
+    """``key, f1, label_accuracy, over, under`` of sections ``(key, start, label)`` against the true ones.
+
+    Predicted starts in order each take the first free true start within the tolerance; labels are
+    compared with the first true section within it, free or not. A key without sections on one side
+    gets 0, and 1 for the side that has them. An item's sections are few, so they are arrays.
+    """
+    side = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "label"))).alias(name))
+    none = F.array().cast("array<struct<start:bigint,label:string>>")
+    rows = side(predicted.withColumn("start", F.col("start").cast("long")), "__p").join(side(truth.withColumn("start", F.col("start").cast("long")), "__t"), key, "full")
+    rows = rows.withColumns({"__p": F.coalesce("__p", none), "__t": F.coalesce("__t", none)})
+    near = lambda p, t: F.abs(p["start"] - t["start"]) <= tolerance
+    # State: places of the true sections taken so far; one more per predicted section that finds a free one.
+    places = F.when(F.size("__t") > 0, F.sequence(F.lit(0), F.size("__t") - 1)).otherwise(F.array().cast("array<int>"))
+    free = lambda taken, p: F.filter(places, lambda i: near(p, F.col("__t")[i]) & ~F.array_contains(taken, i))
+    hits = F.size(F.aggregate("__p", F.array().cast("array<int>"), lambda taken, p: F.concat(taken, F.slice(free(taken, p), 1, 1))))
+    aliases = F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv])
+    plain = lambda c: F.coalesce(F.try_element_at(aliases, F.lower(F.trim(c))), F.lower(F.trim(c)))
+    seen = F.filter(F.transform("__p", lambda p: F.struct(p["label"].alias("p"), F.get(F.filter("__t", lambda t: near(p, t)), 0).alias("t"))), lambda x: x["t"].isNotNull())
+    same = F.size(F.filter(seen, lambda x: plain(x["p"]) == plain(x["t"]["label"])))
+    np_, nt, ok = F.size("__p"), F.size("__t"), F.size("__p") * F.size("__t") > 0
+    return rows.select(
+        key,
+        F.when(ok, 2 * hits / (np_ + nt)).otherwise(0.0).alias("f1"),
+        F.when(ok & (F.size(seen) > 0), same / F.size(seen)).otherwise(0.0).alias("label_accuracy"),
+        F.when(ok, F.greatest(F.lit(0), np_ - nt) / nt).otherwise((np_ > 0).cast("double")).alias("over"),
+        F.when(ok, F.greatest(F.lit(0), nt - np_) / nt).otherwise((nt > 0).cast("double")).alias("under"),
+    )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.relational import band_count
+
 # The weights, gates and factors that scores must agree on.
 WEIGHTS = {"tempo": 0.45, "key": 0.30, "mood": 0.25, "bonus": 0.15, "dance": 0.10}
 DRIFT = 0.12
@@ -143,3 +145,27 @@ def build_chains(pool: DataFrame, group: str, steps: int, width: int = 1) -> Dat
         return pd.DataFrame({group: pdf[group].iloc[0], "step": range(len(path)), "id": [ids[j] for j in path], "score": marks})
 
     return pool.groupBy(group).applyInPandas(search, f"{group} {pool.schema[group].dataType.simpleString()}, step long, id long, score double")
+
+
+def opener(pool: DataFrame, start: float, seed: int = 0, neighbours: int = 15) -> DataFrame:
+    """The row that opens a set: nearest to the ``start`` arousal, then by id, among rows with enough others within the tempo lane; seed s takes the s-th of them, round and round.
+
+    Where no row has so many neighbours all with a tempo compete. Only the first rows of the order
+    are kept, so nothing is sorted whole. ``neighbours`` counts the row itself.
+    """
+    mixable = band_count(pool, "bpm", 1 - LANE)
+    enough = mixable.filter(F.col("neighbours") >= neighbours)
+    n = enough.count()
+    ranked, n = (enough, n) if n else (mixable, mixable.count())
+    if not n:
+        return ranked
+    off = F.floor(F.abs(F.coalesce("arousal", F.lit(5 / 9)) - start) * 1e6 + 0.5)
+    first = ranked.withColumn("__off", off).orderBy("__off", "id").limit(seed % n + 1)
+    return first.orderBy(F.desc("__off"), F.desc("id")).limit(1).drop("__off")
+
+
+def chain_digest(chains: DataFrame, group: str) -> DataFrame:
+    """``group, digest``: 16 hex digits over the steps in order, ids and scores with three decimals (- for none); equal chains, equal digests."""
+    line = F.concat_ws(" ", F.col("id").cast("string"), F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.3f", F.floor(F.col("score") * 1000 + 0.5) / 1000)))
+    rows = chains.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("r"))
+    return rows.select(group, F.substring(F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256), 1, 16).alias("digest"))

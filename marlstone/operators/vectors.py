@@ -181,3 +181,29 @@ def folds(df: DataFrame, label: str, order: str, k: int, name: str = "fold") ->
 
 def bounded(column: Column, least: int, most: int) -> Column:
     return F.least(F.greatest(column, F.lit(least)), F.lit(most))
+
+
+def best_of(queries: DataFrame, seeds: DataFrame, k: int, id_col: str, place: str, label: str, least: float = 0.6, vec: str = "embedding", places: int = 64) -> DataFrame:
+    """``query, predicted, agreement, place, refused``: of an item's vectors the one whose neighbours agree most, the earliest among equals.
+
+    ``queries`` has a row per item and place (0 to ``places`` - 1: the whole, then its sections).
+    """
+    one = queries.withColumn("__q", F.col(id_col) * places + F.col(place))
+    edges = knn_edges(one.drop(id_col).withColumnRenamed("__q", id_col), seeds, k, id_col, vec)
+    votes = vote(edges, seeds, id_col, label, least).select(F.floor(F.col("query") / places).alias("query"), F.pmod("query", F.lit(places)).alias("place"), "predicted", "agreement", "refused")
+    best = votes.groupBy("query").agg(F.min(F.struct((-F.col("agreement")).alias("a"), "place", "predicted", "refused")).alias("b"))
+    return best.select("query", "b.predicted", (-F.col("b.a")).alias("agreement"), "b.place", "b.refused")
+
+
+def disputes(rows: DataFrame, k: int, id_col: str, label: str, flag: str, at: str, now: Column, least: float = 0.6, vec: str = "embedding") -> DataFrame:
+    """Every disputed row with the consensus of its neighbours among the undisputed: ``query, label, consensus, agreement, agrees, age_days``.
+
+    Without a vector or enough agreement the consensus is null; ``age_days`` is null without a vector's time.
+    """
+    flagged = F.col(flag).eqNullSafe("disputed")
+    seeds = rows.filter(~flagged & F.col(label).isNotNull() & F.col(vec).isNotNull())
+    asked = rows.filter(flagged)
+    voted = vote(knn_edges(asked.filter(F.col(vec).isNotNull()), seeds, k, id_col, vec), seeds, id_col, label, least).filter(~F.col("refused"))
+    age = F.round((now.cast("timestamp").cast("double") - F.col(at).cast("timestamp").cast("double")) / 86400).cast("long")
+    out = asked.select(F.col(id_col).alias("query"), F.col(label).alias("label"), age.alias("age_days")).join(voted.select("query", F.col("predicted").alias("consensus"), "agreement"), "query", "left")
+    return out.withColumn("agrees", F.coalesce(F.col("label") == F.col("consensus"), F.lit(False)))
