@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.scalar import round_up
 from marlstone.operators import energy as en
 from marlstone.operators import evalstats as es
+from marlstone.operators import health as hl
 from marlstone.operators import lifecycle as lc
 from marlstone.operators import scoring as sc
 from marlstone.operators import vectors as vc
@@ -115,3 +116,34 @@ def chain_repeats(spark, sf):
 @register("chain_digest", f"WITH {_CHAIN} SELECT user_id, left(sha256(string_agg(event_id || ' ' || CASE WHEN score IS NULL THEN '-' ELSE printf('%.3f', floor(score * 1000 + 0.5) / 1000) END, chr(10) ORDER BY step)), 16) AS digest FROM c GROUP BY 1")
 def chain_digest(spark, sf):
     return sc.chain_digest(_chains(spark, sf), "user_id")
+
+
+_JOBS = "j AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'running' ELSE 'queued' END AS status, CASE WHEN o_orderkey % 11 <> 0 THEN 1000 + o_orderkey % 500 END AS started, CASE WHEN o_orderkey % 3 = 0 THEN 1000 + o_orderkey % 700 END AS touched, CASE WHEN o_orderkey % 4 = 0 THEN 1000 + o_orderkey % 600 END AS moved, o_orderkey % 5 = 0 AS held FROM orders)"
+
+
+def _jobs(spark, sf):
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    return table(spark, sf, "orders").select(
+        k.alias("id"), F.when(s == "F", "done").when(s == "O", "running").otherwise("queued").alias("status"), F.when(k % 11 != 0, 1000 + k % 500).alias("started"),
+        F.when(k % 3 == 0, 1000 + k % 700).alias("touched"), F.when(k % 4 == 0, 1000 + k % 600).alias("moved"), (k % 5 == 0).alias("held"))
+
+
+@register("phantom_jobs", f"WITH {_JOBS} SELECT id, 'completion never delivered' AS error FROM j WHERE status <> 'done' AND started < 1320 AND coalesce(touched, 0) < 1380 AND NOT held")
+def phantom_jobs(spark, sf):
+    return hl.phantoms(_jobs(spark, sf), F.lit(1500))
+
+
+@register("stalled_jobs", f"WITH {_JOBS}, l AS (SELECT id, status, greatest(coalesce(moved, 0), coalesce(started, 0)) AS last FROM j) SELECT id, 1500 - last AS idle FROM l WHERE status = 'running' AND last > 0 AND last < 1200")
+def stalled_jobs(spark, sf):
+    return hl.stalled(_jobs(spark, sf), F.lit(1500).cast("long"), 5)
+
+
+@register("feed_since", "WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events), k AS (SELECT *, max(b) OVER (PARTITION BY user_id) AS m FROM r WHERE b <= 50) SELECT user_id, event_id, (m - b + 1)::INT AS place, m::INT AS next FROM k WHERE m - b + 1 > 10 OR m < 10")
+def feed_since(spark, sf):
+    return hl.feed(table(spark, sf, "events").select("user_id", "event_id"), "user_id", ["event_id"], 10, 50)
+
+
+@register("mount_events", "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'mounted' WHEN s_suppkey % 7 = 0 THEN 'unmounted' ELSE 'relabelled' END AS kind FROM supplier WHERE (s_suppkey % 5 = 0) <> (s_suppkey % 7 = 0) OR (s_suppkey % 3 = 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0)")
+def mount_events(spark, sf):
+    s = table(spark, sf, "supplier")
+    return hl.mount_events(s.filter("s_suppkey % 5 <> 0"), s.filter("s_suppkey % 7 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name"))), "s_suppkey", "s_name")

@@ -48,6 +48,14 @@ def _hadoop_path(spark: SparkSession, path: str):
     return hpath, hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of that name under the shared scratch folder, deleted when the driver's JVM shuts down."""
+    path = f"{scratch_root(spark)}/marlstone-{name}"
+    hpath, fs = _hadoop_path(spark, path)
+    fs.deleteOnExit(hpath)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet to the shared scratch folder and read it back.
 
@@ -55,10 +63,8 @@ def materialise(df: DataFrame) -> DataFrame:
     :func:`release`, or when the driver's JVM shuts down.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/marlstone-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, uuid.uuid4().hex)
     df.write.parquet(path)
-    hpath, fs = _hadoop_path(spark, path)
-    fs.deleteOnExit(hpath)
     return spark.read.schema(df.schema).parquet(path)
 
 

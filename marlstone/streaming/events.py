@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.session import scratch_folder
+
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts") -> DataFrame:
     """A file stream of an event table. Parquet files that arrive in the folder are read once each."""
@@ -59,8 +61,23 @@ def progress(df: DataFrame, key: str, done: str, total: float, time: str = "ts")
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Process what is there and return the result table, for batch use of a streaming plan."""
+    """Process what is there and return the result table, for batch use of a streaming plan.
+
+    Every batch is written as Parquet beside the stream's own checkpoint, in the shared scratch
+    folder; a batch that is run again overwrites its rows. In complete mode the last batch is the
+    result, otherwise all batches together.
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    root = scratch_folder(spark, name)
+    seen: list[int] = []
+
+    def keep(rows: DataFrame, i: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{root}/rows/batch={i}")
+        seen.append(i)
+
+    query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not seen:
+        return spark.createDataFrame([], stream.schema)
+    last = f"{root}/rows/batch={max(seen)}" if mode == "complete" else f"{root}/rows/batch=*"
+    return spark.read.schema(stream.schema).parquet(last)
