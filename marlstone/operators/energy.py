@@ -7,20 +7,20 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import round_up
 from marlstone.operators.evalstats import cohen_d, spearman
+from marlstone.operators.ranks import cumulative
 
 
-def nearest_rank(sorted_values: Column, n: Column, p: float) -> Column:
-    """The value at floor(p * n), from 0."""
-    return F.element_at(sorted_values, (F.floor(n * p) + 1).cast("int"))
+def nearest_rank(value: Column, run: Column, n: Column, p: float) -> Column:
+    """Aggregate: the value at place floor(n * p) from 0, given the running count of each distinct value."""
+    return F.min(F.when(run > F.floor(n * p), value))
 
 
 def percentile_rank(df: DataFrame, value: str, name: str, keys: list[str] | None = None, inverted: bool = False) -> DataFrame:
     """Share of rows at or below the value, counted over distinct values (one row each), per key."""
     keys = keys or []
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*keys)
-    below = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("__n").over(w)
-    ranked = counts.select(*keys, value, (1 - below if inverted else below).alias(name))
+    below = F.col("__run") / F.col("__all")
+    ranked = cumulative(counts, value, "__n", "__run", "__all", keys).select(*keys, value, (1 - below if inverted else below).alias(name))
     return df.join(ranked, [*keys, value])
 
 
@@ -37,9 +37,10 @@ def band(p: Column) -> Column:
 
 
 def decile_cuts(df: DataFrame, value: str) -> DataFrame:
-    """Cut points at the deciles by nearest rank: one row, ``cuts``."""
-    row = df.agg(F.array_sort(F.collect_list(value)).alias("v"), F.count("*").alias("n"))
-    return row.select(F.array(*[nearest_rank(F.col("v"), F.col("n"), i / 10) for i in range(1, 9)]).alias("cuts"))
+    """Cut points at the deciles by nearest rank: one row, ``cuts``. Nulls are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
+    runs = cumulative(counts, value, "__n", "__run", "__all")
+    return runs.agg(F.array(*[nearest_rank(F.col(value), F.col("__run"), F.col("__all"), i / 10) for i in range(1, 9)]).alias("cuts"))
 
 
 def band_of(value: Column, cuts: Column) -> Column:
@@ -50,9 +51,10 @@ def band_of(value: Column, cuts: Column) -> Column:
 def dead_signals(df: DataFrame, signals: list[str], least: float = 0.02) -> DataFrame:
     """``signal, iqr, dead``: quartiles by nearest rank of the min-max scaled signal."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).cast("double").alias("v")) for s in signals]))).filter("v is not null")
-    rows = long.groupBy("signal").agg(F.array_sort(F.collect_list("v")).alias("v"), F.count("*").alias("n"))
-    span = F.element_at("v", -1) - F.col("v")[0]
-    iqr = F.when(span > 0, (nearest_rank(F.col("v"), F.col("n"), 0.75) - nearest_rank(F.col("v"), F.col("n"), 0.25)) / span).otherwise(0.0)
+    runs = cumulative(long.groupBy("signal", "v").agg(F.count("*").alias("n")), "v", "n", "__run", "__all", ["signal"])
+    at = lambda p: nearest_rank(F.col("v"), F.col("__run"), F.col("__all"), p)
+    rows = runs.groupBy("signal").agg((F.max("v") - F.min("v")).alias("span"), (at(0.75) - at(0.25)).alias("middle"))
+    iqr = F.when(F.col("span") > 0, F.col("middle") / F.col("span")).otherwise(0.0)
     return rows.select("signal", iqr.alias("iqr")).withColumn("dead", F.col("iqr") < least)
 
 

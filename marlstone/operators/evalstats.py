@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import erfc_positive, uniform
+from marlstone.operators.ranks import cumulative
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -70,11 +71,9 @@ def bootstrap_ci(df: DataFrame, order: str, value: Column, draws: int = 1000, se
 
 def fractional_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean. Distinct values are numbered, not rows."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(value).agg(F.count("*").alias("__n"))
-    below = F.coalesce(F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(counts.select(value, (below + (F.col("__n") + 1) / 2).alias(name)), value)
+    runs = cumulative(counts, value, "__n", "__run", "__all")
+    return df.join(runs.select(value, (F.col("__run") - (F.col("__n") - 1) / 2).alias(name)), value)
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -109,3 +109,17 @@ def test_evidence_rows(spark):
     assert [(r.annotator, r.scope, r.family, r.subgenre, r.confidence) for r in rows] == [("vote:bp", "exact_recording", "house", "House", 0.9)]
     sibs = spark.createDataFrame([("t", "a", "same_song_other_version", "House", None, 0.5), ("t", "b", "same_song_other_version", "house", None, 0.7), ("t", "c", "user", "x", None, 0.1)], "track string, annotator string, scope string, family string, subgenre string, confidence double")
     assert sorted((r.annotator, r.family, r.confidence) for r in ev.with_collapsed(sibs).collect()) == [("c", "x", 0.1), ("sibling:collapsed:b", "house", 0.7)]
+
+
+def test_cumulative_over_ranges(spark):
+    from marlstone.operators.ranks import cumulative
+
+    rng = random.Random(5)
+    rows = [(k, v) for k in "ab" for v in [rng.randrange(40) * 1.5 for _ in range(300)]] + [("a", None)] * 3
+    counts = spark.createDataFrame(rows, "k string, v double").groupBy("k", "v").agg(F.count("*").alias("n"))
+    low = lambda x: float("-inf") if x is None else x
+    for ranges in (2, 64):
+        for r in cumulative(counts, "v", "n", "run", "all", ["k"], ranges).collect():
+            mine = [low(v) for k, v in rows if k == r.k]
+            assert (r.run, r.all) == (sum(v <= low(r.v) for v in mine), len(mine))
+    assert cumulative(counts.filter("n < 0"), "v", "n", "run", "all").count() == 0
