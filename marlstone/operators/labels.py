@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import materialise
+from marlstone.operators.joins import small_side
+from marlstone.session import materialise, release
+
+SMALL = 10_000  # rows of a label table that may be broadcast
 
 
 def elect(votes: DataFrame, item: str, label: str, weight: str, umbrella: list[str]) -> DataFrame:
@@ -60,7 +63,7 @@ def dawid_skene(annotations: DataFrame, item: str, annotator: str, label: str, i
     classes = a.select(F.col("l").alias("t")).distinct()
     k = classes.count()
     votes = a.groupBy("i", F.col("l").alias("t")).agg(F.sum("n").alias("n"))
-    every = a.select("i").distinct().crossJoin(F.broadcast(classes))  # classes: a label set, no larger than the vocabulary
+    every = a.select("i").distinct().crossJoin(small_side(classes, SMALL))
     share = (F.coalesce("n", F.lit(0)) + smooth) / (F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("i")) + smooth * k)
     post = materialise(every.join(votes, ["i", "t"], "left").select("i", "t", share.alias("p")))
     for step in range(1, iterations + 1):
@@ -68,11 +71,12 @@ def dawid_skene(annotations: DataFrame, item: str, annotator: str, label: str, i
         row = joint.groupBy("j", "t").agg(F.sum("c").alias("s"))
         prior = post.groupBy("t").agg(F.avg("p").alias("prior"))
         conf = joint.join(row, ["j", "t"]).select("j", "t", "l", F.log((F.col("c") + smooth) / (F.col("s") + smooth * k)).alias("lp"))
-        score = a.join(conf, ["j", "l"]).groupBy("i", "t").agg(F.sum(F.col("n") * F.col("lp")).alias("ll")).join(F.broadcast(prior), "t").select("i", "t", (F.col("ll") + F.log("prior")).alias("ll"))
+        score = a.join(conf, ["j", "l"]).groupBy("i", "t").agg(F.sum(F.col("n") * F.col("lp")).alias("ll")).join(small_side(prior, SMALL), "t").select("i", "t", (F.col("ll") + F.log("prior")).alias("ll"))
         w = Window.partitionBy("i")
         e = F.exp(F.col("ll") - F.max("ll").over(w))
         new = materialise(score.withColumn("e", e).select("i", "t", (F.col("e") / F.sum("e").over(w)).alias("p")))
         moved = new.join(post.withColumnRenamed("p", "q"), ["i", "t"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
+        release(post)
         post = new
         if moved < epsilon:
             break
@@ -84,11 +88,13 @@ def bradley_terry(pairs: DataFrame, winner: str, loser: str, iterations: int = 1
     games = materialise(pairs.select(F.col(winner).alias("w"), F.col(loser).alias("l")).groupBy("w", "l").agg(F.count("*").alias("n")))
     sides = materialise(games.select(F.col("w").alias("id"), F.col("l").alias("other"), "n", F.col("n").alias("won")).unionByName(games.select(F.col("l").alias("id"), F.col("w").alias("other"), "n", F.lit(0).cast("long").alias("won"))).groupBy("id", "other").agg(F.sum("n").alias("n"), F.sum("won").alias("won")))
     scores = sides.select("id").distinct().withColumn("s", F.lit(1.0))
-    for _ in range(iterations):
+    for step in range(iterations):
         met = sides.join(scores, "id").join(scores.select(F.col("id").alias("other"), F.col("s").alias("t")), "other")
         raw = met.groupBy("id").agg((F.sum("won") / F.sum(F.col("n") / (F.col("s") + F.col("t")))).alias("s"))
         new = materialise(raw.select("id", (F.col("s") / F.max("s").over(Window.partitionBy())).alias("s")))
         moved = new.join(scores.withColumnRenamed("s", "o"), "id").agg(F.max(F.abs(F.col("s") - F.col("o")))).first()[0]
+        if step:  # the first scores are no table of their own
+            release(scores)
         scores = new
         if moved < epsilon:
             break

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import round_up
+from marlstone.operators.joins import small_side
 
 
 def _blocks(df: DataFrame, vec: str, rows: int) -> tuple[DataFrame, int]:
@@ -159,7 +160,7 @@ def labelled_pair_means(df: DataFrame, id_col: str, vec: str, label: str) -> Dat
     parts = unit.select("own", F.posexplode("u").alias("i", "x")).groupBy("own", "i").agg(F.sum("x").alias("s"))
     sums = parts.groupBy("own").agg(F.array_sort(F.collect_list(F.struct("i", "s"))).alias("a")).select(F.col("own").alias("label"), F.transform("a", lambda x: x["s"]).alias("sum"))
     sums = sums.join(unit.groupBy(F.col("own").alias("label")).agg(F.count("*").alias("m")), "label")
-    met = unit.crossJoin(F.broadcast(sums))  # one row per label: a fixed, small side
+    met = unit.crossJoin(small_side(sums, 1_000))  # one row per label
     total = F.aggregate(F.zip_with("u", "sum", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     mine = F.col("own") == F.col("label")
     n = F.col("m") - mine.cast("long")
