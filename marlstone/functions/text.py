@@ -120,3 +120,18 @@ def search_query(title: Column, most: int = 8) -> Column:
     """A title as a search query: without brackets and featured artists, at most ``most`` words."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(title), r"[\(\[].*?[\)\]]", " "), r"\b(feat|ft)\.? .*$", " ")
     return F.array_join(F.slice(F.filter(F.split(plain, r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, most), " ")
+
+
+# Marks that copies carry behind a title or file name.
+COPY_MARK = r"\s*\[(?:archive(?: \d+)?|BACKUP2)\]"
+
+
+def clean_title(title: Column) -> Column:
+    """A title for grouping copies: without marks of copies and a number in brackets at its end, trimmed, composed, in lower case."""
+    bare = F.regexp_replace(F.regexp_replace(title, COPY_MARK, ""), r"\(\d+\)$", "")
+    return F.trim(name_key(F.trim(bare)))
+
+
+def stem_key(path: Column) -> Column:
+    """The same of a file name without its extension; a leading dot starts no extension."""
+    return clean_title(F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"(?<=[^.])\.[^.]*$", ""))

@@ -169,3 +169,13 @@ def chain_digest(chains: DataFrame, group: str) -> DataFrame:
     line = F.concat_ws(" ", F.col("id").cast("string"), F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.3f", F.floor(F.col("score") * 1000 + 0.5) / 1000)))
     rows = chains.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("r"))
     return rows.select(group, F.substring(F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256), 1, 16).alias("digest"))
+
+
+def build_by_size(pool: DataFrame, group: str, steps: int, seed: int = 0, search: str | None = None, small: int = 250, width: int = 8) -> DataFrame:
+    """Chains as :func:`build_chains` makes them: a beam for pools under ``small`` rows, greedy for larger ones; an odd seed swaps the two, ``search`` (beam or greedy) settles it."""
+    if search:
+        return build_chains(pool, group, steps, width if search == "beam" else 1)
+    counts = pool.groupBy(group).agg((F.count("*") < small).alias("__small"))
+    sized = pool.join(counts, group)
+    beam, greedy = (sized.filter(F.col("__small") == (side != bool(seed % 2))).drop("__small") for side in (True, False))
+    return build_chains(beam, group, steps, width).unionByName(build_chains(greedy, group, steps))

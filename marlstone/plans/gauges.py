@@ -147,3 +147,10 @@ def feed_since(spark, sf):
 def mount_events(spark, sf):
     s = table(spark, sf, "supplier")
     return hl.mount_events(s.filter("s_suppkey % 5 <> 0"), s.filter("s_suppkey % 7 <> 0").withColumn("s_name", F.when(F.col("s_suppkey") % 3 != 0, F.col("s_name"))), "s_suppkey", "s_name")
+
+
+@register("set_by_size")
+def set_by_size(spark, sf):
+    k = F.col("p_partkey")
+    pool = table(spark, sf, "part").select(k.alias("id"), (F.floor(k / 1200) * 8 + F.least(F.col("p_size") % 16, F.lit(7))).alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
+    return sc.build_by_size(pool, "grp", 25).withColumn("score", round_up(F.col("score"), 4))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import names as nm
 from marlstone.functions.scalar import round_up
+from marlstone.functions.text import clean_title, stem_key
 from marlstone.operators import evidence as ev
 from marlstone.operators import lifecycle as lc
 from marlstone.operators import matching as mt
@@ -217,3 +218,15 @@ def intake_census(spark, sf):
     files = docs.filter(i % 3 != 0).select(F.concat(F.when(i % 10 == 0, "/M/D").otherwise("/m/d"), i).alias("path"))
     rows = docs.select(F.when(i % 8 == 0, F.concat(F.lit("/x/d"), i)).when(i % 9 != 0, F.concat(F.lit("/m/d"), i)).alias("path"))
     return lc.reconcile(files, rows, "/m")
+
+
+_NAMED = "concat(' ', p_name, CASE p_partkey % 5 WHEN 0 THEN ' [archive]' WHEN 1 THEN ' [archive 12]' WHEN 2 THEN ' [BACKUP2]' WHEN 3 THEN ' (3)' ELSE ' [live]' END)"
+_CLEAN = "trim(lower(trim(regexp_replace(regexp_replace({}, '\\s*\\[(archive( \\d+)?|BACKUP2)\\]', '', 'g'), '\\(\\d+\\)$', ''))))"
+
+
+@register("copy_groups", f"SELECT {_CLEAN.format(_NAMED)} AS title, count(*) AS n, min(p_partkey) AS first, min({_CLEAN.format(_NAMED)}) AS stem FROM part GROUP BY 1")
+def copy_groups(spark, sf):
+    name = F.expr(_NAMED)
+    path = F.concat(F.lit("/a.b/"), name, F.lit(".aiff"))
+    rows = table(spark, sf, "part").select("p_partkey", clean_title(name).alias("title"), stem_key(path).alias("stem"))
+    return rows.groupBy("title").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"), F.min("stem").alias("stem"))
