@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,12 +26,14 @@ class Chunking:
     alike from 16 + ``reach`` bytes in, whatever was inserted before them. Chunks have more than
     ``reach`` bytes, about 47 on average; where a text repeats within that distance no hash is the
     least, and the least one in ``most`` bytes (255 at most) cuts. A run of repeated chunks is
-    extended by up to ``edge`` bytes on either side; passages under ``min_run`` bytes are not reported.
+    extended by up to ``edge`` bytes on either side, which covers the 16 + ``reach`` bytes that a
+    passage's surroundings reach into it and one whole chunk behind them; passages under ``min_run``
+    bytes are not reported.
     """
 
     reach: int = 23
     most: int = 144
-    edge: int = 128
+    edge: int = 192
     min_run: int = 200
 
 
@@ -126,18 +129,13 @@ def _passages(hits: DataFrame) -> DataFrame:
             for h in sorted(hit, key=lambda h: h["s"]):
                 size, points = h["tag"] & 255, h["tag"] >> 8 & 255
                 at = h["s"] - (h["shift"] >> 1)
-                joins = bool(parts) and parts[-1]["hi"] == h["s"]
-                if joins and parts[-1]["first"] == h["first"]:
+                if parts and parts[-1]["hi"] == h["s"] and parts[-1]["first"] == h["first"]:
                     p = parts[-1]
                     p["hi"], p["to"], p["n"] = h["s"] + size, at + points, p["n"] + 1
                 else:
-                    p = {"lo": h["s"], "hi": h["s"] + size, "at": at, "to": at + points, "n": 1, "first": h["first"], "left": not joins and h["s"] > 0, "right": False, "d0": h["digest"], "t0": h["tag"]}
-                    if parts and not joins:
-                        parts[-1]["right"] = True
+                    p = {"lo": h["s"], "hi": h["s"] + size, "at": at, "to": at + points, "n": 1, "first": h["first"], "left": h["s"] > 0, "d0": h["digest"], "t0": h["tag"]}
                     parts.append(p)
                 p["d1"], p["t1"], p["right"] = h["digest"], h["tag"], not h["shift"] & 1
-            for p, q in zip(parts, parts[1:]):
-                p["right"] = p["hi"] < q["lo"]
             out.append(parts)
         return [ids, keys, out]
 
@@ -147,7 +145,7 @@ def _passages(hits: DataFrame) -> DataFrame:
 
 
 def _edges(passages: DataFrame) -> DataFrame:
-    """``doc_id, k, first, side, at, digest, tag``: where a passage ends inside its text; side -1 is its left end."""
+    """``doc_id, k, first, side, at, digest, tag``: where a part ends inside its text, beside another part or not; side -1 is its left end."""
     p = F.col("p")
     ends = F.array(F.struct(F.lit(-1).alias("side"), p["left"].alias("open"), p["lo"].alias("at"), p["d0"].alias("digest"), p["t0"].alias("tag")), F.struct(F.lit(1).alias("side"), p["right"].alias("open"), p["hi"].alias("at"), p["d1"].alias("digest"), p["t1"].alias("tag")))
     rows = passages.select("doc_id", "k", F.explode("parts").alias("p")).select("doc_id", "k", p["first"].alias("first"), F.explode(ends).alias("e"))
@@ -223,15 +221,48 @@ def _extensions(passages: DataFrame, hits: DataFrame, texts: DataFrame, c: Chunk
     return found.select("doc_id", "k", "side", "at", "bytes", "points").unionByName(kept)
 
 
+def _by_earliest(parts: list[dict], least: int) -> list[tuple]:
+    """Parts that overlap, cut so that every byte goes to the earliest document that holds it.
+
+    Gives ``(lo, hi, at, to, n, first)`` in order. What is left of a part between others holds no
+    chunk if it has fewer than ``least`` bytes, and goes.
+    """
+    points = {p["lo"]: p["at"] for p in parts} | {p["hi"]: p["to"] for p in parts}
+    marks = sorted(points)
+    waiting = sorted(parts, key=lambda p: -p["lo"])
+    live: list[tuple] = []
+    out: list[list] = []
+    counted: set[int] = set()
+    for lo, hi in zip(marks, marks[1:]):
+        while waiting and waiting[-1]["lo"] <= lo:
+            p = waiting.pop()
+            heapq.heappush(live, (p["first"], p["lo"], p["hi"], id(p), p["n"]))
+        while live and live[0][2] <= lo:
+            heapq.heappop(live)
+        if not live:
+            continue
+        first, _, _, part, n = live[0]
+        n = 0 if part in counted else n
+        counted.add(part)
+        if out and out[-1][1] == lo and out[-1][5] == first:
+            out[-1][1], out[-1][3], out[-1][4] = hi, points[hi], out[-1][4] + n
+        else:
+            out.append([lo, hi, points[lo], points[hi], n, first])
+    return [tuple(o) for o in out if o[1] - o[0] >= least]
+
+
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunking: Chunking | None = None) -> DataFrame:
     """``doc_id, k, start, end, n_chunks, n_bytes, first_doc_id, kept``: passages that other documents share.
 
     A chunk repeats if its digest (80 bits, with its size) occurs under several ids. Neighbouring
-    repeated chunks form a passage, extended at both ends by comparing bytes with the first document
-    that holds the chunk there, the one of the least id. A passage of parts with different first
-    documents gives a row for each. ``start`` and ``end`` (exclusive) are code points. Passages that
-    touch count together towards ``min_run`` bytes; longer ones are reported whole. ``kept`` marks
-    what the document itself holds first, the copy that stays.
+    repeated chunks with one first document, the one of the least id that holds them, form a part,
+    extended at both ends by comparing bytes with that document, across its neighbours too: texts
+    are cut differently near the ends of what they share, so a chunk there may be known to later
+    documents only, though an earlier one holds its bytes. Every byte goes to the earliest document
+    of the parts over it, and each stretch with one such document is a row. ``start`` and ``end``
+    (exclusive) are code points. Stretches that touch count together towards ``min_run`` bytes;
+    longer ones are reported whole. ``kept`` marks what the document itself holds first, the copy
+    that stays.
 
     Only repeats in different documents count, not those inside one. Null and empty texts have no
     chunks; rows with a null id are left out; repeated rows (same id and text) count as one
@@ -250,26 +281,23 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out: list[list] = [[] for _ in range(8)]
         for doc, k, parts, ext in zip(ids, keys, found, more):
             reach = {(e["side"], e["at"]): e for e in ext or []}
-            end, group = 0, []
-            for p in [*parts, None]:
-                if p is not None:
-                    p, left, right = dict(p), reach.get((-1, p["lo"])), reach.get((1, p["hi"]))
-                    if left:
-                        p["lo"], p["at"] = p["lo"] - left["bytes"], p["at"] - left["points"]
-                    if right:
-                        p["hi"], p["to"] = p["hi"] + right["bytes"], p["to"] + right["points"]
-                    if group and p["lo"] <= end:
-                        p["lo"], p["at"] = end, group[-1]["to"]
-                        if p["hi"] > end:
-                            group.append(p)
-                            end = p["hi"]
-                        continue
-                if group and end - group[0]["lo"] >= c.min_run:
-                    for q in group:
-                        for column, value in zip(out, (doc, k, q["at"], q["to"], q["n"], q["hi"] - q["lo"], q["first"], q["first"] == doc)):
+            for p in parts:
+                left, right = reach.get((-1, p["lo"])), reach.get((1, p["hi"]))
+                if left:
+                    p["lo"], p["at"] = p["lo"] - left["bytes"], p["at"] - left["points"]
+                if right:
+                    p["hi"], p["to"] = p["hi"] + right["bytes"], p["to"] + right["points"]
+            runs: list[list[tuple]] = []
+            for q in _by_earliest(parts, c.reach):
+                if runs and runs[-1][-1][1] == q[0]:
+                    runs[-1].append(q)
+                else:
+                    runs.append([q])
+            for run_ in runs:
+                if run_[-1][1] - run_[0][0] >= c.min_run:
+                    for lo, hi, at, to, n, first in run_:
+                        for column, value in zip(out, (doc, k, at, to, n, hi - lo, first, first == doc)):
                             column.append(value)
-                if p is not None:
-                    group, end = [p], p["hi"]
         return out
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -320,6 +320,28 @@ def test_a_very_common_passage_is_joined_by_broadcast(spark):
         substrings.join_by_size = real
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_no_passage_survives_but_in_its_first_document(spark, seed):
+    """Passages amid different texts, of one to three parts in any order: only the first document keeps 200 bytes of one."""
+    rng = np.random.default_rng(100 + seed)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghié"), rng.integers(2, 9))) for _ in range(n))
+    shared = [prose(55) for _ in range(6)]
+    texts = {i: " ".join([prose(int(rng.integers(1, 9))), *(shared[j] for j in rng.permutation(6)[: rng.integers(1, 4)]), prose(int(rng.integers(0, 9)))]) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    spans = substrings.repeated_spans(df).collect()
+    for r in spans:
+        # A stretch may join passages that its first document holds elsewhere: all but the windows across the joints are there.
+        span, first = texts[r["doc_id"]][r["start"] : r["end"]], texts[r["first_doc_id"]]
+        assert sum(span[at : at + 20] not in first for at in range(len(span) - 19)) <= 2 * 22
+    left = {r["doc_id"]: r["text"] for r in substrings.drop_repeats(df).collect()}
+    for passage in shared:
+        holders = sorted(i for i, t in texts.items() if passage in t)
+        assert passage in left[holders[0]]
+        for i in holders[1:]:
+            longest = max((n for at in range(len(passage)) for n in [next((n for n in (40, 20) if at + n <= len(passage) and passage[at : at + n] in left[i]), 0)]), default=0)
+            assert longest < 40, (i, longest)
+
+
 # ---- 7 near-duplicates
 
 
