@@ -99,6 +99,8 @@ def decode_png(data: bytes) -> np.ndarray:
     head, packed, ended = None, [], False
     for kind, body in _chunks(data):
         if kind == b"IHDR":
+            if len(body) != 13:
+                raise DamagedPng("the header is no header")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -106,11 +108,14 @@ def decode_png(data: bytes) -> np.ndarray:
             ended = True
     if not head or not ended or head[2:] != (8, 0, 0, 0, 0):
         raise DamagedPng("not a whole 8-bit greyscale PNG")
+    if not head[0] or not head[1]:
+        raise DamagedPng("the image is empty")
+    size, stream = head[1] * (head[0] + 1), zlib.decompressobj()
     try:
-        flat = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8)
+        flat = np.frombuffer(stream.decompress(b"".join(packed), size + 1), np.uint8)
     except zlib.error as e:
         raise DamagedPng(str(e)) from e
-    if flat.size != head[1] * (head[0] + 1):
+    if flat.size != size or not stream.eof and stream.decompress(stream.unconsumed_tail, 1) + stream.flush(1):
         raise DamagedPng("the samples do not fill the image")
     return unfilter(flat.reshape(head[1], head[0] + 1))
 
@@ -119,13 +124,28 @@ def _cosines(n: int = SIDE, k: int = 8) -> np.ndarray:
     return np.cos(np.pi / n * (np.arange(n) + 0.5) * np.arange(k)[:, None])
 
 
+def _cells(x: np.ndarray, axis: int) -> np.ndarray:
+    """Means over ``SIDE`` stretches of equal length along an axis; a sample on a border counts for both by its share."""
+    n = x.shape[axis]
+    if n == SIDE:
+        return x
+    sums = np.concatenate((np.zeros_like(np.take(x, [0], axis)), np.cumsum(x, axis=axis)), axis=axis)
+    at = np.arange(SIDE + 1) * n / SIDE
+    low = np.minimum(at.astype(int), n - 1)
+    shape = [1, 1]
+    shape[axis] = -1
+    upto = np.take(sums, low, axis) + (at - low).reshape(shape) * np.take(x, low, axis)
+    return np.diff(upto, axis=axis) * (SIDE / n)
+
+
 def cosine_hash(samples: np.ndarray) -> str:
     """64 bits in hex: the sign against their median of the 8 x 8 lowest frequencies.
 
-    The image's rows are averaged into ``SIDE`` bands of equal height before the transform.
+    An image of any size is averaged into ``SIDE`` x ``SIDE`` cells of equal area before the transform.
     Frequencies are rounded first, so that a flat image has no bits rather than those of rounding.
     """
-    bands = samples.reshape(SIDE, -1, samples.shape[1]).mean(axis=1)
+    bands = _cells(samples.astype(np.float64), 0)
+    bands = _cells(bands, 1)
     c = _cosines()
     low = np.round(c @ bands @ c.T, 4).ravel()
     low[0] = 0.0  # brightness carries no shape
@@ -155,7 +175,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level:
 def describe(media: DataFrame) -> DataFrame:
     """Decode the stored bytes of :func:`store` and digest what is read back.
 
-    A damaged image, or a null one, has null digests and the reason in ``damage``, which is null
+    A damaged image, an empty one or a null has null digests and the reason in ``damage``, which is null
     for whole images. Null ids and repeated rows pass through; an empty table gives no rows.
     """
 
