@@ -199,7 +199,7 @@ def _roots(nodes: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     while True:
         last = step >= p.star_rounds
         placed = members.join(state, "node").select("key", "node", "doc", "root", "odd", "n", "degree")
-        top = F.max(F.struct("degree", (-F.col("doc")).alias("d"), "node", "root", "odd", "n"))
+        top = F.min(F.struct((-F.col("degree")).alias("fewer"), "doc", "node", "root", "odd", "n"))
         mixed = materialise(placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size"), top.alias("leader")).filter("r0 <> r1").select("key", "leader", "size"))
         if mixed.isEmpty():
             return state.select("node", "root")
