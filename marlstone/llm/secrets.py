@@ -17,7 +17,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates that the method decodes.
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----((?:\s*[A-Za-z0-9-]+: [^\r\n]*)*)([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}")
 HEXES = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
@@ -25,15 +25,32 @@ HEXES = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "b64key", "hexkey")
 
 
-def der_whole(data: bytes, depth: int = 0) -> bool:
-    """True if ``data`` is one DER SEQUENCE whose nested lengths add up exactly and which holds an INTEGER."""
-    end = _der(data, 0, len(data), 0)
-    return end == len(data) and data[:1] == b"\x30" and _has_integer(data)
+def private_der(data: bytes) -> bool:
+    """True if ``data`` is one DER SEQUENCE, its nested lengths adding up exactly, with the fields of a private key.
+
+    Those are a version of 0 or 1 before the numbers of a PKCS#1 or DSA key, the algorithm of a
+    PKCS#8 one or the octets of a SEC1 one; or an algorithm before the octets of an encrypted
+    PKCS#8 key. Public keys and certificates have others.
+    """
+    if data[:1] != b"\x30" or _der(data, 0, len(data), 0) != len(data):
+        return False
+    at, fields = _body(data, 0), []
+    while at < len(data):
+        end = _der(data, at, len(data), 1)
+        fields.append((data[at], data[_body(data, at) : end]))
+        at = end
+    if len(fields) < 2:
+        return False
+    (tag, value), (following, _) = fields[:2]
+    if tag == 0x02 and value in (b"\0", b"\1"):
+        return following in (0x04, 0x30) or following == 0x02 and len(fields) >= 5
+    return tag == 0x30 and following == 0x04 and len(fields) == 2
 
 
-def _has_integer(data: bytes) -> bool:
-    start = 2 + (data[1] & 127 if data[1] & 128 else 0)
-    return start < len(data) and data[start] in (0x02, 0x30)
+def _body(data: bytes, at: int) -> int:
+    """Where the contents of the element at ``at`` begin."""
+    size = data[at + 1]
+    return at + 2 + (size & 127 if size & 128 else 0)
 
 
 def _der(data: bytes, at: int, end: int, depth: int) -> int:
@@ -61,27 +78,29 @@ def _der(data: bytes, at: int, end: int, depth: int) -> int:
     return at + size
 
 
-def ssh_whole(data: bytes) -> bool:
-    """True for an OpenSSH private key or a wire-format public key whose length-prefixed fields add up."""
-    at, magic = 0, b"openssh-key-v1\0"
-    if data.startswith(magic):
-        at = len(magic)
-        for _ in range(3):  # cipher, key derivation, its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 4 <= len(data) and 0 < int.from_bytes(data[at : at + 4], "big") < 16
-    fields = 0
-    while at + 4 <= len(data):
-        size = int.from_bytes(data[at : at + 4], "big")
-        if fields == 0 and not (size < 64 and re.match(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+$", data[4 : 4 + size])):
+def private_ssh(data: bytes) -> bool:
+    """True for an OpenSSH private key whose length-prefixed head fields add up; public ones lack its mark."""
+    magic = b"openssh-key-v1\0"
+    if not data.startswith(magic):
+        return False
+    at = len(magic)
+    for _ in range(3):  # cipher, key derivation, its options
+        if at + 4 > len(data):
             return False
-        at, fields = at + 4 + size, fields + 1
-    return at == len(data) and fields >= 2
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at + 4 <= len(data) and 0 < int.from_bytes(data[at : at + 4], "big") < 16
+
+
+def private_key(data: bytes) -> bool:
+    return len(data) >= 24 and (private_der(data) or private_ssh(data))
 
 
-def key_encoding(data: bytes) -> bool:
-    return len(data) >= 24 and (data[:1] == b"\x30" and der_whole(data) or ssh_whole(data))
+def private_pem(label: str, head: str, body: str) -> bool:
+    """True if a PEM block holds a private key; one with the head of an encrypted key holds whole cipher blocks instead."""
+    data = _base64(body)
+    if "ENCRYPTED" in head and "DEK-Info:" in head:
+        return label.endswith("PRIVATE KEY") and len(data) >= 24 and len(data) % 8 == 0
+    return private_key(data)
 
 
 def _base64(text: str) -> bytes:
@@ -103,17 +122,17 @@ def signed_token(text: str) -> bool:
 
 
 def scan(text: str | None) -> list[tuple[int, int, int]]:
-    """All spans of a text as (start, index of kind, end), sorted; offsets are code points, end exclusive."""
+    """All spans of a text, one for a key (none for what stands in a PEM block), as (start, index of kind, end), sorted; offsets are code points, end exclusive."""
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    if "-----BEGIN " in text:
-        found += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if key_encoding(_base64(m[2]))]
+    blocks = [(m.start(), 3, m.end()) for m in PEM.finditer(text) if private_pem(m[1], m[2], m[3])] if "-----BEGIN " in text else []
     if "eyJ" in text:
         found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if signed_token(m[0])]
-    found += [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if key_encoding(_base64(m[0]))]
-    found += [(m.start(), 6, m.end()) for m in HEXES.finditer(text) if not len(m[0]) % 2 and key_encoding(bytes.fromhex(m[0]))]
+    keys = [(m.start(), 5, m.end()) for m in BASE64.finditer(text) if private_key(_base64(m[0]))]
+    keys += [(m.start(), 6, m.end()) for m in HEXES.finditer(text) if not len(m[0]) % 2 and private_key(bytes.fromhex(m[0]))]
+    found += blocks + [k for k in keys if not any(s < k[0] and k[2] < e for s, _, e in blocks)]
     return sorted(found)
 
 
