@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.common import row_key
+from marlstone.operators.joins import join_by_size
 from marlstone.session import materialise
 
 
@@ -19,7 +20,7 @@ def _lines(text: Column) -> Column:
 
 
 def spread_lines(df: DataFrame, text_col: str, site_col: str, min_sites: int, min_chars: int, log_buckets: int = 12) -> DataFrame:
-    """``(h1, h2)`` of the lines that stand on at least ``min_sites`` distinct sites.
+    """``(h1, h2, n)`` of the lines that stand on at least ``min_sites`` distinct sites, ``n`` times in all.
 
     A HyperLogLog sketch of the sites is kept per line and merged by partial aggregation, so a
     line on every page reaches its reducer as one sketch per task. Estimates more than three
@@ -29,11 +30,12 @@ def spread_lines(df: DataFrame, text_col: str, site_col: str, min_sites: int, mi
     seen = df.select(F.col(site_col).cast("string").alias("site"), line).filter(F.char_length("line") >= min_chars).select(_line_key(F.col("line")).alias("k"), "site").select("k.h1", "k.h2", "site")
     error = 3 * 1.04 / 2 ** (log_buckets / 2)
     low, high = min_sites * (1 - error), min_sites * (1 + error)
-    sketched = seen.groupBy("h1", "h2").agg(F.count("site").alias("n"), F.hll_sketch_agg("site", F.lit(log_buckets)).alias("s")).filter(F.col("n") >= min_sites)
-    judged = materialise(sketched.select("h1", "h2", F.hll_sketch_estimate("s").alias("sites")).filter(F.col("sites") >= low))
-    close = judged.filter(F.col("sites") <= high).select("h1", "h2")
-    exact = seen.join(close, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
-    return materialise(judged.filter(F.col("sites") > high).select("h1", "h2").unionByName(exact.select("h1", "h2")))
+    sketched = seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.count("site").alias("known"), F.hll_sketch_agg("site", F.lit(log_buckets)).alias("s")).filter(F.col("known") >= min_sites)
+    judged = materialise(sketched.select("h1", "h2", "n", F.hll_sketch_estimate("s").alias("sites")).filter(F.col("sites") >= low))
+    close = judged.filter(F.col("sites") <= high).select("h1", "h2", "n")
+    sites = join_by_size(seen, close, ["h1", "h2"], least=5000)
+    exact = sites.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.countDistinct("site").alias("sites")).filter(F.col("sites") >= min_sites)
+    return materialise(judged.filter(F.col("sites") > high).select("h1", "h2", "n").unionByName(exact.select("h1", "h2", "n")))
 
 
 def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = 10, min_chars: int = 8) -> DataFrame:
@@ -51,11 +53,16 @@ def remove_boilerplate(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     df = df.drop("n_lines", "n_removed", "mirrored")
     boilerplate = spread_lines(df, text_col, site_col, min_sites, min_chars)
     key = row_key(id_col, text_col)
-    occurring = df.select(*key, F.explode(_lines(F.col(text_col))).alias("line")).filter(F.char_length("line") >= min_chars).select("__k1", "__k2", _line_key(F.col("line")).alias("k")).select("__k1", "__k2", "k.h1", "k.h2")
-    hits = occurring.join(boilerplate, ["h1", "h2"]).groupBy("__k1", "__k2").agg(F.collect_set(F.struct("h1", "h2")).alias("__gone"))
+    placed = df.select(*key, F.posexplode(_lines(F.col(text_col))).alias("at", "line")).filter(F.char_length("line") >= min_chars)
+    occurring = placed.select("__k1", "__k2", "at", _line_key(F.col("line")).alias("k")).select("__k1", "__k2", "at", "k.h1", "k.h2")
+    hits = join_by_size(occurring, boilerplate, ["h1", "h2"], least=5000).groupBy("__k1", "__k2").agg(F.collect_set("at").alias("__gone"))
     joined = df.select("*", *key).join(hits, ["__k1", "__k2"], "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x: ~(F.array_contains("__gone", _line_key(F.trim(x))) & (F.char_length(F.trim(x)) >= min_chars)))
+    # Kept by place, the places found by hashing: no line is compared with all lines that go.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone")
+    # Exploded, so that the split is not written into the lambda below and done anew for every line.
+    joined = joined.select("*", F.explode(F.array(F.when(F.col("__gone").isNotNull(), lines))).alias("__lines"))
+    kept = F.transform(left, lambda i: F.get("__lines", i))
     out = joined.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
     whole = ~F.exists("__kept", lambda x: F.regexp_like(x, F.lit("\\S")))
     mirrored = F.coalesce(F.col("__kept").isNotNull() & whole, F.lit(False))

@@ -546,16 +546,33 @@ def der(tag, body):
 
 
 def test_structure_decides():
-    key = der(0x30, der(2, b"\0") + der(2, bytes(range(1, 120))) + der(2, b"\1\0\1"))
-    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.encodebytes(key).decode() + "-----END RSA PRIVATE KEY-----"
+    number = lambda n: der(2, bytes(range(1, n)))
+    key = der(0x30, der(2, b"\0") + number(120) + der(2, b"\1\0\1") + b"".join(number(n) for n in (119, 60, 60, 60, 60, 60)))
+    algorithm = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\1\1\1") + der(5, b""))
+    wrapped, sec1 = der(0x30, der(2, b"\0") + algorithm + der(4, key)), der(0x30, der(2, b"\1") + der(4, bytes(range(32))) + der(0xA0, der(6, b"\x2a\x86\x48")))
+    locked = der(0x30, algorithm + der(4, bytes(range(96))))
+    public = der(0x30, number(120) + der(2, b"\1\0\1"))
+    spki = der(0x30, algorithm + der(3, b"\0" + public))
+    certificate = der(0x30, der(0x30, der(0xA0, der(2, b"\2")) + der(2, b"\7") + algorithm + spki) + algorithm + der(3, bytes(64)))
+    block = lambda label, data, head="": f"-----BEGIN {label}-----\n{head}" + base64.encodebytes(data).decode() + f"-----END {label}-----"
     enc = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     jwt = f"{enc({'alg': 'HS256', 'typ': 'JWT'})}.{enc({'sub': '12345'})}.c2ln"
-    ssh = b"".join(len(x).to_bytes(4, "big") + x for x in (b"ssh-ed25519", bytes(32)))
+    fields = lambda *xs: b"".join(len(x).to_bytes(4, "big") + x for x in xs)
+    ssh, ssh_private = fields(b"ssh-ed25519", bytes(32)), b"openssh-key-v1\0" + fields(b"none", b"none", b"") + (1).to_bytes(4, "big") + fields(bytes(51), bytes(136))
     kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.scan(t) if k > 2]
-    assert kinds(f"a {pem} b") == ["pem"] or "pem" in kinds(f"a {pem} b")
+    pem = block("RSA PRIVATE KEY", key)
+    for label, data in (("RSA PRIVATE KEY", key), ("PRIVATE KEY", wrapped), ("EC PRIVATE KEY", sec1), ("ENCRYPTED PRIVATE KEY", locked), ("OPENSSH PRIVATE KEY", ssh_private)):
+        one_line = f"-----BEGIN {label}-----{base64.b64encode(data).decode()}-----END {label}-----"
+        assert kinds(f"a {block(label, data)} b") == ["pem"] and kinds(one_line) == ["pem"]
+        assert kinds(base64.b64encode(data).decode()) == ["b64key"]
+    for label, data in (("PUBLIC KEY", spki), ("RSA PUBLIC KEY", public), ("CERTIFICATE", certificate), ("PRIVATE KEY", spki), ("PUBLIC KEY", ssh)):
+        assert kinds(block(label, data)) == [] and kinds(base64.b64encode(data).decode()) == [] and kinds(data.hex()) == []
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0102030405060708\n\n"
+    assert kinds(block("RSA PRIVATE KEY", bytes(range(64)), head)) == ["pem"]
+    assert kinds(block("RSA PRIVATE KEY", bytes(range(63)), head)) == [] and kinds(block("PUBLIC KEY", bytes(range(64)), head)) == []
     assert "pem" not in kinds(pem.replace("MI", "QQ", 1))
     assert kinds(f"x {jwt} y") == ["jwt"] and kinds(f"x {enc({'typ': 'x'})}.{enc({'a': 1})}.s y") == []
-    assert kinds(base64.b64encode(ssh).decode()) == ["b64key"] and kinds(base64.b64encode(bytes(60)).decode()) == []
+    assert kinds(f"ssh-ed25519 {base64.b64encode(ssh).decode()} me@host") == [] and kinds(base64.b64encode(bytes(60)).decode()) == []
     assert kinds(key.hex()) == ["hexkey"] and kinds(key[:-1].hex()) == []
 
 

@@ -1,5 +1,7 @@
 """Every operator over odd rows and over an empty table: the results that the docstrings state."""
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontam, langid, licenses, lines, media, mixing, neardup, quality, secrets, substrings
@@ -181,3 +183,54 @@ def test_pipeline_stages_over_odd_rows(odd_docs, no_docs, spark, tmp_path):
         elif name == "mixing":
             assert {"copies", "size"} <= set(out.columns) and all(r["copies"] > 0 for r in got)
         assert stage(spark, no_docs, sf).count() == 0
+
+
+def grey_png(height, width, body=None, header=None):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0) if header is None else header
+    raw = b"".join(b"\0" + bytes((r * width + c) * 7 % 256 for c in range(width)) for r in range(height)) if body is None else body
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_of_any_size_and_malformed_ones_give_rows(spark):
+    good = [(h, w) for h in (1, 7, 24, 25, 48, 100) for w in (1, 23, 24, 48)]
+    bad = [grey_png(0, 24), grey_png(24, 0), grey_png(2, 2, header=b"\1\2\3"), grey_png(2, 2, body=b"\0" * 5), grey_png(2, 2, body=b"\0" * 10**7), b"", None]
+    rows = [(i, 1, grey_png(h, w)) for i, (h, w) in enumerate(good)] + [(100 + i, 1, b) for i, b in enumerate(bad)]
+    got = {r["doc_id"]: r for r in media.describe(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == len(rows)
+    for i, (h, w) in enumerate(good):
+        assert got[i]["damage"] is None and got[i]["payload_bytes"] == h * w and len(got[i]["feature"]) == 16
+    assert all(got[100 + i]["damage"] and got[100 + i]["feature"] is None for i in range(len(bad)))
+
+
+def test_cells_are_means_of_equal_areas():
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 24, 36, 48, 50):
+        x = rng.integers(0, 256, (n, 3)).astype(float)
+        fine = np.repeat(x, media.SIDE, axis=0).reshape(media.SIDE, n, 3).mean(axis=1)
+        assert np.allclose(media._cells(x, 0), fine)
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_near_duplicates_take_any_id(spark, kind):
+    words = [f"w{i}" for i in range(60)]
+    name = (lambda i: f"doc-{i:03d}") if kind == "string" else (lambda i: -(2**63) + i)
+    rows = [(name(i), " ".join(words[: 55 + i % 5] + [f"own{i % 3}"])) for i in range(30)] + [(name(40), "nothing like it at all here")]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()}
+    assert got == {name(i): name(0) for i in range(30)} | {name(40): name(40)}
+
+
+def test_a_text_of_many_lines_that_all_repeat(spark):
+    from time import time
+
+    shared = [f"shared line number {i}" for i in range(12_000)]
+    rows = [(s, f"own {s}\n" + "\n".join(shared) + f"\nMenu\nlast {s}", f"site{s}") for s in range(12)]
+    began = time()
+    got = lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert time() - began < 60
+    assert all(r["text"] == f"own {r['doc_id']}\nMenu\nlast {r['doc_id']}" and r["n_removed"] == 12_000 for r in got)
