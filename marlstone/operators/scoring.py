@@ -1,31 +1,82 @@
-"""Pairwise transition scores and set building."""
+"""Pairwise transition scores: gates, terms and types, written once for columns and for arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators.relational import band_count
 
-# The weights, gates and factors that scores must agree on.
-WEIGHTS = {"tempo": 0.45, "key": 0.30, "mood": 0.25, "bonus": 0.15, "dance": 0.10}
-DRIFT = 0.12
-FLOOR = 0.01
-HALF_TIME = (2.0, 0.5, 1.5, 2.0 / 3.0)
-LANE = 0.06
-DIRECTION = 0.6
+# The weights, gates, windows and presets that scores must agree on.
+WEIGHTS = {"tempo": 0.45, "key": 0.30, "arc_fit": 0.25, "anchor": 0.15, "similarity": 0.10}
+PERFECT, LANE = 0.02, 0.06
+DRIFT, BRANCH = 0.12, 0.06
+HALF_TIME = (2.0, 0.5, 1.5, 2 / 3)
+HALF_TIME_VALUE = 0.75 * 0.9
+HALF_TIME_FAMILIES = ("drum and bass", "dubstep", "hip-hop", "trap", "house", "tech house", "techno", "trance", "breakbeat", "garage", "edm")
+AGAINST = 0.6
+REPEAT, FLOOR = 3, 0.01
+PRESETS = {
+    "warmup": {"arousal": (2.5, 5.5), "dance": (0.4, 0.7), "tempo": (1.0, 1.06)},
+    "peak": {"arousal": (6.0, 8.5), "dance": (0.7, 0.95), "tempo": (1.0, 1.02)},
+    "afterhours": {"arousal": (5.0, 3.0), "dance": (0.75, 0.6), "tempo": (1.0, 0.96)},
+}
+# What tells the types of a transition apart.
+LONG_BLEND_BARS, SWAP_AROUSAL, DROP_AROUSAL, DROP_BAR = 16, 1.5, 6.0, 4
 
 
-def tempo_score(a: Column, b: Column) -> Column:
-    """1 for equal tempos, falling to 0 at 6 per cent apart; half-time pairs count at 0.8 of that."""
-    near = lambda x: F.greatest(F.lit(0.0), 1 - F.abs(x - b) / b / LANE)
-    return F.greatest(near(a), *[0.8 * near(a * f) for f in HALF_TIME])
+class _Columns:
+    """The few operations of the formulas below, for Spark columns."""
 
+    abs = staticmethod(F.abs)
+
+    @staticmethod
+    def where(test, yes, no) -> Column:
+        return F.when(test, yes).otherwise(no)
+
+    @staticmethod
+    def low(a, b) -> Column:
+        return F.least(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)])
+
+    @staticmethod
+    def high(a, b) -> Column:
+        return F.greatest(*[x if isinstance(x, Column) else F.lit(x) for x in (a, b)])
+
+
+class _Arrays:
+    """The same for numpy arrays and numbers."""
+
+    def __getattr__(self, name: str):
+        import numpy as np
+
+        return {"abs": np.abs, "where": np.where, "low": np.minimum, "high": np.maximum}[name]
+
+
+COLUMNS, ARRAYS = _Columns(), _Arrays()
+
+
+def tempo_score(a, b, o=COLUMNS):
+    """1 for tempos within 2 per cent of the larger one, falling to 0 at 6 per cent."""
+    d = o.abs(a - b) / o.high(a, b)
+    return o.where(d <= PERFECT, 1.0, o.where(d >= LANE, 0.0, 1 - (d - PERFECT) / (LANE - PERFECT)))
+
+
+def half_time_pair(a, b, o=COLUMNS):
+    """True if ``b`` is within 6 per cent of 2, 1/2, 3/2 or 2/3 times ``a``."""
+    near = [o.abs(b / (a * f) - 1) <= BRANCH for f in HALF_TIME]
+    return near[0] | near[1] | near[2] | near[3]
 
-def key_compat(na: Column, ma: Column, nb: Column, mb: Column) -> Column:
-    """Keys as hours 1 to 12 with a mode: 1 equal, 0.9 a step or the other mode, 0.5 two steps, else 0."""
-    step = F.least(F.abs(na - nb), 12 - F.abs(na - nb))
-    return F.when((step == 0) & (ma == mb), 1.0).when(((step == 1) & (ma == mb)) | ((step == 0) & (ma != mb)), 0.9).when((step == 2) & (ma == mb), 0.5).otherwise(0.0)
+
+def within_drift(bpm, anchor, o=COLUMNS):
+    """True if a tempo lies within 12 per cent of the anchor, or within 6 per cent of its double or half."""
+    return (o.abs(bpm / anchor - 1) <= DRIFT) | (o.abs(bpm / (anchor * 2) - 1) <= BRANCH) | (o.abs(bpm / (anchor * 0.5) - 1) <= BRANCH)
+
+
+def key_compat(ha, ma, hb, mb, o=COLUMNS):
+    """Keys as hours 1 to 12 with a mode: 1 for one hour, or a step in one mode; 0.9 a step in the other mode; 0.5 if a key (hour 0) is unknown; else 0."""
+    step = o.low(o.abs(ha - hb), 12 - o.abs(ha - hb))
+    known = o.where((step == 0) | (step == 1) & (ma == mb), 1.0, o.where(step == 1, 0.9, 0.0))
+    return o.where((ha == 0) | (hb == 0), 0.5, known)
 
 
 def mirex(na: Column, ma: Column, nb: Column, mb: Column) -> Column:
@@ -34,117 +85,111 @@ def mirex(na: Column, ma: Column, nb: Column, mb: Column) -> Column:
     return F.when((step == 0) & (ma == mb), 1.0).when((step == 1) & (ma == mb), 0.5).when((step == 0) & (ma != mb), 0.3).when((step == 3) & (ma != mb), 0.2).otherwise(0.0)
 
 
-def transition(a: dict[str, Column], b: dict[str, Column], anchor: Column, rising: bool = True) -> Column:
-    """The score of a pair: hard gates give 0, a repeated artist the floor, else a weighted sum.
+def artist_key(artist: Column) -> Column:
+    """The first of the credited artists in lower case; empty if there is none."""
+    return F.coalesce(F.lower(F.trim(F.split_part(artist, F.lit(","), F.lit(1)))), F.lit(""))
+
 
-    Columns: bpm, hour, mode, arousal, dance, artist. ``anchor`` is the tempo the set drifts from.
+def mixable(pool: DataFrame) -> DataFrame:
+    """The rows of a pool with a usable tempo, and the fields of the scores, none of them null but ``emb``.
+
+    Columns read: id, bpm, hour, mode, arousal (1 to 9), dance (0 to 1), artist, family, duration_s,
+    embedding. An unknown arousal counts as 5, a dance value as 0.6, a duration as 300 s, an unknown
+    key is hour 0, an unknown family opens no half-time lane, an unknown artist repeats nobody.
+    """
+    family = F.coalesce(F.lower("family").isin(*HALF_TIME_FAMILIES), F.lit(False))
+    seconds = F.col("duration_s").cast("double")
+    return pool.filter((F.col("bpm") > 0) & (F.col("bpm") < float("inf"))).select(
+        *[c for c in pool.columns if c not in ("bpm", "hour", "mode", "arousal", "dance", "artist", "family", "duration_s", "embedding")],
+        F.col("bpm").cast("double").alias("bpm"),
+        F.coalesce("hour", F.lit(0)).cast("int").alias("hour"),
+        F.coalesce("mode", F.lit(0)).cast("int").alias("mode"),
+        F.coalesce("arousal", F.lit(5.0)).cast("double").alias("arousal"),
+        F.col("arousal").isNotNull().alias("felt"),
+        F.coalesce("dance", F.lit(0.6)).cast("double").alias("dance"),
+        artist_key(F.col("artist")).alias("who"),
+        family.alias("half"),
+        F.when((seconds > 0) & (seconds < float("inf")), seconds).otherwise(300.0).alias("seconds"),
+        F.col("embedding").cast("array<double>").alias("emb"),
+    )
+
+
+FIELDS = ["bpm", "hour", "mode", "arousal", "felt", "dance", "who", "half", "seconds", "emb"]
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine of two vectors brought to 0 to 1; 0 where one is missing or they differ in length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.coalesce(F.when((F.size(a) == F.size(b)) & (norm > 0), (dot(a, b) / norm + 1) / 2), F.lit(0.0))
+
+
+def terms(a, b, preset: dict, t, anchor, sim, o=COLUMNS) -> dict:
+    """The unweighted terms of following ``a`` with ``b`` at place ``t`` (0 to 1) of a set, and whether its gates let it.
+
+    ``a`` and ``b`` give the fields of :func:`mixable`; ``anchor`` is the tempo of the set's opener,
+    to which a half-time pair may stand as well as one within the drift; ``sim`` is the similarity.
+    Arousal may not move against the preset's direction by more than 0.6, but at the very end.
     """
-    gate = (F.abs(b["bpm"] - anchor) / anchor <= DRIFT) & (tempo_score(a["bpm"], b["bpm"]) > 0) & (key_compat(a["hour"], a["mode"], b["hour"], b["mode"]) > 0)
-    turn = (b["arousal"] - a["arousal"]) if rising else (a["arousal"] - b["arousal"])
-    gate = gate & (turn >= -DIRECTION)
-    score = WEIGHTS["tempo"] * tempo_score(a["bpm"], b["bpm"]) + WEIGHTS["key"] * key_compat(a["hour"], a["mode"], b["hour"], b["mode"])
-    score = score + WEIGHTS["mood"] * (1 - F.least(F.abs(turn), F.lit(1.0))) + WEIGHTS["bonus"] * (turn > 0).cast("double") + WEIGHTS["dance"] * F.least(a["dance"], b["dance"])
-    return F.when(~gate, 0.0).when(a["artist"] == b["artist"], FLOOR).otherwise(score)
+    at = lambda name: preset[name][0] + (preset[name][1] - preset[name][0]) * t
+    direct = tempo_score(a["bpm"], b["bpm"], o)
+    half = (direct == 0) & half_time_pair(a["bpm"], b["bpm"], o) & a["half"] & b["half"]
+    lane = o.where(half, HALF_TIME_VALUE, direct)
+    key = key_compat(a["hour"], a["mode"], b["hour"], b["mode"], o)
+    rise = preset["arousal"][1] - preset["arousal"][0]
+    way = (rise > 1e-9) - (rise < -1e-9)
+    against = a["felt"] & b["felt"] & ((b["arousal"] - a["arousal"]) * way < -AGAINST) & (t < 1)
+    drift = within_drift(b["bpm"], anchor, o) | half_time_pair(anchor, b["bpm"], o)
+    fit = 1 - o.low(1.0, (o.abs(b["arousal"] / 9 - at("arousal") / 9) + o.abs(b["dance"] - at("dance"))) / 2)
+    pull = 1 - o.low(1.0, o.abs(b["bpm"] / (anchor * at("tempo")) - 1) / ((LANE - PERFECT) / 2))
+    return {"tempo": lane, "key": key, "arc_fit": fit, "anchor": pull, "similarity": sim, "half_time": half, "repeat": (a["who"] == b["who"]) & (b["who"] != ""), "open": drift & (lane > 0) & (key > 0) & ~against}
+
 
+def blend(found: dict, o=COLUMNS):
+    """The weighted sum of the terms; after the same artist three less and one more, but not under 0.01; -1 behind a closed gate."""
+    total = sum(w * found[name] for name, w in WEIGHTS.items())
+    return o.where(found["open"], o.where(found["repeat"], o.high(FLOOR, total - REPEAT + 1), total), -1.0)
 
-def transition_type(tempo: Column, key: Column, turn: Column) -> Column:
-    return F.when((tempo >= 0.9) & (key >= 0.9), "blend").when(tempo >= 0.9, "beatmatch").when(key >= 0.9, "harmonic").when(turn > 0.2, "lift").otherwise("cut")
 
+def transition(a: dict[str, Column], b: dict[str, Column], preset: str, t: Column, anchor: Column) -> Column:
+    """The score of a pair as a column; see :func:`terms` and :func:`blend`."""
+    return blend(terms(a, b, PRESETS[preset], t, anchor, similarity(a["emb"], b["emb"])))
 
-# What each part of the scorecard counts.
-PARTS = {"transition": 0.3, "floor": 0.15, "arc": 0.2, "diversity": 0.15, "budget": 0.1, "landmark": 0.1}
 
+def evidence(a: dict[str, Column], b: dict[str, Column], preset: str, t: Column, anchor: Column) -> Column:
+    """A struct of the weighted parts of a score, the artist's penalty, the lane and the total; null behind a closed gate."""
+    found = terms(a, b, PRESETS[preset], t, anchor, similarity(a["emb"], b["emb"]))
+    parts = [(w * found[name]).alias(name) for name, w in WEIGHTS.items()]
+    return F.when(found["open"], F.struct(*parts, F.when(found["repeat"], REPEAT).otherwise(0).alias("penalty"), found["half_time"].alias("half_time"), blend(found).alias("total")))
 
-def scorecard(chains: DataFrame, group: str, asked: int, envelope: tuple[float, float], landmarks: DataFrame | None = None) -> DataFrame:
-    """``group``, six parts and their weighted ``total``, each from 0 to 100 with one decimal.
 
-    ``chains``: group, step from 0, id, score (of the transition into the step), artist, arousal (0
-    to 1). Parts: mean and least transition; 1 - RMSE of arousal to the line between the ends of
-    ``envelope``, half of the range being 0; neighbours of one artist, half of all pairs being 0;
-    steps made of those ``asked`` for; ``landmarks(group, id)`` that were placed. A chain of one step
-    has full transitions and diversity and a neutral arc of 50; nothing asked for costs nothing.
+def transition_type(scored: Column, half_time: Column, out_bar: Column, in_bar: Column, before: Column, after: Column) -> Column:
+    """The technique of a transition: by the lane, then by cue bars and arousal (unknown: 0); ``hold`` without a score or a sign.
+
+    ``scored`` tells whether the step has a score (an opener has none).
     """
-    order = Window.partitionBy(group).orderBy("step")
-    whole = Window.partitionBy(group)
-    at = F.col("step") / F.when(F.max("step").over(whole) > 0, F.max("step").over(whole))
-    meant = envelope[0] + at * (envelope[1] - envelope[0])
-    rows = chains.withColumns({"__move": F.when(F.col("step") > 0, F.col("score")), "__off": F.pow(F.col("arousal") - meant, 2), "__same": (F.lag("artist").over(order) == F.col("artist")).cast("int")})
-    if landmarks is not None:
-        rows = rows.join(landmarks.select(group, "id").distinct().withColumn("__placed", F.lit(1)), [group, "id"], "left")
-    else:
-        rows = rows.withColumn("__placed", F.lit(None).cast("int"))
-    part = lambda x, empty: F.when(x.isNull(), empty).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100 * x)))
-    n = F.count("*")
-    out = rows.groupBy(group).agg(
-        part(F.avg("__move"), 100.0).alias("transition"),
-        part(F.min("__move"), 100.0).alias("floor"),
-        part(1 - F.sqrt(F.avg("__off")) / 0.5, 50.0).alias("arc"),
-        part(1 - 2 * F.sum(F.coalesce("__same", F.lit(0))) / F.when(n > 1, n - 1), 100.0).alias("diversity"),
-        part(n / asked, 100.0).alias("budget"),
-        F.sum("__placed").alias("__placed"),
-    )
-    if landmarks is not None:
-        out = out.join(landmarks.distinct().groupBy(group).agg(F.count("*").alias("__wanted")), group, "left")
-    else:
-        out = out.withColumn("__wanted", F.lit(None).cast("long"))
-    out = out.withColumn("landmark", part(F.coalesce("__placed", F.lit(0)) / F.col("__wanted"), 100.0))
-    total = sum((w * F.col(c) for c, w in PARTS.items()), F.lit(0.0))
-    return out.select(group, *[(F.floor(F.col(c) * 10 + 0.5) / 10).alias(c) for c in PARTS], (F.floor(total * 10 + 0.5) / 10).alias("total"))
-
-
-def _py_scores(pool, i: int, anchor: float):
-    """The same score as :func:`transition` from row ``i`` to every row, as arrays."""
-    import numpy as np
-
-    near = lambda x: np.maximum(0.0, 1 - np.abs(x - pool["bpm"]) / pool["bpm"] / LANE)
-    tempo = np.maximum.reduce([near(pool["bpm"][i]), *[0.8 * near(pool["bpm"][i] * f) for f in HALF_TIME]])
-    step = np.abs(pool["hour"] - pool["hour"][i])
-    step = np.minimum(step, 12 - step)
-    same = pool["mode"] == pool["mode"][i]
-    key = np.select([(step == 0) & same, ((step == 1) & same) | ((step == 0) & ~same), (step == 2) & same], [1.0, 0.9, 0.5], 0.0)
-    turn = pool["arousal"] - pool["arousal"][i]
-    gate = (np.abs(pool["bpm"] - anchor) / anchor <= DRIFT) & (tempo > 0) & (key > 0) & (turn >= -DIRECTION)
-    score = WEIGHTS["tempo"] * tempo + WEIGHTS["key"] * key + WEIGHTS["mood"] * (1 - np.minimum(np.abs(turn), 1.0)) + WEIGHTS["bonus"] * (turn > 0) + WEIGHTS["dance"] * np.minimum(pool["dance"], pool["dance"][i])
-    return np.where(~gate, 0.0, np.where(pool["artist"] == pool["artist"][i], FLOOR, score))
-
-
-def build_chains(pool: DataFrame, group: str, steps: int, width: int = 1) -> DataFrame:
-    """A chain per group: ``group, step, id, score``. Width 1 is greedy, more is a beam search.
-
-    Columns of ``pool``: id, bpm, hour, mode, arousal, dance, artist. The first row by arousal, then
-    id, opens. A beam ranks by score, then length, then the ids in order. The search is sequential
-    within a group and parallel across them: groups are sessions, whose pools are bounded.
+    was, now = F.coalesce(before, F.lit(0.0)), F.coalesce(after, F.lit(0.0))
+    swap = F.abs(now - was) >= SWAP_AROUSAL
+    cued = out_bar.isNotNull() & in_bar.isNotNull()
+    by_cue = F.when((now >= DROP_AROUSAL) & (in_bar <= DROP_BAR), "drop-entry").when(swap, "energy-swap").when(F.abs(out_bar - in_bar) >= LONG_BLEND_BARS, "long-blend").otherwise("phrase-cut")
+    return F.when(~scored, "hold").when(half_time, "half-time-shift").when(cued, by_cue).when(swap, "energy-swap").otherwise("hold")
+
+
+def lane_pairs(pool: DataFrame, group: str) -> DataFrame:
+    """``a, b``: structs of every two different rows of a group whose tempos share a lane, ``a`` with the lesser id.
+
+    Tempos are cut into cells as wide as the lane on a log scale; a row goes to the cells around its
+    own tempo and around those at half time, and meets only the rows of these cells.
     """
+    import math
 
-    def search(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values(["arousal", "id"], kind="stable").reset_index(drop=True)
-        cols = {c: pdf[c].to_numpy() for c in ("bpm", "hour", "mode", "arousal", "dance", "artist")}
-        ids = pdf["id"].to_numpy()
-        cache: dict[int, np.ndarray] = {}
-        beams = [(0.0, (0,), (0.0,))]
-        done = []
-        for _ in range(steps - 1):
-            grown = []
-            for total, path, marks in beams:
-                if path[-1] not in cache:
-                    cache[path[-1]] = _py_scores(cols, path[-1], float(cols["bpm"][0]))
-                s = cache[path[-1]].copy()
-                s[list(path)] = 0.0
-                best = np.lexsort((ids, -s))[:width]
-                best = best[s[best] > 0]
-                if not len(best):
-                    done.append((total, path, marks))
-                grown += [(total + s[j], (*path, int(j)), (*marks, float(s[j]))) for j in best]
-            if not grown:
-                break
-            beams = sorted(grown, key=lambda b: (-b[0], -len(b[1]), [ids[j] for j in b[1]]))[:width]
-        _, path, marks = min([*beams, *done], key=lambda b: (-b[0], -len(b[1]), [ids[j] for j in b[1]]))
-        return pd.DataFrame({group: pdf[group].iloc[0], "step": range(len(path)), "id": [ids[j] for j in path], "score": marks})
-
-    return pool.groupBy(group).applyInPandas(search, f"{group} {pool.schema[group].dataType.simpleString()}, step long, id long, score double")
+    width = -math.log(1 - LANE)
+    cell = lambda f: F.floor(F.log(F.col("bpm") * f) / width)
+    cells = F.array_distinct(F.flatten(F.array(*[F.sequence(cell(f) - 1, cell(f) + 1) for f in (1.0, *HALF_TIME)])))
+    a = pool.select(F.col(group).alias("__g"), F.struct(*pool.columns).alias("a"), F.explode(cells).alias("__c"))
+    b = pool.select(F.col(group).alias("__g"), F.struct(*pool.columns).alias("b"), cell(1.0).alias("__c"))
+    lane = (tempo_score(F.col("a.bpm"), F.col("b.bpm")) > 0) | half_time_pair(F.col("a.bpm"), F.col("b.bpm"))
+    return a.join(b, ["__g", "__c"]).filter((F.col("a.id") < F.col("b.id")) & lane).select("a", "b")
 
 
 def opener(pool: DataFrame, start: float, seed: int = 0, neighbours: int = 15) -> DataFrame:
@@ -169,13 +214,3 @@ def chain_digest(chains: DataFrame, group: str) -> DataFrame:
     line = F.concat_ws(" ", F.col("id").cast("string"), F.when(F.col("score").isNull(), "-").otherwise(F.format_string("%.3f", F.floor(F.col("score") * 1000 + 0.5) / 1000)))
     rows = chains.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("step", line.alias("line")))).alias("r"))
     return rows.select(group, F.substring(F.sha2(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), 256), 1, 16).alias("digest"))
-
-
-def build_by_size(pool: DataFrame, group: str, steps: int, seed: int = 0, search: str | None = None, small: int = 250, width: int = 8) -> DataFrame:
-    """Chains as :func:`build_chains` makes them: a beam for pools under ``small`` rows, greedy for larger ones; an odd seed swaps the two, ``search`` (beam or greedy) settles it."""
-    if search:
-        return build_chains(pool, group, steps, width if search == "beam" else 1)
-    counts = pool.groupBy(group).agg((F.count("*") < small).alias("__small"))
-    sized = pool.join(counts, group)
-    beam, greedy = (sized.filter(F.col("__small") == (side != bool(seed % 2))).drop("__small") for side in (True, False))
-    return build_chains(beam, group, steps, width).unionByName(build_chains(greedy, group, steps))

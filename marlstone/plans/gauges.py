@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import round_up
+from marlstone.operators import chains as ch
 from marlstone.operators import energy as en
 from marlstone.operators import evalstats as es
 from marlstone.operators import health as hl
@@ -13,6 +14,7 @@ from marlstone.operators import lifecycle as lc
 from marlstone.operators import scoring as sc
 from marlstone.operators import vectors as vc
 from marlstone.plans.catalog import register, table
+from marlstone.plans.sets import features
 
 R3 = "floor(({}) * 1000 + 0.5) / 1000"
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -151,6 +153,6 @@ def mount_events(spark, sf):
 
 @register("set_by_size")
 def set_by_size(spark, sf):
-    k = F.col("p_partkey")
-    pool = table(spark, sf, "part").select(k.alias("id"), (F.floor(k / 1200) * 8 + F.least(F.col("p_size") % 16, F.lit(7))).alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
-    return sc.build_by_size(pool, "grp", 25).withColumn("score", round_up(F.col("score"), 4))
+    """Sessions of a whole key range of part, some under and some over the size at which the search changes."""
+    pool = features(table(spark, sf, "part"), table(spark, sf, "embeddings"), F.floor(F.col("p_partkey") / 1200) * 8 + F.least(F.col("p_size") % 16, F.lit(7)))
+    return ch.build_chains(pool, ["grp"], "peak", 60).select("grp", "step", "id", round_up(F.col("score"), 4).alias("score"), "search")

@@ -5,89 +5,182 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import round_up, token_ratio, tokens
+from marlstone.operators import chains as ch
 from marlstone.operators import health as hl
 from marlstone.operators import scoring as sc
 from marlstone.plans.catalog import register, table
+from marlstone.session import materialise
 
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
-_POOL = "pool AS (SELECT p_partkey AS id, p_partkey // 1200 * 8 + p_size % 8 AS grp, 100 + p_partkey % 40 AS bpm, (p_partkey % 12 + 1)::INT AS hour, (p_partkey // 12) % 2 AS mode, (p_size / 50.0)::DOUBLE AS arousal, (p_partkey % 10) / 10.0 AS dance, p_brand AS artist FROM part)"
+# The same lane, key and gates as in operators.scoring, written out in SQL.
+_POOL = """pool AS (SELECT p_partkey AS id, p_partkey // 1200 * 8 + p_size % 8 AS grp, (CASE WHEN p_partkey % 6 = 0 THEN (100 + p_partkey % 40) / 2.0::DOUBLE ELSE 100 + p_partkey % 40 END)::DOUBLE AS bpm, CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_partkey % 12 + 1 END AS hour, (p_partkey // 12) % 2 AS mode,
+  (CASE WHEN p_partkey % 19 = 0 THEN 5 ELSE 1 + p_size % 9 END)::DOUBLE AS arousal, p_partkey % 19 <> 0 AS felt, (p_partkey % 10)::DOUBLE / 10 AS dance, p_brand AS artist, p_partkey % 3 <> 2 AND p_partkey % 23 <> 0 AS half, embedding::DOUBLE[] AS emb,
+  CASE WHEN p_partkey % 5 <> 0 THEN 1 + p_partkey % 40 END AS out_bar, CASE WHEN p_partkey % 7 <> 0 THEN 1 + p_partkey % 9 END AS in_bar FROM part LEFT JOIN embeddings ON vec_id = p_partkey)"""
 _STEP = "least(abs(a.hour - b.hour), 12 - abs(a.hour - b.hour))"
-_KEY = f"CASE WHEN {_STEP} = 0 AND a.mode = b.mode THEN 1.0 WHEN ({_STEP} = 1 AND a.mode = b.mode) OR ({_STEP} = 0 AND a.mode <> b.mode) THEN 0.9 WHEN {_STEP} = 2 AND a.mode = b.mode THEN 0.5 ELSE 0.0 END"
-_NEAR = "greatest(0.0, 1 - abs(a.bpm * {f} - b.bpm) / b.bpm / 0.06)"
-_TEMPO = f"greatest({_NEAR.format(f='1.0::DOUBLE')}, 0.8 * {_NEAR.format(f='2.0::DOUBLE')}, 0.8 * {_NEAR.format(f='0.5::DOUBLE')}, 0.8 * {_NEAR.format(f='1.5::DOUBLE')}, 0.8 * {_NEAR.format(f='(2.0::DOUBLE / 3.0)')})"
-
-
-def _features(part, grp):
+_KEY = f"CASE WHEN a.hour = 0 OR b.hour = 0 THEN 0.5 WHEN {_STEP} = 0 OR ({_STEP} = 1 AND a.mode = b.mode) THEN 1.0 WHEN {_STEP} = 1 THEN 0.9 ELSE 0.0 END"
+_D = "(abs(a.bpm - b.bpm) / greatest(a.bpm, b.bpm))"
+_TEMPO = f"CASE WHEN {_D} <= 0.02::DOUBLE THEN 1.0 WHEN {_D} >= 0.06::DOUBLE THEN 0.0 ELSE 1 - ({_D} - 0.02::DOUBLE) / (0.06::DOUBLE - 0.02::DOUBLE) END"
+_HALF_PAIR = "(abs(b.bpm / (a.bpm * 2) - 1) <= 0.06::DOUBLE OR abs(b.bpm / (a.bpm * 0.5::DOUBLE) - 1) <= 0.06::DOUBLE OR abs(b.bpm / (a.bpm * 1.5::DOUBLE) - 1) <= 0.06::DOUBLE OR abs(b.bpm / (a.bpm * (2::DOUBLE / 3)) - 1) <= 0.06::DOUBLE)"
+_JOIN = f"pool a JOIN pool b ON a.grp = b.grp AND a.id < b.id AND ({_D} < 0.06::DOUBLE OR {_HALF_PAIR})"
+_ALL = "pool a JOIN pool b ON a.grp = b.grp AND a.id < b.id"
+# A set at a quarter of its way from 6 to 8.5, anchored at 125: peak's arousal 6.625, dance 0.7625, tempo 1.005.
+_TERMS = f"""
+t AS (SELECT a.id AS a, b.id AS b, {_TEMPO} = 0 AND {_HALF_PAIR} AND a.half AND b.half AS half, {_TEMPO} AS direct, ({_KEY})::DOUBLE AS k, a.artist = b.artist AS same,
+    1 - least(1, (abs(b.arousal / 9 - (6 + (8.5::DOUBLE - 6) * 0.25::DOUBLE) / 9) + abs(b.dance - (0.7::DOUBLE + (0.95::DOUBLE - 0.7::DOUBLE) * 0.25::DOUBLE))) / 2) AS fit,
+    1 - least(1, abs(b.bpm / (125 * (1 + (1.02::DOUBLE - 1) * 0.25::DOUBLE)) - 1) / ((0.06::DOUBLE - 0.02::DOUBLE) / 2)) AS pull,
+    coalesce((list_dot_product(a.emb, b.emb) / (sqrt(list_dot_product(a.emb, a.emb)) * sqrt(list_dot_product(b.emb, b.emb))) + 1) / 2, 0) AS sim,
+    (abs(b.bpm / 125 - 1) <= 0.12::DOUBLE OR abs(b.bpm / 250 - 1) <= 0.06::DOUBLE OR abs(b.bpm / 62.5::DOUBLE - 1) <= 0.06::DOUBLE OR abs(b.bpm / (125 * 1.5::DOUBLE) - 1) <= 0.06::DOUBLE OR abs(b.bpm / (125 * (2::DOUBLE / 3)) - 1) <= 0.06::DOUBLE)
+      AND NOT (a.felt AND b.felt AND b.arousal - a.arousal < -0.6::DOUBLE) AS near, a.out_bar, b.in_bar, CASE WHEN a.felt THEN a.arousal ELSE 0 END AS was, CASE WHEN b.felt THEN b.arousal ELSE 0 END AS now FROM {_JOIN}),
+u AS (SELECT *, CASE WHEN half THEN 0.675::DOUBLE ELSE direct END AS lane FROM t),
+v AS (SELECT *, near AND lane > 0 AND k > 0 AS open, 0.45::DOUBLE * lane + 0.3::DOUBLE * k + 0.25::DOUBLE * fit + 0.15::DOUBLE * pull + 0.1::DOUBLE * sim AS raw FROM u),
+w AS (SELECT *, CASE WHEN NOT open THEN -1 WHEN same THEN greatest(0.01::DOUBLE, raw - 2) ELSE raw END AS score FROM v)"""
+
+
+def features(part, embeddings, group):
+    """Items to build sets of: every row of part, its vector by number, and gaps in every field."""
     k = F.col("p_partkey")
-    return part.select(k.alias("id"), grp.alias("grp"), (100 + k % 40).cast("double").alias("bpm"), (k % 12 + 1).cast("int").alias("hour"), (F.floor(k / 12) % 2).alias("mode"), (F.col("p_size") / 50.0).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"))
-
-
-def _sessions(spark, sf):
+    gap = lambda n, c: F.when(k % n != 0, c)
+    rows = part.join(embeddings.select(F.col("vec_id").alias("p_partkey"), "embedding"), "p_partkey", "left")
+    return rows.select(
+        k.alias("id"), group.alias("grp"), F.when(k % 6 == 0, (100 + k % 40) / 2).otherwise(100 + k % 40).cast("double").alias("bpm"), gap(17, (k % 12 + 1).cast("int")).alias("hour"), (F.floor(k / 12) % 2).cast("int").alias("mode"),
+        gap(19, (1 + F.col("p_size") % 9).cast("double")).alias("arousal"), (k % 10 / 10.0).alias("dance"), F.col("p_brand").alias("artist"),
+        gap(23, F.element_at(F.array(F.lit("Techno"), F.lit("house"), F.lit("pop")), (k % 3 + 1).cast("int"))).alias("family"),
+        F.when(k % 31 == 0, 30.0).when(k % 37 == 0, 1200.0).otherwise(gap(29, (120 + k % 300).cast("double"))).alias("duration_s"), "embedding",
+        gap(5, (1 + k % 40).cast("int")).alias("out_bar"), gap(7, (1 + k % 9).cast("int")).alias("in_bar"),
+    )
+
+
+def sessions(spark, sf):
     """All of part. A session is a key range of 1,200 and a size class, so sessions stay bounded as part grows; one per brand would leave each a single artist."""
-    return _features(table(spark, sf, "part"), F.floor(F.col("p_partkey") / 1200) * 8 + F.col("p_size") % 8)
-
-
-def _pairs(spark, sf):
-    pool = _sessions(spark, sf)
-    a, b = (pool.select(*[F.col(c).alias(f"{s}_{c}") for c in pool.columns]) for s in "ab")
-    return a.join(b, (F.col("a_grp") == F.col("b_grp")) & (F.col("a_id") < F.col("b_id")))
+    return features(table(spark, sf, "part"), table(spark, sf, "embeddings"), F.floor(F.col("p_partkey") / 1200) * 8 + F.col("p_size") % 8)
 
 
-def _side(s):
-    return {c: F.col(f"{s}_{c}") for c in ("bpm", "hour", "mode", "arousal", "dance", "artist")}
+def _lane_pairs(spark, sf):
+    pool = sc.mixable(sessions(spark, sf))
+    pairs = sc.lane_pairs(pool, "grp")
+    return pairs, *({c: F.col(f"{s}.{c}") for c in [*sc.FIELDS, "out_bar", "in_bar"]} for s in "ab")
 
 
-_JOIN = "pool a JOIN pool b ON a.grp = b.grp AND a.id < b.id"
+def _key_pairs(spark, sf):
+    """Keys have no range to join on: all pairs of a bounded session."""
+    pool = sc.mixable(sessions(spark, sf))
+    a, b = (pool.select("grp", F.struct("id", "hour", "mode").alias(s)) for s in "ab")
+    return a.join(b, "grp").filter("a.id < b.id")
 
 
-@register("tempo_score", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, {R4.format(_TEMPO)} AS score FROM {_JOIN}")
+@register("tempo_score", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, {R4.format(_TEMPO)} AS score, {_HALF_PAIR} AS half FROM {_JOIN}")
 def tempo_score(spark, sf):
-    return _pairs(spark, sf).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), round_up(sc.tempo_score(F.col("a_bpm"), F.col("b_bpm")), 4).alias("score"))
+    """Pairs whose tempos share a lane; every other pair has neither a score nor a half-time lane."""
+    pairs, a, b = _lane_pairs(spark, sf)
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), round_up(sc.tempo_score(a["bpm"], b["bpm"]), 4).alias("score"), sc.half_time_pair(a["bpm"], b["bpm"]).alias("half"))
 
 
-@register("key_compat", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, ({_KEY})::DOUBLE AS score FROM {_JOIN}")
+@register("key_compat", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, ({_KEY})::DOUBLE AS score FROM {_ALL}")
 def key_compat(spark, sf):
-    x, y = _side("a"), _side("b")
-    return _pairs(spark, sf).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), sc.key_compat(x["hour"], x["mode"], y["hour"], y["mode"]).alias("score"))
+    return _key_pairs(spark, sf).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sc.key_compat(F.col("a.hour"), F.col("a.mode"), F.col("b.hour"), F.col("b.mode")).alias("score"))
 
 
-@register("mirex", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, (CASE WHEN {_STEP} = 0 AND a.mode = b.mode THEN 1.0 WHEN {_STEP} = 1 AND a.mode = b.mode THEN 0.5 WHEN {_STEP} = 0 THEN 0.3 WHEN {_STEP} = 3 AND a.mode <> b.mode THEN 0.2 ELSE 0.0 END)::DOUBLE AS score FROM {_JOIN}")
+@register("mirex", f"WITH {_POOL} SELECT a.id AS a, b.id AS b, (CASE WHEN {_STEP} = 0 AND a.mode = b.mode THEN 1.0 WHEN {_STEP} = 1 AND a.mode = b.mode THEN 0.5 WHEN {_STEP} = 0 THEN 0.3 WHEN {_STEP} = 3 AND a.mode <> b.mode THEN 0.2 ELSE 0.0 END)::DOUBLE AS score FROM {_ALL} AND a.hour > 0 AND b.hour > 0")
 def mirex(spark, sf):
-    x, y = _side("a"), _side("b")
-    return _pairs(spark, sf).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), sc.mirex(x["hour"], x["mode"], y["hour"], y["mode"]).alias("score"))
+    known = _key_pairs(spark, sf).filter("a.hour > 0 AND b.hour > 0")
+    return known.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sc.mirex(F.col("a.hour"), F.col("a.mode"), F.col("b.hour"), F.col("b.mode")).alias("score"))
 
 
-@register("transition_score", f"""
-WITH {_POOL}, t AS (SELECT a.id AS a, b.id AS b, {_TEMPO} AS t, ({_KEY})::DOUBLE AS k, b.arousal - a.arousal AS turn, least(a.dance, b.dance) AS dance, a.artist = b.artist AS same, abs(b.bpm - 120) / 120 AS drift FROM {_JOIN})
-SELECT a, b, CASE WHEN NOT (drift <= 0.12 AND t > 0 AND k > 0 AND turn >= -0.6) THEN 0.0 WHEN same THEN 0.01 ELSE {R4.format('0.45 * t + 0.30 * k + 0.25 * (1 - least(abs(turn), 1)) + 0.15 * (turn > 0)::INT + 0.10 * dance')} END AS score FROM t""")
+@register("transition_score", f"WITH {_POOL}, {_TERMS} SELECT a, b, {R4.format('score')} AS score FROM w")
 def transition_score(spark, sf):
-    score = sc.transition(_side("a"), _side("b"), F.lit(120.0))
-    return _pairs(spark, sf).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), round_up(score, 4).alias("score"))
+    pairs, a, b = _lane_pairs(spark, sf)
+    score = sc.transition(a, b, "peak", F.lit(0.25), F.lit(125.0))
+    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), round_up(score, 4).alias("score"))
+
+
+@register("transition_evidence", f"""
+WITH {_POOL}, {_TERMS} SELECT a, b, {R4.format('0.45::DOUBLE * lane')} AS tempo, {R4.format('0.3::DOUBLE * k')} AS key, {R4.format('0.25::DOUBLE * fit')} AS arc_fit, {R4.format('0.15::DOUBLE * pull')} AS anchor, {R4.format('0.1::DOUBLE * sim')} AS similarity,
+  CASE WHEN same THEN 3 ELSE 0 END AS penalty, half AS half_time, {R4.format('score')} AS total FROM w WHERE open""")
+def transition_evidence(spark, sf):
+    pairs, a, b = _lane_pairs(spark, sf)
+    rows = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), sc.evidence(a, b, "peak", F.lit(0.25), F.lit(125.0)).alias("e")).filter("e IS NOT NULL")
+    return rows.select("a", "b", *[round_up(F.col(f"e.{c}"), 4).alias(c) for c in [*sc.WEIGHTS, "total"]], "e.penalty", "e.half_time")
 
 
 @register("transition_types", f"""
-WITH {_POOL}, t AS (SELECT a.id AS a, b.id AS b, {_TEMPO} AS t, ({_KEY})::DOUBLE AS k, b.arousal - a.arousal AS turn FROM {_JOIN}) SELECT CASE WHEN t >= 0.9 AND k >= 0.9 THEN 'blend' WHEN t >= 0.9 THEN 'beatmatch' WHEN k >= 0.9 THEN 'harmonic' WHEN turn > 0.2 THEN 'lift' ELSE 'cut' END AS type, count(*) AS n FROM t GROUP BY 1""")
+WITH {_POOL}, {_TERMS} SELECT CASE WHEN NOT open THEN 'hold' WHEN half THEN 'half-time-shift' WHEN out_bar IS NOT NULL AND in_bar IS NOT NULL THEN CASE WHEN now >= 6 AND in_bar <= 4 THEN 'drop-entry' WHEN abs(now - was) >= 1.5 THEN 'energy-swap' WHEN abs(out_bar - in_bar) >= 16 THEN 'long-blend' ELSE 'phrase-cut' END
+  WHEN abs(now - was) >= 1.5 THEN 'energy-swap' ELSE 'hold' END AS type, count(*) AS n FROM w GROUP BY 1""")
 def transition_types(spark, sf):
-    x, y = _side("a"), _side("b")
-    kind = sc.transition_type(sc.tempo_score(x["bpm"], y["bpm"]), sc.key_compat(x["hour"], x["mode"], y["hour"], y["mode"]), y["arousal"] - x["arousal"])
-    return _pairs(spark, sf).groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
+    pairs, a, b = _lane_pairs(spark, sf)
+    found = sc.terms(a, b, sc.PRESETS["peak"], F.lit(0.25), F.lit(125.0), F.lit(0.0))
+    felt = lambda x: F.when(x["felt"], x["arousal"])
+    kind = sc.transition_type(found["open"], found["half_time"], a["out_bar"], b["in_bar"], felt(a), felt(b))
+    return pairs.groupBy(kind.alias("type")).agg(F.count("*").alias("n"))
+
+
+def _rounded(chains):
+    return chains.withColumns({"score": round_up(F.col("score"), 4), "at_s": round_up(F.col("at_s"), 3), "end_s": round_up(F.col("end_s"), 3)})
 
 
 @register("set_greedy")
 def set_greedy(spark, sf):
-    return sc.build_chains(_sessions(spark, sf), "grp", 25).withColumn("score", round_up(F.col("score"), 4))
+    return _rounded(ch.build_chains(sessions(spark, sf), ["grp"], "peak", 60, "greedy"))
 
 
 @register("set_beam")
 def set_beam(spark, sf):
-    return sc.build_chains(_sessions(spark, sf), "grp", 25, 8).withColumn("score", round_up(F.col("score"), 4))
+    return _rounded(ch.build_chains(sessions(spark, sf), ["grp"], "warmup", 60, "beam"))
+
+
+@register("set_rejected")
+def set_rejected(spark, sf):
+    """Why the rows that no greedy chain took stay out."""
+    pool = sessions(spark, sf)
+    return ch.rejected(pool, materialise(ch.build_chains(pool, ["grp"], "peak", 60, "greedy")), ["grp"])
+
+
+@register("set_explained")
+def set_explained(spark, sf):
+    """Clock, score and type of each step of the greedy chains, from the columns rather than the search."""
+    pool = sessions(spark, sf)
+    chains = materialise(ch.build_chains(pool, ["grp"], "peak", 60, "greedy"))
+    return _rounded(ch.explain(chains, pool, ["grp"], "peak", 60).drop("evidence"))
+
+
+@register("set_landmarks")
+def set_landmarks(spark, sf):
+    """Every session asks for its items numbered 0 and 40 of each 113; what became of these pins."""
+    pool = sessions(spark, sf)
+    chains = materialise(ch.build_chains(pool, ["grp"], "peak", 60, "greedy"))
+    pins = pool.filter("id % 113 IN (0, 40)").select("grp", "id", (F.col("id") % 113).alias("turn"))
+    return ch.insert_landmarks(chains, pool, pins, ["grp"], "peak", 60)[1]
+
+
+@register("set_regenerated")
+def set_regenerated(spark, sf):
+    """The greedy chains anew with every third step kept and another opener's seed."""
+    pool = sessions(spark, sf)
+    chains = materialise(ch.build_chains(pool, ["grp"], "peak", 60, "greedy"))
+    return _rounded(ch.regenerate(chains, pool, chains.filter("step % 3 = 2"), ["grp"], "peak", 60, seed=1))
+
+
+FAMILIES = {"techno": ["techno"], "house": ["house"], "pop": ["pop"]}
+
+
+@register("set_cohorts")
+def set_cohorts(spark, sf):
+    """Warm-up and peak sets of each family in each key range."""
+    pool = features(table(spark, sf, "part"), table(spark, sf, "embeddings"), F.floor(F.col("p_partkey") / 1200))
+    return ch.summary(ch.cohorts(pool, FAMILIES, 60, within=["grp"]), ["grp", "cohort", "arm"], 60)
+
+
+@register("set_variants")
+def set_variants(spark, sf):
+    """Four chains a session with their scorecards; the best is the one to propose."""
+    pool = sessions(spark, sf)
+    made = materialise(ch.variants(pool, ["grp"], "peak", 60, 4))
+    return ch.scorecard(made, pool, ["grp", "seed"], "peak", 60)
 
 
 @register("set_quality")
 def set_quality(spark, sf):
-    """The scorecard of the greedy chains: 25 steps asked for, arousal meant to rise over the session, no landmarks."""
-    pool = _sessions(spark, sf).select("id", "artist", "arousal")
-    return sc.scorecard(sc.build_chains(_sessions(spark, sf), "grp", 25).join(pool, "id"), "grp", 25, (0.0, 1.0))
+    pool = sessions(spark, sf)
+    return ch.scorecard(ch.build_chains(pool, ["grp"], "peak", 60, "greedy"), pool, ["grp"], "peak", 60)
 
 
 @register("match_score", f"""

@@ -131,15 +131,3 @@ def test_copies_share_a_title(spark):
     got = [one(spark, clean_title(F.lit(s).cast("string"))) for s in ("Song [archive 2]", " SONG (12)", "Song [BACKUP2] (1)", "Song [live]", None)]
     assert got == ["song", "song", "song", "song [live]", None]
     assert [one(spark, stem_key(F.lit(s))) for s in ("/a.b/Song [archive].mp3", ".hidden", "x/a.b.c")] == ["song", ".hidden", "a.b"]
-
-
-def test_search_by_pool_size(spark):
-    rng = random.Random(9)
-    rows = [(i, g, 120.0 + rng.randrange(6), rng.randrange(1, 4), 0, rng.random(), rng.random(), f"a{rng.randrange(9)}") for g, n in ((0, 12), (1, 30)) for i in range(g * 100, g * 100 + n)]
-    pool = spark.createDataFrame(rows, "id long, grp long, bpm double, hour int, mode int, arousal double, dance double, artist string")
-    take = lambda df, g: sorted((r.step, r.id) for r in df.filter(f"grp = {g}").collect())
-    beam, greedy = sc.build_chains(pool, "grp", 8, 8), sc.build_chains(pool, "grp", 8)
-    even, odd = sc.build_by_size(pool, "grp", 8, small=20), sc.build_by_size(pool, "grp", 8, seed=3, small=20)
-    assert take(even, 0) == take(beam, 0) and take(even, 1) == take(greedy, 1)
-    assert take(odd, 0) == take(greedy, 0) and take(odd, 1) == take(beam, 1)
-    assert take(sc.build_by_size(pool, "grp", 8, search="beam"), 1) == take(beam, 1)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import scalar, text
-from marlstone.operators import energy, evalstats, filters, graph, integrity, labels, relational, scoring, sequence, vectors
+from marlstone.operators import energy, evalstats, filters, graph, integrity, labels, relational, sequence, vectors
 from marlstone.sources import readers, writers
 
 
@@ -187,18 +187,12 @@ def test_sweep_states(spark):
     assert dict(rows(integrity.sweep(now, old, "k", "s", "d"))) == {"a": "unchanged", "b": "truncated", "c": "changed", "n": "new", "m": "missing"}
 
 
-def test_chain_search_beats_or_equals_greedy(spark):
-    rng = np.random.default_rng(2)
-    pool = spark.createDataFrame([("g", i, float(rng.integers(118, 126)), int(rng.integers(1, 13)), 0, float(rng.random()), float(rng.random()), f"a{i % 9}") for i in range(60)], "grp string, id long, bpm double, hour int, mode int, arousal double, dance double, artist string")
-    total = lambda width: sum(r["score"] for r in scoring.build_chains(pool, "grp", 10, width).collect())
-    assert total(8) >= total(1) > 0
-
-
 def test_sets_are_built_from_all_of_part(spark, tmp_path):
     from marlstone.plans import catalog
 
     rows_ = [(i, i % 50, f"Brand#{i % 25}") for i in range(1, 3001)]
     spark.createDataFrame(rows_, "p_partkey long, p_size int, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1, [1.0, 2.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     sessions = {(i // 1200) * 8 + size % 8 for i, size, _ in rows_}
     got = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("set_greedy", "set_beam", "set_quality")}
     assert all({r["grp"] for r in rows_} == sessions for rows_ in got.values())
@@ -226,18 +220,6 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "t")).select("k", "v")) == [(1, "a"), (2, "c")]
 
 
-def test_scorecard_parts(spark):
-    from marlstone.operators import scoring
-
-    rows = [("a", i, i, s, w, h) for i, (s, w, h) in enumerate([(0.0, "x", 0.0), (0.8, "y", 0.5), (0.4, "y", 1.0)])] + [("b", 0, 9, 0.0, "x", 0.3)]
-    chains = spark.createDataFrame(rows, "grp string, step long, id long, score double, artist string, arousal double")
-    got = {r["grp"]: r.asDict() for r in scoring.scorecard(chains, "grp", 4, (0.0, 1.0)).collect()}
-    assert got["a"] == {"grp": "a", "transition": 60.0, "floor": 40.0, "arc": 100.0, "diversity": 0.0, "budget": 75.0, "landmark": 100.0, "total": 61.5}
-    assert (got["b"]["transition"], got["b"]["arc"], got["b"]["diversity"], got["b"]["budget"]) == (100.0, 50.0, 100.0, 25.0)
-    marks = spark.createDataFrame([("a", 1), ("a", 77)], "grp string, id long")
-    assert {r["grp"]: r["landmark"] for r in scoring.scorecard(chains, "grp", 4, (0.0, 1.0), marks).collect()} == {"a": 50.0, "b": 100.0}
-
-
 def test_heavy_keys_are_joined_by_broadcast(spark):
     from marlstone.operators.joins import join_by_size
 
