@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import erfc_positive, uniform
-from marlstone.operators.ranks import cumulative
+from marlstone.operators.ranks import cumulative, number_rows, running_max
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -58,10 +58,8 @@ def bootstrap_ci(df: DataFrame, order: str, value: Column, draws: int = 1000, se
     Draw i * n + j of the counter generator picks a row for place j of resample i, so every
     resample is independent of the others and reruns agree. Rows are numbered by ``order``.
     """
-    from pyspark.sql import Window
-
     n = df.count()
-    rows = df.select((F.row_number().over(Window.orderBy(order)) - 1).cast("long").alias("at"), value.cast("double").alias("v"))
+    rows = number_rows(df.select(F.col(order).alias("o"), value.cast("double").alias("v")), [F.col("o")], "at").select((F.col("at") - 1).alias("at"), "v")
     picks = df.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("i"), F.floor(uniform(F.col("id"), seed) * n).cast("long").alias("at"))
     means = picks.join(rows, "at").groupBy("i").agg(F.avg("v").alias("m"))
     sorted_ = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
@@ -94,12 +92,12 @@ def cohen_h(p: Column, q: Column) -> Column:
 
 def holm(df: DataFrame, p: str) -> DataFrame:
     """Holm-Bonferroni: adjusted p-values, which never fall along the order of p."""
-    from pyspark.sql import Window
-
-    w = Window.orderBy(p)
-    m = F.count("*").over(Window.partitionBy())
-    raw = F.least(F.lit(1.0), F.col(p) * (m - F.row_number().over(w) + 1))
-    return df.withColumn("__raw", raw).withColumn("adjusted", F.max("__raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__raw")
+    counts = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("__p")).agg(F.count("*").alias("__n"))
+    runs = cumulative(counts, "__p", "__n", "__upto", "__m")
+    # Of equal p-values the first has the largest product, which the others take over.
+    raw = runs.select("__p", F.least(F.lit(1.0), F.col("__p") * (F.col("__m") - F.col("__upto") + F.col("__n"))).alias("__raw"))
+    steps = running_max(raw, [F.col("__p")], "__raw", "adjusted").drop("__raw")
+    return df.join(steps, F.col(p) == F.col("__p"), "left").drop("__p")
 
 
 def run_compare(a: DataFrame, b: DataFrame, key: str, conf: str, correct: str, steps: int = 20) -> DataFrame:

@@ -78,7 +78,7 @@ def dawid_skene(annotations: DataFrame, item: str, annotator: str, label: str, i
         moved = new.join(post.withColumnRenamed("p", "q"), ["i", "t"]).agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0]
         release(post)
         post = new
-        if moved < epsilon:
+        if moved is None or moved < epsilon:  # no answers, no change
             break
     return post.select(F.col("i").alias(item), F.col("t").alias(label), F.col("p").alias("posterior")), step
 
@@ -96,7 +96,7 @@ def bradley_terry(pairs: DataFrame, winner: str, loser: str, iterations: int = 1
         if step:  # the first scores are no table of their own
             release(scores)
         scores = new
-        if moved < epsilon:
+        if moved is None or moved < epsilon:  # no games, no change
             break
     return scores.select("id", F.col("s").alias("score"), F.greatest(F.lit(1), F.least(F.lit(9), F.ceil(F.col("s") * 9))).cast("int").alias("band"))
 

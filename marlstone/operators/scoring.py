@@ -85,6 +85,26 @@ def mirex(na: Column, ma: Column, nb: Column, mb: Column) -> Column:
     return F.when((step == 0) & (ma == mb), 1.0).when((step == 1) & (ma == mb), 0.5).when((step == 0) & (ma != mb), 0.3).when((step == 3) & (ma != mb), 0.2).otherwise(0.0)
 
 
+def camelot(key: Column) -> Column:
+    """A key as ``hour`` (1 to 12) and ``mode`` (0 minor, 1 major): 8A or 8 b, open keys (7m, 6d), or notes (Am, F#, Eb minor, C d); null for others.
+
+    Hours go by fifths from 8 for A minor and C major; open keys run five hours ahead.
+    """
+    k = F.trim(key)
+    part = lambda pattern, i: F.regexp_extract(k, pattern, i)
+    wheel, numbered, noted = r"^([1-9]|1[0-2])\s*([ABab])$", r"^([1-9]|1[0-2])\s*([mdMD])$", r"^([A-Ga-g])([#b]?)\s*(maj(?:or)?|min(?:or)?|dur|moll|[md])?$"
+    pitch = F.element_at(F.create_map(*[F.lit(x) for pair in {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}.items() for x in pair]), F.upper(part(noted, 1)))
+    pitch = pitch + F.when(part(noted, 2) == "#", 1).when(part(noted, 2) == "b", -1).otherwise(0)
+    minor = part(noted, 3).isin("m", "moll") | part(noted, 3).startswith("min")
+    fifths = F.pmod((pitch + F.when(minor, 3).otherwise(0)) * 7 + 7, F.lit(12)) + 1
+    # A bare note is upper case: a lone "b" or "a" names no key.
+    plain = (part(noted, 3) != "") | part(noted, 1).rlike("[A-G]")
+    open_hour = F.pmod(part(numbered, 1).try_cast("int") - 6, F.lit(12)) + 1
+    known = F.when(part(wheel, 1) != "", F.struct(part(wheel, 1).try_cast("int").alias("hour"), (F.upper(part(wheel, 2)) == "B").cast("int").alias("mode")))
+    known = known.when(part(numbered, 1) != "", F.struct(open_hour.alias("hour"), (F.upper(part(numbered, 2)) == "D").cast("int").alias("mode")))
+    return known.when((part(noted, 1) != "") & plain, F.struct(fifths.alias("hour"), (~minor).cast("int").alias("mode")))
+
+
 def artist_key(artist: Column) -> Column:
     """The first of the credited artists in lower case; empty if there is none."""
     return F.coalesce(F.lower(F.trim(F.split_part(artist, F.lit(","), F.lit(1)))), F.lit(""))

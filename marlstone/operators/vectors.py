@@ -12,57 +12,201 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import round_up
 from marlstone.operators.joins import small_side
+from marlstone.operators.ranks import number_rows
 
 
-def _blocks(df: DataFrame, vec: str, rows: int) -> tuple[DataFrame, int]:
-    """Vectors packed into blocks: ``block, ids, packed``, both binary (int64; float64 of unit length, zero vectors stay zero)."""
+def _blocks(df: DataFrame, vec: str, rows: int, by: str = "__id") -> tuple[DataFrame, int]:
+    """Rows ``__id, __mark`` and a vector packed into blocks of about so many rows, dealt by ``by`` and sorted by it.
+
+    Gives ``block, ids, marks, packed``, all binary (int64; float64 of unit length, zero vectors stay zero).
+    """
     n = max(1, -(-df.count() // rows))
-    placed = df.select("__id", F.pmod(F.xxhash64("__id"), F.lit(n)).cast("int").alias("block"), F.col(vec).cast("array<double>").alias("v"))
-    grouped = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("__id", "v"))).alias("rows"))
+    placed = df.select("__id", "__mark", F.pmod(F.xxhash64(by), F.lit(n)).cast("int").alias("block"), F.col(vec).cast("array<double>").alias("v"))
+    order = ["__id", "__mark"] if by == "__id" else ["__mark", "__id"]
+    grouped = placed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct(*order, "v"))).alias("rows"))
+    at = order.index("__id"), order.index("__mark")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 rows_ = batch.column(1)[i].values
-                ids = rows_.field(0).to_numpy(zero_copy_only=False)
-                m = rows_.field(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                ids, marks = (rows_.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in at)
+                m = rows_.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
                 norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
                 unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], pa.array([ids.astype(np.int64).tobytes()]), pa.array([unit.tobytes()])], ["block", "ids", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i : i + 1], *[pa.array([x.tobytes()]) for x in (ids, marks, unit)]], ["block", "ids", "marks", "packed"])
+
+    return grouped.mapInArrow(pack, "block int, ids binary, marks binary, packed binary"), n
+
+
+def _meetings(queries: DataFrame, corpus: DataFrame, blocks: int, best) -> DataFrame:
+    """Every query block with every corpus block, by an equi-join on the corpus block's number; ``best`` gives ids, neighbours and similarities."""
+    sent = queries.select("ids", "marks", "packed", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    meet = sent.join(corpus.withColumnsRenamed({"ids": "oids", "marks": "omarks", "packed": "opacked"}), "block")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, marks, mine, oids, omarks, others = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.int64, np.float64) * 2))
+                found = best(ids, marks, mine.reshape(len(ids), -1), oids, omarks, others.reshape(len(oids), -1))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query", "neighbour", "similarity"])
+
+    columns = ["ids", "marks", "packed", "oids", "omarks", "opacked"]
+    return meet.select(*columns).mapInArrow(run, "query long, neighbour long, similarity double")
+
+
+def _top(sims: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best columns of each row; columns are sorted, so that a stable sort breaks ties by the lower neighbour."""
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    value = np.take_along_axis(sims, top, axis=1)
+    ok = np.isfinite(value).ravel()
+    return np.repeat(ids, top.shape[1])[ok], others[top].ravel()[ok], value.ravel()[ok]
 
-    return grouped.mapInArrow(pack, "block int, ids binary, packed binary"), n
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def knn_edges(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", same: bool = False, decimals: int = 6, block_rows: int = 2048) -> DataFrame:
+def knn_edges(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding", same: bool = False, decimals: int = 6, block_rows: int = 2048, apart: str | None = None) -> DataFrame:
     """The ``k`` most similar corpus rows of each query by cosine: ``query, neighbour, similarity, rank``.
 
     Blocks of queries meet blocks of the corpus as matrices; each meeting keeps its ``k`` best per
     query, so what is shuffled is k rows a query and corpus block, never all pairs. Similarities
     are rounded half up before ranking and ties go to the lower id. With ``same`` a row is not its
-    own neighbour. Ids must be longs; vectors of one length.
+    own neighbour; with ``apart`` rows of one value of that column (an artist, a fold) are no
+    neighbours, a null keeps only the row itself away. Ids must be longs; vectors of one length.
     """
-    q, nq = _blocks(queries.select(F.col(id_col).alias("__id"), vec), vec, block_rows)
-    c, nc = _blocks(corpus.select(F.col(id_col).alias("__id"), vec), vec, block_rows)
-    # Every query block goes to every corpus block: an equi-join on the corpus block's number.
-    meet = q.select("ids", "packed", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))).alias("block")).join(c.withColumnsRenamed({"ids": "oids", "packed": "opacked"}), "block")
+    mark = F.when(F.col(apart).isNull(), F.col(id_col)).otherwise(F.xxhash64(apart)) if apart else F.col(id_col)
+    q, _ = _blocks(queries.select(F.col(id_col).alias("__id"), mark.alias("__mark"), vec), vec, block_rows)
+    c, nc = _blocks(corpus.select(F.col(id_col).alias("__id"), mark.alias("__mark"), vec), vec, block_rows)
     scale = 10.0**decimals
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, mine, oid, others = (np.frombuffer(batch.column(j)[i].as_buffer(), t) for j, t in enumerate((np.int64, np.float64) * 2))
-                sims = np.floor(mine.reshape(len(ids), -1) @ others.reshape(len(oid), -1).T * scale + 0.5) / scale
-                if same:
-                    sims[ids[:, None] == oid[None, :]] = -np.inf
-                # others are sorted by id, so a stable sort breaks ties by id
-                top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-                value = np.take_along_axis(sims, top, axis=1)
-                ok = np.isfinite(value).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, top.shape[1])[ok]), pa.array(oid[top].ravel()[ok]), pa.array(value.ravel()[ok])], ["query", "neighbour", "similarity"])
-
-    found = meet.select("ids", "packed", "oids", "opacked").mapInArrow(best, "query long, neighbour long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    def best(ids, marks, mine, oids, omarks, others):
+        sims = np.floor(mine @ others.T * scale + 0.5) / scale
+        if same or apart:
+            sims[marks[:, None] == omarks[None, :]] = -np.inf
+        return _top(sims, ids, oids, k)
+
+    return _ranked(_meetings(q, c, nc, best), k)
+
+
+def knn_items(vectors: DataFrame, k: int, item: str, id_col: str = "vec_id", vec: str = "embedding", decimals: int = 6, block_rows: int = 2048) -> DataFrame:
+    """The ``k`` other items most similar to each vector: ``query`` (a vector), ``neighbour`` (an item), ``similarity, rank``.
+
+    An item is as similar to a vector as its most similar vector. All vectors of an item lie in one
+    block, so each meeting of blocks brings its pairs down to items before it keeps the k best.
+    Vectors of zero length are nobody's. Ids and items must be longs; items have bounded vectors.
+    """
+    real = vectors.filter(F.exists(vec, lambda x: x != 0)).select(F.col(id_col).alias("__id"), F.col(item).alias("__mark"), vec)
+    packed, n = _blocks(real, vec, block_rows, "__mark")
+    scale = 10.0**decimals
+
+    def best(ids, marks, mine, oids, omarks, others):
+        starts = np.flatnonzero(np.r_[True, omarks[1:] != omarks[:-1]])
+        items = omarks[starts]
+        sims = np.maximum.reduceat(np.floor(mine @ others.T * scale + 0.5) / scale, starts, axis=1)
+        sims[marks[:, None] == items[None, :]] = -np.inf
+        return _top(sims, ids, items, k)
+
+    return _ranked(_meetings(packed, packed, n, best), k)
+
+
+def best_vote(edges: DataFrame, vectors: DataFrame, labels: DataFrame, item: str, id_col: str, label: str) -> DataFrame:
+    """``item, own, predicted, agreement, correct``: the majority among the neighbours of the vector that agrees best.
+
+    ``edges`` as :func:`knn_items` gives them, ``labels`` a row per item. Votes that tie go to the label
+    met first by rank; vectors that agree alike to the lower one. An item without a vector or a
+    neighbour has no prediction, which is not correct.
+    """
+    named = edges.join(labels.select(F.col(item).alias("neighbour"), F.col(label).alias("__l")), "neighbour")
+    counts = named.groupBy("query", "__l").agg(F.count("*").alias("n"), F.min("rank").alias("r"))
+    per = counts.groupBy("query").agg(F.max(F.struct("n", (-F.col("r")).alias("r"), F.col("__l").alias("l"))).alias("w"), F.sum("n").alias("t"))
+    owned = per.join(vectors.select(F.col(id_col).alias("query"), item), "query")
+    best = owned.groupBy(item).agg(F.max(F.struct((F.col("w.n") / F.col("t")).alias("a"), (-F.col("query")).alias("q"), F.col("w.l").alias("l"))).alias("b"))
+    out = labels.select(item, F.col(label).alias("own")).join(best, item, "left")
+    return out.select(item, "own", F.col("b.l").alias("predicted"), F.coalesce("b.a", F.lit(0.0)).alias("agreement"), F.coalesce(F.col("b.l") == F.col("own"), F.lit(False)).alias("correct"))
+
+
+def group_fold(group: Column, folds: int) -> Column:
+    """A fold from 0 on for every value of a group, by its digest: a group is never on both sides, and no list of groups is needed."""
+    return (F.conv(F.substring(F.md5(group.cast("string")), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def balanced_vote(edges: DataFrame, labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """``query, predicted``: each neighbour votes by the rarity of its class over its distance; ties by label.
+
+    A class weighs all rows / (classes * its rows), a distance is 1 - similarity and 1e-10 at least.
+    """
+    rows = labels.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__l")).agg(F.count("*").alias("n"))
+    total = Window.partitionBy()
+    weights = rows.select("__l", (F.sum("n").over(total) / (F.count("*").over(total) * F.col("n"))).alias("w"))
+    named = edges.join(labels.select(F.col(id_col).alias("neighbour"), F.col(label).alias("__l")), "neighbour").join(small_side(weights, 100_000), "__l")
+    votes = named.groupBy("query", "__l").agg(F.sum(F.col("w") / F.greatest(1 - F.col("similarity"), F.lit(1e-10))).alias("v"))
+    # The same votes in another order of summing differ in their last digits: compare seven.
+    scaled = F.floor(F.col("v") * 1e7 + 0.5)
+    return votes.groupBy("query").agg(F.min(F.struct((-scaled).alias("v"), F.col("__l").alias("l")))["l"].alias("predicted"))
+
+
+def fold_centroids(df: DataFrame, vec: str, fold: str, label: str, scale: bool = True) -> DataFrame:
+    """``fold, label, mean, spread`` for each fold: the class means of the rows outside it, and how its dimensions spread there.
+
+    Nothing of a fold's own rows goes into what judges them: sums of all rows less its own. With
+    ``scale`` the spread is the standard deviation (1 where a dimension stands still), else 1.
+    Everything is sums per (fold, label, dimension), pre-aggregated in each task.
+    """
+    wide = df.select(fold, label, F.posexplode(F.col(vec).cast("array<double>")).alias("d", "x"))
+    sums = wide.groupBy(fold, label, "d").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    # Folds that lack a class still need its mean: every fold meets every class that occurs.
+    whole = sums.groupBy(label, "d").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    folds = F.array_sort(F.collect_set(fold))
+    every = whole.join(sums.groupBy("d").agg(folds.alias("f")), "d").select(F.explode("f").alias(fold), label, "d", "n", "s", "q")
+    own = sums.select(fold, label, "d", F.col("n").alias("on"), F.col("s").alias("os"), F.col("q").alias("oq"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    rest = every.join(own, [fold, label, "d"], "left").select(fold, label, "d", (F.col("n") - zero("on")).alias("n"), (F.col("s") - zero("os")).alias("s"), (F.col("q") - zero("oq")).alias("q"))
+    dim = Window.partitionBy(fold, "d")
+    n, mean = F.sum("n").over(dim), F.sum("s").over(dim) / F.sum("n").over(dim)
+    var = F.greatest(F.lit(0.0), F.sum("q").over(dim) / n - mean * mean)
+    spread = F.when(var > 1e-12, F.sqrt(var)).otherwise(1.0) if scale else F.lit(1.0)
+    placed = rest.withColumn("spread", spread).filter("n > 0").select(fold, label, "d", (F.col("s") / F.col("n")).alias("mean"), "spread")
+    return placed.groupBy(fold, label).agg(F.array_sort(F.collect_list(F.struct("d", "mean", "spread"))).alias("c")).select(fold, label, F.transform("c", lambda x: x["mean"]).alias("mean"), F.transform("c", lambda x: x["spread"]).alias("spread"))
+
+
+def nearest_centroid_cv(df: DataFrame, id_col: str, vec: str, group: str, label: str, folds: int = 5, scale: bool = True) -> DataFrame:
+    """``id, fold, own, predicted`` of rows with a label, each judged by the class means of the other folds.
+
+    Folds never share a group (:func:`group_fold`). Distances are in units of each dimension's spread
+    outside the fold; ties go by label.
+    """
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("id"), group_fold(F.col(group), folds).alias("fold"), F.col(label).alias("own"), F.col(vec).cast("array<double>").alias("v"))
+    means = fold_centroids(rows, "v", "fold", "own", scale).withColumnRenamed("own", "l")
+    # A row per fold and class.
+    met = rows.join(small_side(means, 100_000), "fold")
+    parts = F.zip_with(F.zip_with("v", "mean", lambda a, b: a - b), "spread", lambda d, s: d / s * (d / s))
+    distance = F.floor(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) * 1e6 + 0.5)
+    return met.groupBy("id", "fold", "own").agg(F.min(F.struct(distance.alias("d"), F.col("l")))["l"].alias("predicted"))
+
+
+def band_similarity(df: DataFrame, id_col: str, vec: str, group: str, reach: int = 9, inter: int = 10) -> DataFrame:
+    """One row ``intra, intra_pairs, inter, inter_pairs, coherence``: the mean cosine of near members of a group against that across groups.
+
+    Within a group the members i and j (by id) with j - i from 1 to ``reach`` count, so pairs grow in
+    proportion to the rows; across two groups the first ``inter`` members of each, i with i. Nulls
+    of any column and vectors of zero length are left out.
+    """
+    rows = df.filter(F.col(group).isNotNull() & F.exists(vec, lambda x: x != 0)).select(F.col(id_col).alias("id"), F.col(group).alias("g"), F.col(vec).cast("array<double>").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    rows = rows.withColumn("v", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))))
+    placed = number_rows(rows, [F.col("id")], "i", ["g"])
+    # Cells of ``reach`` members: a later one at most ``reach`` on lies in the same cell or the next.
+    cell = F.floor(F.col("i") / reach)
+    later = placed.select("g", F.col("i").alias("j"), F.col("v").alias("w"), F.explode(F.array(cell, cell - 1)).alias("cell"))
+    near = placed.withColumn("cell", cell).join(later, ["g", "cell"]).filter((F.col("j") - F.col("i")).between(1, reach)).select("v", "w")
+    heads = placed.filter(F.col("i") <= inter)
+    a, b = heads.select("i", F.col("g").alias("a"), "v"), heads.select("i", F.col("g").alias("b"), F.col("v").alias("w"))
+    across = a.join(b, "i").filter("a < b").select("v", "w")
+    mean = lambda x, name: x.agg(F.avg(dot(F.col("v"), F.col("w"))).alias(name), F.count("*").alias(f"{name}_pairs"))
+    return mean(near, "intra").join(mean(across, "inter")).withColumn("coherence", F.coalesce(F.col("intra") - F.col("inter"), F.lit(0.0)))
 
 
 def vote(edges: DataFrame, labels: DataFrame, id_col: str, label: str, least: float = 0.6) -> DataFrame:
@@ -87,8 +231,10 @@ def weighted_vote(edges: DataFrame, labels: DataFrame, id_col: str, label: str,
 def principal_directions(df: DataFrame, vec: str, components: int, iterations: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """Mean and top principal directions by power iteration with deflation, from one distributed pass.
 
-    The d x d scatter matrix is summed per partition and added up on the driver: its size depends on
-    the dimension alone. Iteration starts at the first axis and stops when the direction stands still.
+    The d x d scatter matrix is summed per task and its rows then added up in a few tasks, each
+    holding its share of the rows only; the driver gets d + 1 rows, however many tasks there were.
+    Iteration starts at the first axis and stops when the direction stands still. An empty table
+    has no mean and no directions.
     """
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,14 +246,27 @@ def principal_directions(df: DataFrame, vec: str, components: int, iterations: i
             total = m.sum(axis=0) if total is None else total + m.sum(axis=0)
             cross = m.T @ m if cross is None else cross + m.T @ m
             n += len(m)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tolist()]), pa.array([cross.ravel().tolist()])], ["n", "total", "cross"])
+        for i, row in enumerate([total, *cross] if n else ()):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n]), pa.array([row.tolist()])], ["i", "n", "row"])
 
-    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(scatter, "n long, total array<double>, cross array<double>").collect()
-    n, total = sum(p["n"] for p in parts), np.sum([p["total"] for p in parts], axis=0)
-    mean = total / n
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for b in batches:
+            for i, n, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                have = sums.setdefault(i, [0, 0.0])
+                have[0] += n
+                have[1] = have[1] + row.values.to_numpy()
+        for i, (n, row) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n]), pa.array([row.tolist()])], ["i", "n", "row"])
+
+    kind = "i int, n long, row array<double>"
+    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInArrow(scatter, kind).repartition(32, "i").mapInArrow(add, kind).collect()
+    if not parts:
+        return np.zeros(0), np.zeros((0, 0))
+    rows = np.array([p["row"] for p in sorted(parts, key=lambda p: p["i"])])
+    n, mean = parts[0]["n"], rows[0] / parts[0]["n"]
     d = mean.size
-    cov = np.sum([p["cross"] for p in parts], axis=0).reshape(d, d) - n * np.outer(mean, mean)
+    cov = rows[1:] - n * np.outer(mean, mean)
     found = []
     for _ in range(components):
         v = np.eye(d)[0]

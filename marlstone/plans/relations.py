@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.scalar import fold
 from marlstone.operators import filters, relational as rel
+from marlstone.operators.ranks import number_rows
 from marlstone.plans.catalog import register, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -286,7 +287,8 @@ def duration_band(spark, sf):
 SELECT id, row_number() OVER (ORDER BY (TRY_CAST(id AS BIGINT) IS NULL), TRY_CAST(id AS BIGINT), id) AS rank FROM (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'x' || p_partkey ELSE p_partkey::VARCHAR END AS id FROM part)""")
 def stable_id_order(spark, sf):
     ids = table(spark, sf, "part").select(F.expr("CASE WHEN p_partkey % 5 = 0 THEN concat('x', p_partkey) ELSE CAST(p_partkey AS STRING) END").alias("id"))
-    return filters.numbered(ids, filters.stable_id(F.col("id")), "rank")
+    number = F.col("id").try_cast("decimal(38,0)")
+    return number_rows(ids, [number.isNull(), number, F.col("id")], "rank")
 
 
 @register("extremes", """

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from marlstone.functions.scalar import round_up
 from marlstone.operators import evalstats as ev
 from marlstone.operators import vectors as vc
+from marlstone.operators.ranks import cumulative, number_rows
 from marlstone.plans.catalog import register, table
+from marlstone.session import materialise
 
 K = 5
 _R = "floor(({}) * 10000 + 0.5) / 10000"
@@ -52,13 +54,10 @@ def loo_eval(spark, sf):
 
 @register("loo_disjoint", _edges_sql(where="aa <> ba") + f", {_VOTE} SELECT count(*) AS n, count(*) FILTER (predicted = own) AS agree FROM w")
 def loo_disjoint(spark, sf):
-    """Neighbours of the same artist do not count: each artist's rows search the rest."""
+    """Neighbours of the same artist do not count."""
     e = table(spark, sf, "embeddings").withColumn("artist", F.col("vec_id") % 7)
     labels = e.select("vec_id", "label")
-    edges = None
-    for a in range(7):
-        part = vc.knn_edges(e.filter(F.col("artist") == a), e.filter(F.col("artist") != a), K)
-        edges = part if edges is None else edges.unionByName(part)
+    edges = vc.knn_edges(e, e, K, apart="artist")
     v = vc.vote(edges, labels, "vec_id", "label").join(labels.withColumnsRenamed({"vec_id": "query", "label": "own"}), "query")
     return v.agg(F.count("*").alias("n"), F.count_if(F.col("predicted") == F.col("own")).alias("agree"))
 
@@ -77,9 +76,11 @@ def weighted_knn(spark, sf):
 @register("hubness", _edges_sql() + ", o AS (SELECT neighbour, count(*) AS n FROM k GROUP BY 1), s AS (SELECT list(n ORDER BY n) AS a, count(*) AS c, max(n) AS top, count(*) FILTER (n >= 10) AS hubs FROM o) SELECT c AS listed, top, hubs, a[floor(0.5 * c)::INT + 1] AS p50, a[floor(0.9 * c)::INT + 1] AS p90, a[floor(0.99 * c)::INT + 1] AS p99 FROM s")
 def hubness(spark, sf):
     seen = _edges(spark, sf).groupBy("neighbour").agg(F.count("*").alias("n"))
-    row = seen.agg(F.array_sort(F.collect_list("n")).alias("a"), F.count("*").alias("listed"), F.max("n").alias("top"), F.count_if(F.col("n") >= 10).alias("hubs"))
-    at = lambda q: F.element_at("a", (F.floor(F.col("listed") * q) + 1).cast("int"))
-    return row.select("listed", "top", "hubs", at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    counts = materialise(seen.groupBy("n").agg(F.count("*").alias("c")))
+    runs = cumulative(counts, "n", "c", "upto", "listed")
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("listed") * q), F.col("n")))
+    hubs = F.sum(F.when(F.col("n") >= 10, F.col("c")).otherwise(0))
+    return runs.agg(F.max("listed").alias("listed"), F.max("n").alias("top"), hubs.alias("hubs"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
 
 
 @register("confusion_matrix", _edges_sql() + f", {_VOTE} SELECT own AS truth, predicted AS pred, count(*) AS n FROM w GROUP BY 1, 2")
@@ -127,8 +128,7 @@ def csls_topk(spark, sf):
     """Hubness-corrected neighbours against a stride-sampled reference of at most 1,500 vectors."""
     e = table(spark, sf, "embeddings")
     stride = max(1, -(-e.count() // 1500))
-    numbered = e.withColumn("rn", F.row_number().over(Window.orderBy("vec_id")) - 1)
-    sample = numbered.filter(F.col("rn") % stride == 0).drop("rn")
+    sample = number_rows(e, [F.col("vec_id")], "rn").filter((F.col("rn") - 1) % stride == 0).drop("rn")
     return vc.csls(_edges(spark, sf, 20), vc.knn_edges(e, sample, 10, same=True), K).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -227,3 +227,70 @@ def baseline_compare(spark, sf):
 @register("pearson", f"SELECT {_R.format('corr(l_quantity, l_discount)')} AS r FROM lineitem")
 def pearson(spark, sf):
     return table(spark, sf, "lineitem").agg(round_up(F.corr("l_quantity", "l_discount"), 4).alias("r"))
+
+
+_ITEMS = "x AS (SELECT vec_id // 3 AS item, vec_id, CASE WHEN vec_id % 50 = 0 THEN list_transform(embedding, lambda y: 0)::DOUBLE[] ELSE embedding::DOUBLE[] END AS e FROM embeddings), l AS (SELECT vec_id // 3 AS item, label FROM embeddings WHERE vec_id % 3 = 0), z AS (SELECT * FROM x WHERE vec_id % 50 <> 0)"
+
+
+@register("multi_vector_loo", f"""
+WITH {_ITEMS}, p AS (SELECT a.item AS own_item, a.vec_id AS query, b.item AS neighbour, max(floor(list_cosine_similarity(a.e, b.e) * 1e6 + 0.5) / 1e6) AS s FROM z a JOIN z b ON a.item <> b.item GROUP BY ALL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p) WHERE rank <= 5),
+c AS (SELECT own_item, query, label, count(*) AS n, min(rank) AS r FROM k JOIN l ON l.item = k.neighbour GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY query) AS t, row_number() OVER (PARTITION BY query ORDER BY n DESC, r) AS o FROM c),
+b AS (SELECT own_item, label AS predicted, n / t AS agreement FROM w WHERE o = 1 QUALIFY row_number() OVER (PARTITION BY own_item ORDER BY n / t DESC, query) = 1)
+SELECT l.item, label AS own, predicted, coalesce(floor(agreement * 10000 + 0.5) / 10000, 0) AS agreement, coalesce(predicted = label, false) AS correct FROM l LEFT JOIN b ON b.own_item = l.item""")
+def multi_vector_loo(spark, sf):
+    """Items of three vectors each, left out in turn; some vectors are zero."""
+    e = table(spark, sf, "embeddings")
+    vec = F.when(F.col("vec_id") % 50 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    vectors = e.select("vec_id", F.floor(F.col("vec_id") / 3).alias("item"), vec.alias("embedding"))
+    labels = e.filter("vec_id % 3 = 0").select(F.floor(F.col("vec_id") / 3).alias("item"), "label")
+    found = vc.best_vote(vc.knn_items(vectors, 5, "item"), vectors, labels, "item", "vec_id", "label")
+    return found.withColumn("agreement", round_up(F.col("agreement"), 4))
+
+
+_FOLD = "(('0x' || left(md5((vec_id % 23)::VARCHAR), 8))::BIGINT % 5)::INT"
+_BALANCED = f"""WITH f AS (SELECT vec_id, label, {_FOLD} AS fold, embedding::DOUBLE[] AS e FROM embeddings), p AS (SELECT a.vec_id AS query, a.label AS own, a.fold, b.vec_id AS neighbour, b.label AS l, floor(list_cosine_similarity(a.e, b.e) * 1e6 + 0.5) / 1e6 AS s FROM f a JOIN f b ON a.fold <> b.fold),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank FROM p) WHERE rank <= 5), n AS (SELECT label AS l, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM embeddings GROUP BY 1),
+v AS (SELECT query, own, fold, l, sum(w / greatest(1 - s, 1e-10)) AS v FROM k JOIN n USING (l) GROUP BY ALL), b AS (SELECT query, own, fold, l AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY floor(v * 1e7 + 0.5) DESC, l) = 1)"""
+
+
+def _balanced(spark, sf):
+    e = table(spark, sf, "embeddings").withColumn("fold", vc.group_fold(F.col("vec_id") % 23, 5))
+    voted = vc.balanced_vote(vc.knn_edges(e, e, 5, apart="fold"), e, "vec_id", "label")
+    return voted.join(e.select(F.col("vec_id").alias("query"), F.col("label").alias("own"), "fold"), "query")
+
+
+@register("balanced_knn", f"{_BALANCED} SELECT query, own, fold, predicted FROM b")
+def balanced_knn(spark, sf):
+    """Groups of 23 stand on one side of every fold; a vote weighs by the rarity of its class and by nearness."""
+    return _balanced(spark, sf).select("query", "own", "fold", "predicted")
+
+
+@register("balanced_knn_eval", f"""{_BALANCED}, c AS (SELECT u.l AS label, count(*) FILTER (own = u.l) AS n, count(*) FILTER (own = u.l AND predicted = u.l) AS hit, count(*) FILTER (predicted = u.l) AS said FROM b, (SELECT own AS l FROM b UNION SELECT predicted FROM b) u GROUP BY 1)
+SELECT label, n, {_R.format('CASE WHEN n > 0 THEN hit / n ELSE 0 END')} AS recall, {_R.format('CASE WHEN n + said > 0 THEN 2 * hit / (n + said) ELSE 0 END')} AS f1 FROM c""")
+def balanced_knn_eval(spark, sf):
+    """Recall and F1 of each class; their means are the macro figures."""
+    b = _balanced(spark, sf)
+    zero, one = F.lit(0), F.lit(1)
+    owned = b.select(F.col("own").alias("label"), one.alias("n"), zero.alias("said"), (F.col("own") == F.col("predicted")).cast("int").alias("hit"))
+    sides = owned.unionByName(b.select(F.col("predicted").alias("label"), zero.alias("n"), one.alias("said"), zero.alias("hit")))
+    c = sides.groupBy("label").agg(F.sum("n").alias("n"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+    return c.select("label", "n", round_up(F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(0.0), 4).alias("recall"), round_up(2 * F.col("hit") / (F.col("n") + F.col("said")), 4).alias("f1"))
+
+
+@register("group_cv", f"""
+WITH f AS (SELECT vec_id, label, {_FOLD} AS fold, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT vec_id, label, fold, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM f),
+s AS (SELECT g.fold, d, sqrt(greatest(0, avg(x * x) - avg(x) * avg(x))) AS sd FROM x JOIN (SELECT DISTINCT fold FROM f) g ON g.fold <> x.fold GROUP BY ALL), m AS (SELECT g.fold, label AS l, d, avg(x) AS mean FROM x JOIN (SELECT DISTINCT fold FROM f) g ON g.fold <> x.fold GROUP BY ALL),
+t AS (SELECT vec_id, x.fold, label, l, sum(((x - mean) / CASE WHEN sd * sd > 1e-12 THEN sd ELSE 1 END) ** 2) AS dist FROM x JOIN m ON m.fold = x.fold AND m.d = x.d JOIN s ON s.fold = x.fold AND s.d = x.d GROUP BY ALL)
+SELECT vec_id AS id, fold, label AS own, l AS predicted FROM t QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY floor(dist * 1e6 + 0.5), l) = 1""")
+def group_cv(spark, sf):
+    return vc.nearest_centroid_cv(table(spark, sf, "embeddings").withColumn("g", F.col("vec_id") % 23), "vec_id", "embedding", "g", "label")
+
+
+@register("band_similarity", f"""
+WITH r AS (SELECT label, embedding::DOUBLE[] AS e, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings WHERE label IS NOT NULL), a AS (SELECT avg(list_cosine_similarity(x.e, y.e)) AS m, count(*) AS n FROM r x JOIN r y ON x.label = y.label AND y.i - x.i BETWEEN 1 AND 9),
+b AS (SELECT avg(list_cosine_similarity(x.e, y.e)) AS m, count(*) AS n FROM r x JOIN r y ON x.label < y.label AND x.i = y.i AND x.i <= 10)
+SELECT {_R.format('a.m')} AS intra, a.n AS intra_pairs, {_R.format('b.m')} AS inter, b.n AS inter_pairs, {_R.format('a.m - b.m')} AS coherence FROM a, b""")
+def band_similarity(spark, sf):
+    r = vc.band_similarity(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return r.select(*[round_up(F.col(c), 4).alias(c) if c in ("intra", "inter", "coherence") else c for c in r.columns])
