@@ -81,3 +81,64 @@ def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
         return spark.createDataFrame([], stream.schema)
     last = f"{root}/rows/batch={max(seen)}" if mode == "complete" else f"{root}/rows/batch=*"
     return spark.read.schema(stream.schema).parquet(last)
+
+
+def watch(df: DataFrame, key: str, done: str, total: float, every: float = 0.25, stall: float = 120.0, budget: float = 3600.0, late: str = "10 seconds", time: str = "ts") -> DataFrame:
+    """``key, at, event, progress, seconds_left``: reports thinned out, and the ends that nobody reports.
+
+    Per key and in the order of time, a report is passed on (``progress``) if it comes ``every`` seconds
+    or more after the last one passed on; the one that completes the work (``done``) always is. Progress
+    is the share done, 0 to 1. ``seconds_left`` is what remains at the rate since the first report, null
+    in the first second. Timers on the event time end a key whose share has not grown for ``stall``
+    seconds (``stalled``) or that still runs ``budget`` seconds after its first report (``over budget``):
+    they fire as the watermark passes, without a report of the key, and outlive a restart with the
+    state. A key that has ended stays so: later reports of it are passed over.
+    """
+
+    def step(keys, batches: Iterator, state) -> Iterator:
+        import pandas as pd
+
+        first, wrote, moved, best, ended = state.get if state.exists else (None, None, None, -1.0, False)
+        out: list[tuple] = []
+
+        def close(at: float) -> bool:
+            """End the key if a limit had passed by ``at``."""
+            limit, name = min((first + budget, "over budget"), (moved + stall, "stalled"))
+            if limit <= at:
+                out.append((limit, name, max(best, 0.0), None))
+            return limit <= at
+
+        if state.hasTimedOut:
+            ended = ended or close(state.getCurrentWatermarkMs() / 1000)
+        else:
+            reports = sorted((t / 1e6, v) for pdf in batches for t, v in zip(pdf["__us"], pdf[done]) if t == t and v == v)
+            for at, v in reports:
+                if ended:
+                    break
+                if first is None:
+                    first = moved = at
+                elif close(at):
+                    ended = True
+                    break
+                share = min(1.0, max(0.0, v / total))
+                if share > best:
+                    best, moved = share, at
+                ended = share >= 1.0
+                if ended or wrote is None or at - wrote >= every:
+                    rate = v / (at - first) if at - first >= 1 and v > 0 else None
+                    out.append((at, "done" if ended else "progress", share, max(0.0, (total - v) / rate) if rate else None))
+                    wrote = at
+        if first is not None:
+            state.update((first, wrote, moved, best, ended))
+            if not ended:
+                # A timer may not lie at or before the watermark: what is due already fires with the next batch.
+                due = min(first + budget, moved + stall) * 1000
+                state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs() + 1)))
+        columns = {key: [keys[0]] * len(out), "at": [round(o[0] * 1e6) for o in out], "event": [o[1] for o in out], "progress": [o[2] for o in out]}
+        yield pd.DataFrame(columns | {"seconds_left": pd.Series([o[3] for o in out], dtype="float64")})
+
+    kind = df.schema[key].dataType.simpleString()
+    # Times go as microseconds, so that the session's time zone plays no part.
+    held = df.filter(F.col(time).isNotNull()).withWatermark(time, late).withColumn("__us", F.unix_micros(time)).groupBy(key)
+    found = held.applyInPandasWithState(step, f"{key} {kind}, at long, event string, progress double, seconds_left double", "first double, wrote double, moved double, best double, ended boolean", "append", "EventTimeTimeout")
+    return found.withColumn("at", F.timestamp_micros("at"))
