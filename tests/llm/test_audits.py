@@ -50,7 +50,7 @@ def test_bpe_splits_every_character_as_the_library_does(own):
 def test_bpe_keeps_a_bounded_cache(own, monkeypatch):
     monkeypatch.setattr(bpe, "CACHED", 10)
     words = [f"zq{i}" for i in range(60)]
-    assert [own[w] for w in words] == [tuple(own._scan([own.byte_ids[b] for b in w.encode()])) for w in words]
+    assert [own.encode(w) for w in words] == [own._scan([own.byte_ids[b] for b in w.encode()]) for w in words]
     own["zz"], own["zy"]
     assert len(own) <= 10
 
@@ -72,8 +72,8 @@ def test_bpe_of_odd_rows(spark, odd_docs, no_docs, own, library):
     want = sorted(((r.doc_id, library.encode(r.text or "", add_special_tokens=False).ids, r.text or "") for r in odd_docs.collect()), key=repr)
     assert got == want
     assert bpe.encode(no_docs, own).count() == 0
-    missing = spark.createDataFrame([(1, [50256, 99999999, 64]), (None, None)], "doc_id long, ids array<int>")
-    assert {(r.doc_id, r.text) for r in bpe.decode(missing, own).collect()} == {(1, "<|endoftext|>a"), (None, "")}
+    missing = spark.createDataFrame([(1, [50256, 99999999, -5, None, 64]), (None, None), (2, []), (3, [0, 134, 64, 127])], "doc_id long, ids array<int>")
+    assert {(r.doc_id, r.text) for r in bpe.decode(missing, own).collect()} == {(1, "<|endoftext|>a"), (None, ""), (2, ""), (3, library.decode([0, 134, 64, 127], skip_special_tokens=False))}
 
 
 def audit_by_hand(rows, labels):
