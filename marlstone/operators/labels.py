@@ -117,3 +117,67 @@ def threshold(df: DataFrame, p: Column, correct: Column, precision: float, grid:
     lines = df.select(p.alias("p"), correct.cast("int").alias("k"), F.explode(F.array(*[F.lit(x) for x in grid])).alias("tau")).filter(F.col("p") >= F.col("tau"))
     per = lines.groupBy("tau").agg(F.avg("k").alias("precision"), F.count("*").alias("n"))
     return per.filter(F.col("precision") >= precision).orderBy("tau").limit(1)
+
+
+# The thresholds that a gate may take, and how many sub-labels are kept.
+GRID = (0.95, 0.9, 0.85, 0.8, 0.75, 0.7, 0.65, 0.6, 0.55, 0.5, 0.45, 0.4, 0.35, 0.3)
+MOST_SUBS = 5
+
+
+def gate(known: DataFrame, p: Column, correct: Column, precision: float) -> DataFrame:
+    """One row ``temperature, tau, precision, coverage, n``: how confidences are scaled, and from where on labels are trusted.
+
+    ``known`` has the items whose truth is known. ``tau`` is the lowest threshold of the grid at which
+    the scaled confidences reach the precision, 0.95 if none does; without known items the temperature
+    is 1 and the threshold 0.5.
+    """
+    rows = known.select(p.alias("p"), correct.alias("k"))
+    best = temperature(rows, F.col("p"), F.col("k")).select(F.col("t").cast("double").alias("t"))
+    clipped = F.least(F.greatest(F.col("p"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.pow(clipped / (1 - clipped), 1 / F.col("t"))
+    scaled = rows.join(F.broadcast(best)).withColumn("s", odds / (1 + odds))  # one row joins
+    lines = scaled.select("k", "t", F.explode(F.array(*[F.lit(x) for x in GRID])).alias("tau"), "s")
+    per = lines.groupBy("tau").agg(F.max("t").alias("t"), F.count("*").alias("n"), F.count_if(F.col("s") >= F.col("tau")).alias("above"), F.count_if((F.col("s") >= F.col("tau")) & F.col("k")).alias("right"))
+    reached = (F.col("above") > 0) & (F.col("right") >= precision * F.col("above"))
+    out = per.agg(F.max("t").alias("t"), F.max("n").alias("n"), F.min(F.when(reached, F.struct("tau", (F.col("right") / F.col("above")).alias("precision"), (F.col("above") / F.col("n")).alias("coverage")))).alias("b"))
+    empty = F.col("n").isNull()
+    share = lambda c: F.when(empty, 0.0).otherwise(F.coalesce(f"b.{c}", F.lit(0.0))).alias(c)
+    return out.select(F.when(empty, 1.0).otherwise(F.col("t")).alias("temperature"), F.when(empty, 0.5).otherwise(F.coalesce("b.tau", F.lit(GRID[0]))).alias("tau"), share("precision"), share("coverage"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def sub_labels(gated: DataFrame, evidence: DataFrame, subs: DataFrame, item: str) -> DataFrame:
+    """``item, sub, score, votes, rank``: up to five sub-labels of each item's family.
+
+    ``gated``: item, label, probability. ``subs``: family, sub, place (its order in the family).
+    ``evidence``: item, family, raw, weight. A piece of evidence counts for the first sub-label of its
+    family that it equals, contains or is contained in, blanks at its ends and case aside. Scores are
+    shares of the weight times the probability; without any evidence all sub-labels share alike.
+    """
+    raw = F.lower(F.trim("raw"))
+    mine = gated.select(item, F.col("label").alias("family"), "probability")
+    named = evidence.join(mine, [item, "family"]).withColumn("__e", F.monotonically_increasing_id())
+    hits = named.join(F.broadcast(subs) if subs.limit(SMALL + 1).count() <= SMALL else subs, "family").filter(raw.contains(F.col("sub")) | F.col("sub").contains(raw))
+    first = hits.groupBy(item, "family", "probability", "__e", "weight").agg(F.min(F.struct("place", "sub")).alias("s"))
+    tally = first.groupBy(item, F.col("s.sub").alias("sub")).agg(F.sum("weight").alias("w"), F.count("*").alias("votes"))
+    w = Window.partitionBy(item)
+    every = mine.join(subs, "family").join(tally, [item, "sub"], "left")
+    total, n = F.sum("w").over(w), F.count("*").over(w)
+    scored = every.withColumns({"score": F.col("probability") * F.when(total.isNotNull(), F.col("w") / total).otherwise(1 / n), "votes": F.coalesce("votes", F.lit(0)), "__any": total.isNotNull()})
+    kept = scored.filter("NOT __any OR w IS NOT NULL")
+    rank = F.row_number().over(w.orderBy(F.desc("score"), "place"))
+    return kept.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= MOST_SUBS).select(item, "sub", "score", "votes", "rank")
+
+
+def estimate(annotations: DataFrame, truth: DataFrame, item: str, annotator: str, label: str, precision: float = 0.9, iterations: int = 50) -> tuple[DataFrame, DataFrame]:
+    """``item, label, probability, gated`` of every annotated item, and the one row of :func:`gate`.
+
+    Dawid-Skene gives each item its likeliest label (ties by name); items with a known ``truth`` (item,
+    truth) set the gate; an item under it has no label. Probabilities are those of the aggregation,
+    the gate compares them as they are.
+    """
+    post, _ = dawid_skene(annotations, item, annotator, label, iterations)
+    likeliest = materialise(post.groupBy(item).agg(F.min(F.struct((-F.col("posterior")).alias("p"), F.col(label).alias("l"))).alias("b")).select(item, F.col("b.l").alias("label"), (-F.col("b.p")).alias("probability")))
+    known = likeliest.join(truth.filter("truth IS NOT NULL").select(item, F.col("truth").cast("string").alias("truth")).distinct(), item)
+    rule = materialise(gate(known, F.col("probability"), F.col("label") == F.col("truth"), precision))
+    judged = likeliest.join(F.broadcast(rule.select("tau"))).withColumn("gated", F.col("probability") >= F.col("tau"))  # one row joins
+    return judged.select(item, F.when(F.col("gated"), F.col("label")).alias("label"), "probability", "gated"), rule
