@@ -41,6 +41,35 @@ def fill_upsert(target: DataFrame, changes: DataFrame, key: str, columns: list[s
     return joined.select(F.coalesce(f"t.{key}", f"c.{key}").alias(key), *[F.coalesce(f"c.{x}", f"t.{x}").alias(x) for x in columns])
 
 
+def upsert_by_rule(target: DataFrame, changes: DataFrame, keys: list[str], rules: dict[str, str], flags: dict[str, Column] | None = None) -> DataFrame:
+    """Upsert on any number of keys with a rule per column of what a change does to a row that is there.
+
+    ``replace`` takes the change, null or not; ``fill`` takes it unless it is null; ``keep`` leaves what
+    is there, unless the column's condition in ``flags``, read from the change, is true. New keys take
+    the change as it is. Keys are unique on either side; null keys equal each other.
+    """
+    t = target.select(*[F.col(k).alias(f"__t{k}") for k in keys], *[F.col(c).alias(f"__t_{c}") for c in rules], F.lit(True).alias("__old"))
+    asked = {c: f.alias(f"__f_{c}") for c, f in (flags or {}).items()}
+    c = changes.select(*keys, *rules, *asked.values(), F.lit(True).alias("__new"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__t{k}"))
+    both = t.join(c, same, "full_outer")
+    old, new = F.col("__old").isNotNull(), F.col("__new").isNotNull()
+
+    def settled(name: str, rule: str) -> Column:
+        was, now = F.col(f"__t_{name}"), F.col(name)
+        if rule == "fill":
+            merged = F.coalesce(now, was)
+        elif rule == "keep":
+            merged = F.when(F.coalesce(F.col(f"__f_{name}"), F.lit(False)), now).otherwise(was) if name in asked else was
+        else:
+            merged = now
+        return F.when(old & new, merged).when(new, now).otherwise(was).alias(name)
+
+    return both.select(*[F.when(new, F.col(k)).otherwise(F.col(f"__t{k}")).alias(k) for k in keys], *[settled(n, r) for n, r in rules.items()])
+
+
 def mirror(target: DataFrame, seen: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """A mirror after a full scan: what was seen, and the stale rows that go."""
     return seen, target.join(seen.select(*keys), keys, "left_anti")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ("relations", "censuses", "sequences", "vectors", "judgements", "sets", "streams", "checks", "ladders", "gauges", "pools", "genres")
+_MODULES = ("relations", "censuses", "sequences", "vectors", "judgements", "sets", "streams", "checks", "ladders", "gauges", "pools", "genres", "runs")
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:

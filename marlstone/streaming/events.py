@@ -135,7 +135,8 @@ def watch(df: DataFrame, key: str, done: str, total: float, every: float = 0.25,
                 due = min(first + budget, moved + stall) * 1000
                 state.setTimeoutTimestamp(int(max(due, state.getCurrentWatermarkMs() + 1)))
         columns = {key: [keys[0]] * len(out), "at": [round(o[0] * 1e6) for o in out], "event": [o[1] for o in out], "progress": [o[2] for o in out]}
-        yield pd.DataFrame(columns | {"seconds_left": pd.Series([o[3] for o in out], dtype="float64")})
+        if out:
+            yield pd.DataFrame(columns | {"seconds_left": pd.Series([o[3] for o in out], dtype="float64")})
 
     kind = df.schema[key].dataType.simpleString()
     # Times go as microseconds, so that the session's time zone plays no part.
