@@ -1,10 +1,11 @@
-"""Queries of genre labels, over raw labels put together from two lists by the rows of part."""
+"""Queries of genre labels and of versions named in titles, put together from lists by the rows of part."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from marlstone.functions import genres as gn
+from marlstone.functions import versions as vr
 from marlstone.plans.catalog import register, table
 
 RAW = (
@@ -51,3 +52,53 @@ def genre_refold(spark, sf):
 @register("genre_family", f"WITH {_REFOLD}, n AS (SELECT *, {_NORMAL.format('fixed')} AS base FROM r) SELECT p_partkey, {_FAMILY.format('base')} AS family, CASE WHEN NOT coalesce(lower(label) IN ('edm', 'dance', 'electronic', 'mainstage edm'), false) THEN {_FAMILY.format('base')} END AS scored FROM n")
 def genre_family(spark, sf):
     return _labels(spark, sf).select("p_partkey", gn.family(F.col("raw")).alias("family"), gn.scoring_family(F.col("raw")).alias("scored"))
+
+
+FORMS = ("", " (Ann Remix)", " [Bob & Cy rmx]", " - Dee Re-mix", " (Radio Edit)", " (Ann Edit)", " (Eve Bootleg)", " (VIP)", " (Ann VIP)", " (Club Mix)", " (Extended  Mix)", " (Live at Home)", " (A Cappella)", " (Instrumental)", " feat. Gus & Hal", " ft. Ivy (Ann Remix)", " (Joe Dub Mix)", " -", " (Unknown Form)", " (acoustic)", " (Kim refix)")
+CREDITS = ("Ann", "Ann, Bob", "Lee & Mia x Ned", "Oz feat. Pat", "Quin vs. Ray (live)", "")
+
+
+def _quoted(xs):
+    return "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+
+
+def _names(s):
+    return f"list_filter(list_transform(string_split_regex({s}, '(?i)\\s*(?:,\\s*|\\s+&\\s+|\\s+x\\s+|\\s+vs\\.?\\s+)'), lambda a: trim(a)), lambda a: a <> '')"
+
+
+_TITLES = f"t AS (SELECT p_partkey, p_name || {_quoted(FORMS)}[(p_partkey % {len(FORMS)} + 1)::INT] AS title, {_quoted(CREDITS)}[(p_partkey // {len(FORMS)} % {len(CREDITS)} + 1)::INT] AS artist FROM part)"
+_NONE = "''"
+
+
+def _maker(pattern):
+    return f"regexp_extract(clean, '(?i){pattern}', 1)"
+
+
+_CASES = " ".join(f"WHEN regexp_matches(clean, '(?i){p}') THEN {{'type': '{k}', 'before': regexp_extract(clean, '(?is)^(.*?)(?:{p})', 1), 'maker': {_maker(p) if n else _NONE}, 'text': regexp_extract(clean, '(?i){p}', 0)}}" for p, k, n in vr.PATTERNS)
+_VERSIONS = f"""{_TITLES}, c AS (SELECT *, CASE WHEN regexp_matches(title, '(?i){vr.GUESTS}') THEN trim(regexp_extract(title, '(?is)^(.*?){vr.GUESTS}', 1)) ELSE trim(title) END AS clean, trim(regexp_replace(artist, '(?is)^(.*?){vr.GUESTS}(.*)$', '\\1\\3')) AS own,
+  list_concat({_names(f"regexp_extract(title, '(?i){vr.GUESTS}', 1)")}, {_names(f"regexp_extract(artist, '(?i){vr.GUESTS}', 1)")}) AS guests FROM t),
+v AS (SELECT *, CASE {_CASES} END AS v FROM c), o AS (SELECT *, {_names("coalesce(v.maker, '')")} AS makers, trim(lower(regexp_replace(trim(coalesce(v.before, clean)), '\\s*[-–—]\\s*$', ''))) AS base, coalesce(v.type, 'original') AS kind FROM v)"""
+
+
+def _versions(spark, sf):
+    k = F.col("p_partkey")
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    rows = table(spark, sf, "part").select("p_partkey", F.concat("p_name", pick(FORMS, k)).alias("title"), pick(CREDITS, F.floor(k / len(FORMS))).alias("artist"))
+    return vr.with_version(rows, "title", "artist")
+
+
+@register("version_identity", f"""
+WITH {_VERSIONS} SELECT p_partkey, base AS base_title, kind AS type, array_to_string(list_filter({_names('own')}, lambda a: NOT list_contains(list_transform(makers, lambda m: lower(m)), lower(a))), ',') AS artists, array_to_string(guests, ',') AS featured, array_to_string(makers, ',') AS version_artists,
+  regexp_replace(regexp_replace(v.text, '^[(\\[\\s]+', ''), '[\\s)\\]]+$', '') AS raw_version, CASE WHEN v IS NULL THEN 0.9::DOUBLE ELSE 1 END AS confidence FROM o""")
+def version_identity(spark, sf):
+    v = _versions(spark, sf).select("p_partkey", "version.*")
+    return v.select("p_partkey", "base_title", "type", *[F.array_join(c, ",").alias(c) for c in ("artists", "featured", "version_artists")], "raw_version", "confidence")
+
+
+@register("version_match", f"""
+WITH {_VERSIONS}, b AS (SELECT p_partkey // 2 AS pair, base, kind, list_transform(makers, lambda m: lower(m)) AS makers, p_partkey % 2 AS side FROM o) SELECT x.pair, CASE WHEN x.base <> y.base THEN 'reject' WHEN x.kind = y.kind AND (len(x.makers) + len(y.makers) = 0 OR list_has_any(x.makers, y.makers)) THEN 'exact' ELSE 'sibling' END AS match FROM b x JOIN b y ON x.pair = y.pair AND x.side = 0 AND y.side = 1""")
+def version_match(spark, sf):
+    """Neighbours by number against each other."""
+    v = _versions(spark, sf).select(F.floor(F.col("p_partkey") / 2).alias("pair"), (F.col("p_partkey") % 2).alias("side"), "version")
+    a, b = v.filter("side = 0").select("pair", F.col("version").alias("a")), v.filter("side = 1").select("pair", F.col("version").alias("b"))
+    return a.join(b, "pair").select("pair", vr.matching(F.col("a"), F.col("b")).alias("match"))
