@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import names as nm
+from marlstone.functions.text import name_key
 
 
 def catalog_points(title: Column, artist: Column, seconds: Column, name: Column, credits: Column, mix: Column, length: Column) -> Column:
@@ -63,3 +64,40 @@ def release_family(releases: DataFrame, key: str, styles: str, genres: str, fami
     by_style = F.size("__s") > 0
     chosen = F.when(by_style, F.col("__s")).otherwise(F.col("__g"))
     return rows.select(key, F.get(chosen, 0)["f"].alias("family"), F.when(by_style, F.get("__s", 0)["s"]).alias("style"), F.array_distinct(F.transform(chosen, lambda x: x["f"])).alias("families"))
+
+
+def without_copy_suffix(name: Column) -> Column:
+    """A file name without copy numbers at the end of its stem ("track - 1 2.mp3" is "track.mp3")."""
+    stem, suffix = (F.regexp_extract(name, r"(?s)^(.+?)(\.[^.]*)?$", i) for i in (1, 2))
+    bare = F.regexp_replace(stem, r"(?:(?:\s*-\s*|\s+)\d+\s*)+$", "")
+    return F.concat(F.rtrim(bare), suffix)
+
+
+def repair_paths(broken: DataFrame, live: DataFrame) -> DataFrame:
+    """``id, fix, via``: the live file that a path that leads nowhere must mean, by the first rung that names one.
+
+    ``broken``: id, path. ``live``: path, bytes. Rungs: the same path in composed lower case
+    (``casefold``); the only live file of that name (``basename``), of that name without copy numbers
+    (``copy-suffix``), of the first 20 characters of the composed path (``prefix20``); of several
+    files of the name without copy numbers, or else of the name, the largest (``largest-twin``).
+    Nothing else is ``unresolved``. Among equals the first by path counts. Null paths resolve to nothing.
+
+    Each index has one row per key, grouped in the tasks first, so common names multiply no rows.
+    """
+    keys = {
+        "norm": name_key,
+        "base": lambda p: F.lower(F.regexp_extract(p, "([^/]*)$", 1)),
+        "bare": lambda p: F.lower(without_copy_suffix(F.regexp_extract(p, "([^/]*)$", 1))),
+        "head": lambda p: F.substring(name_key(p), 1, 20),
+    }
+    files = live.filter(F.col("path").isNotNull()).select("path", F.coalesce("bytes", F.lit(-1)).alias("bytes")).distinct()
+    rows = broken.select("id", *[f(F.col("path")).alias(k) for k, f in keys.items()])
+    for k, f in keys.items():
+        index = files.groupBy(f(F.col("path")).alias(k)).agg(F.count("*").alias(f"{k}_n"), F.min(F.struct((-F.col("bytes")).alias("b"), "path"))["path"].alias(f"{k}_path"))
+        rows = rows.join(index, k, "left")
+    only = lambda k, rung: F.when(F.col(f"{k}_n") == 1, F.struct(F.col(f"{k}_path").alias("fix"), F.lit(rung).alias("via")))
+    most = lambda k: F.when(F.col(f"{k}_n") > 1, F.struct(F.col(f"{k}_path").alias("fix"), F.lit("largest-twin").alias("via")))
+    same = F.when(F.col("norm_n") > 0, F.struct(F.col("norm_path").alias("fix"), F.lit("casefold").alias("via")))
+    none = F.struct(F.lit(None).cast("string").alias("fix"), F.lit("unresolved").alias("via"))
+    found = F.coalesce(same, only("base", "basename"), only("bare", "copy-suffix"), only("head", "prefix20"), most("bare"), most("base"), none)
+    return rows.select("id", found.alias("f")).select("id", "f.fix", "f.via")

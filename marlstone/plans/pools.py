@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.scalar import round_up
 from marlstone.operators import chains as ch
 from marlstone.operators import intake as ik
+from marlstone.operators import matching as mt
 from marlstone.operators import pool as pl
 from marlstone.operators import scoring as sc
 from marlstone.plans.catalog import register, table
@@ -107,3 +108,27 @@ def set_from_pool(spark, sf):
     pool = pool.select("*", F.concat_ws("/", "family", F.floor(F.col("id") / 1200).cast("string")).alias("grp"), key["hour"].alias("hour"), key["mode"].alias("mode"), F.lit(None).cast("array<double>").alias("embedding"))
     made = ch.build_chains(pool, ["grp"], "peak", 60, "greedy")
     return made.withColumns({c: round_up(F.col(c), 4) for c in ("score", "at_s", "end_s")})
+
+
+_FILES = """f AS (SELECT p_partkey AS k, p_size, '/v/Contents/' || p_brand || '/' || p_name || ' ' || CASE WHEN p_partkey % 6 = 0 THEN 'same' ELSE 'x' || p_partkey // 5 END || CASE WHEN p_partkey % 5 = 0 THEN ' - 1 2' ELSE '' END || '.mp3' AS path FROM part),
+live AS (SELECT path, max(p_size * 1000 + k % 977) AS bytes FROM f WHERE k % 7 <> 0 GROUP BY 1),
+broken AS (SELECT k AS id, CASE k % 4 WHEN 0 THEN upper(path) WHEN 1 THEN '/old/' || regexp_extract(path, '([^/]*)$', 1) WHEN 2 THEN '/old/' || replace(regexp_extract(path, '([^/]*)$', 1), '.mp3', ' 3.mp3') ELSE left(path, 23) || 'zz.mp3' END AS path FROM f WHERE k % 2 = 0 OR k % 3 = 0)"""
+_BASE = "lower(regexp_extract(path, '([^/]*)$', 1))"
+_BARE = f"regexp_replace({_BASE}, '((\\s*-\\s*|\\s+)\\d+\\s*)+\\.mp3$', '.mp3')"
+
+
+@register("repair_paths", f"""
+WITH {_FILES}, n AS (SELECT lower(path) AS key, arg_min(path, (-bytes, path)) AS p FROM live GROUP BY 1), b AS (SELECT {_BASE} AS key, count(*) AS n, arg_min(path, (-bytes, path)) AS p FROM live GROUP BY 1), s AS (SELECT {_BARE} AS key, count(*) AS n, arg_min(path, (-bytes, path)) AS p FROM live GROUP BY 1), h AS (SELECT left(lower(path), 20) AS key, count(*) AS n, arg_min(path, (-bytes, path)) AS p FROM live GROUP BY 1)
+SELECT id, CASE WHEN n.p IS NOT NULL THEN n.p WHEN b.n = 1 THEN b.p WHEN s.n = 1 THEN s.p WHEN h.n = 1 THEN h.p WHEN s.n > 1 THEN s.p WHEN b.n > 1 THEN b.p END AS fix,
+  CASE WHEN n.p IS NOT NULL THEN 'casefold' WHEN b.n = 1 THEN 'basename' WHEN s.n = 1 THEN 'copy-suffix' WHEN h.n = 1 THEN 'prefix20' WHEN s.n > 1 OR b.n > 1 THEN 'largest-twin' ELSE 'unresolved' END AS via
+FROM broken LEFT JOIN n ON n.key = lower(path) LEFT JOIN b ON b.key = {_BASE} LEFT JOIN s ON s.key = {_BARE} LEFT JOIN h ON h.key = left(lower(path), 20)""")
+def repair_paths(spark, sf):
+    k = F.col("p_partkey")
+    text = lambda c: c.cast("string")
+    tail = F.when(k % 6 == 0, "same").otherwise(F.concat(F.lit("x"), text(F.floor(k / 5))))
+    path = F.concat(F.lit("/v/Contents/"), "p_brand", F.lit("/"), "p_name", F.lit(" "), tail, F.when(k % 5 == 0, " - 1 2").otherwise(""), F.lit(".mp3"))
+    files = table(spark, sf, "part").select(k.alias("k"), "p_size", path.alias("path"))
+    n, base = F.col("k"), F.regexp_extract("path", "([^/]*)$", 1)
+    live = files.filter(n % 7 != 0).groupBy("path").agg(F.max(F.col("p_size") * 1000 + n % 977).alias("bytes"))
+    lost = F.when(n % 4 == 0, F.upper("path")).when(n % 4 == 1, F.concat(F.lit("/old/"), base)).when(n % 4 == 2, F.concat(F.lit("/old/"), F.replace(base, F.lit(".mp3"), F.lit(" 3.mp3")))).otherwise(F.concat(F.substring("path", 1, 23), F.lit("zz.mp3")))
+    return mt.repair_paths(files.filter((n % 2 == 0) | (n % 3 == 0)).select(n.alias("id"), lost.alias("path")), live)

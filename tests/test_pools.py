@@ -192,3 +192,16 @@ def test_directions_are_those_of_the_scatter(spark):
     values, axes = np.linalg.eigh(np.cov(x.T))
     assert np.allclose(mean, x.mean(axis=0))
     assert all(abs(f @ axes[:, -1 - i]) > 0.999 for i, f in enumerate(found))
+
+
+def test_paths_are_repaired_by_the_first_rung(spark):
+    from marlstone.operators import matching
+
+    live = [("/v/A/Song.mp3", 5), ("/v/B/Only.mp3", 5), ("/v/C/twin.mp3", 5), ("/v/D/twin.mp3", 9), ("/v/E/copied - 2.mp3", 5), ("/v/a very long folder name/x.mp3", 5), ("/v/F/many 1.mp3", 3), ("/v/F/many 2.mp3", 3), ("/v/Gé.mp3", None), (None, 1), ("/v/D/twin.mp3", 9)]
+    cases = {
+        "/V/a/SONG.MP3": ("/v/A/Song.mp3", "casefold"), "/old/only.mp3": ("/v/B/Only.mp3", "basename"), "/old/copied.mp3": ("/v/E/copied - 2.mp3", "copy-suffix"), "/old/only 1 - 2.mp3": ("/v/B/Only.mp3", "copy-suffix"), "/v/a very long folder/y.mp3": ("/v/a very long folder name/x.mp3", "prefix20"),
+        "/old/twin.mp3": ("/v/D/twin.mp3", "largest-twin"), "/old/many.mp3": ("/v/F/many 1.mp3", "largest-twin"), "/old/none.mp3": (None, "unresolved"), None: (None, "unresolved"), "/v/Gé.mp3": ("/v/Gé.mp3", "casefold"),
+    }
+    broken = spark.createDataFrame(list(enumerate(cases)), "id int, path string")
+    got = matching.repair_paths(broken, spark.createDataFrame(live, "path string, bytes long"))
+    assert {r.id: (r.fix, r.via) for r in got.collect()} == dict(enumerate(cases.values()))
