@@ -35,6 +35,11 @@ ADDRESS = r"(?i)https?://|\b[\w-]+\.(?:com|net|org|io|co|ru|xyz|top)\b"
 _KEPT = "\ue000"
 
 
+def _once(x: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once a row, however often ``fn`` reads it."""
+    return F.get(F.transform(F.array(x), fn), 0)
+
+
 def repair_escapes(s: Column) -> Column:
     """Written-out escapes like ``\\u0026`` as the characters they name; a run of them is read as one, so pairs hold together."""
     runs = F.transform(F.regexp_extract_all(s, F.lit(ESCAPES), F.lit(0)), lambda r: F.decode(F.unhex(F.replace(r, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
@@ -51,11 +56,14 @@ def normalise(genre: Column) -> Column:
 
 def family(genre: Column) -> Column:
     """The first family in order that claims a label; null for placeholders, products and what no family claims."""
-    base = normalise(genre)
-    out = F.when(base.isNull() | base.rlike(PRODUCTS), None)
-    for pattern, name in FAMILIES:
-        out = out.when(base.rlike(pattern), name)
-    return out
+
+    def ladder(base: Column) -> Column:
+        out = F.when(base.isNull() | base.rlike(PRODUCTS), None)
+        for pattern, name in FAMILIES:
+            out = out.when(base.rlike(pattern), name)
+        return out
+
+    return _once(normalise(genre), ladder)
 
 
 def _titled(label: Column) -> Column:
@@ -84,13 +92,24 @@ def refold(genre: Column) -> Column:
     labels = F.filter(F.transform(F.split(low, "[/,&]"), lambda t: F.trim(F.regexp_replace(F.translate(t, _KEPT, "&"), r"\s+", " "))), lambda t: t != "")
     spelled = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
     parent = lambda t: F.lower(F.coalesce(F.try_element_at(spelled, t), t)).isin(*PARENTS)
-    primary = F.coalesce(F.get(F.filter(labels, lambda t: ~parent(t)), 0), F.get(labels, 0))
-    sound = ~primary.rlike(ADDRESS) & (F.size(F.split(primary, " ")) < 5) & primary.rlike("^[a-z0-9][a-z0-9 &'-]*$") & family(primary).isNotNull()
     usable = ~F.lower(raw).isin(*PLACEHOLDERS) & ~raw.rlike(ADDRESS)
-    label = F.when(usable & sound, F.coalesce(F.try_element_at(spelled, primary), _titled(primary)))
     yes = lambda c: F.coalesce(c, F.lit(False))
     known = yes(~F.lower(raw).isin(*PLACEHOLDERS))
-    return F.struct(label.alias("label"), (known & yes(escaped)).alias("escaped"), yes(usable & (F.size(labels) > 1)).alias("split"), yes(label != primary).alias("aliased"))
+
+    def settle(v: Column) -> Column:
+        primary = v["primary"]
+        sound = ~primary.rlike(ADDRESS) & (F.size(F.split(primary, " ")) < 5) & primary.rlike("^[a-z0-9][a-z0-9 &'-]*$") & family(primary).isNotNull()
+        label = F.when(usable & sound, F.coalesce(F.try_element_at(spelled, primary), _titled(primary)))
+        return F.struct(label.alias("label"), primary.alias("primary"), v["n"].alias("n"))
+
+    def choose(found: Column) -> Column:
+        primary = F.coalesce(F.get(F.filter(found, lambda t: ~parent(t)), 0), F.get(found, 0))
+        return F.struct(primary.alias("primary"), F.size(found).alias("n"))
+
+    def told(v: Column) -> Column:
+        return F.struct(v["label"].alias("label"), (known & yes(escaped)).alias("escaped"), yes(usable & (v["n"] > 1)).alias("split"), yes(v["label"] != v["primary"]).alias("aliased"))
+
+    return _once(_once(_once(labels, choose), settle), told)
 
 
 def scoring_family(genre: Column) -> Column:
