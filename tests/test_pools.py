@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marlstone.functions import scalar
 from marlstone.operators import evalstats, intake, labels, pool, ranks, scoring, vectors
 
 TRACKS = "id long, title string, artist string, genre string, duration_s double, path string, status string, updated_at timestamp"
@@ -205,3 +206,33 @@ def test_paths_are_repaired_by_the_first_rung(spark):
     broken = spark.createDataFrame(list(enumerate(cases)), "id int, path string")
     got = matching.repair_paths(broken, spark.createDataFrame(live, "path string, bytes long"))
     assert {r.id: (r.fix, r.via) for r in got.collect()} == dict(enumerate(cases.values()))
+
+
+def test_knn_stripes_keep_ties_and_exclusions(spark, monkeypatch):
+    # Copies of few vectors: ties cross blocks, steps and stripes, and every one goes to the lower id.
+    monkeypatch.setattr(vectors, "CELL_ROWS", 32)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(9, 4))
+    data = [(i, base[i % 9].tolist(), i % 5, i % 4) for i in range(150)] + [(150, [0.0] * 4, 1, 2)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>, artist int, lane int")
+    m = np.array([d[1] for d in data])
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    unit = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+    sims = np.floor(unit @ unit.T * 1e6 + 0.5) / 1e6
+
+    def want(refuse):
+        return {(i, r + 1): j for i in range(151) for r, j in enumerate(sorted((j for j in range(151) if not refuse(i, j)), key=lambda j: (-sims[i, j], j))[:7])}
+
+    rows_ = lambda edges: {(r["query"], r["rank"]): r["neighbour"] for r in edges.collect()}
+    assert rows_(vectors.knn_edges(df, df, 7, same=True, block_rows=8)) == want(lambda i, j: i == j)
+    assert rows_(vectors.knn_edges(df, df, 7, apart="artist", block_rows=8)) == want(lambda i, j: data[i][2] == data[j][2])
+
+
+def test_knn_sends_a_row_once_a_stripe(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 64)
+    df = spark.range(640).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    q, n = vectors._blocks(df.select(F.col("vec_id").alias("__id"), F.col("vec_id").alias("__mark"), "embedding"), "embedding", 8)
+    assert n == 80
+    met = vectors._meetings(q, n, q, n, 8, 3, 1e6, True)
+    # Ten stripes of eight blocks: three rows a query and stripe, where eighty meetings of blocks would give 240.
+    assert met.groupBy("query").count().agg(F.max("count")).first()[0] == 30
