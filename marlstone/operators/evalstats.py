@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.scalar import erfc_positive, uniform
+from marlstone.functions.scalar import erfc_positive
 from marlstone.operators.ranks import cumulative, number_rows, running_max
+from marlstone.session import materialise
 
 
 def confusion(df: DataFrame, truth: str, pred: str) -> DataFrame:
@@ -52,16 +55,50 @@ def mcnemar(a: DataFrame, b: DataFrame, key: str, correct: str) -> DataFrame:
     return counts.withColumn("chi2", chi).withColumn("p", F.when(n > 0, erfc_positive(F.sqrt(F.col("chi2") / 2))).otherwise(1.0))
 
 
+RANGE_ROWS = 1 << 20  # values that a task of the bootstrap holds
+CHUNK_DRAWS = 1 << 23  # draws that it makes
+SPAN = 1 << 20  # of which so many at once
+
+
+def uniform_array(index: np.ndarray, seed: int) -> np.ndarray:
+    """The draws of :func:`~marlstone.functions.scalar.uniform` for an array of indices."""
+    state = ((index.astype(np.uint64) + np.uint64(1)) * np.uint64(0x6D2B79F5) + np.uint64(seed % 2**32)).astype(np.uint32)
+    t = (state ^ (state >> np.uint32(15))) * (state | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return (t ^ (t >> np.uint32(14))) / 4294967296.0
+
+
 def bootstrap_ci(df: DataFrame, order: str, value: Column, draws: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval (2.5, 97.5, floor index) of the mean of ``value`` over resamples.
 
     Draw i * n + j of the counter generator picks a row for place j of resample i, so every
     resample is independent of the others and reruns agree. Rows are numbered by ``order``.
     """
-    n = df.count()
-    rows = number_rows(df.select(F.col(order).alias("o"), value.cast("double").alias("v")), [F.col("o")], "at").select((F.col("at") - 1).alias("at"), "v")
-    picks = df.sparkSession.range(draws * n).select(F.floor(F.col("id") / n).alias("i"), F.floor(uniform(F.col("id"), seed) * n).cast("long").alias("at"))
-    means = picks.join(rows, "at").groupBy("i").agg(F.avg("v").alias("m"))
+    kept = materialise(df.select(F.col(order).alias("o"), value.cast("double").alias("v")))  # counted, sorted and written: three reads
+    n = kept.count()
+    rows = number_rows(kept, [F.col("o")], "at").select((F.col("at") - 1).alias("at"), "v")
+    ranges = rows.groupBy(F.floor(F.col("at") / RANGE_ROWS).cast("long").alias("range")).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("r"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, -(-draws * n // CHUNK_DRAWS)) - 1).cast("long")))
+    cells = ranges.select("range", F.transform("r", lambda x: x["v"]).alias("values"), chunks.alias("chunk"))
+
+    def add(cell: pa.Table) -> pa.Table:
+        values = cell.column("values").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        known = ~np.isnan(values)
+        values = np.where(known, values, 0.0)
+        first, chunk = cell.column("range")[0].as_py() * RANGE_ROWS, cell.column("chunk")[0].as_py()
+        end, found = min(draws * n, (chunk + 1) * CHUNK_DRAWS), []
+        for start in range(chunk * CHUNK_DRAWS, end, SPAN):
+            index = np.arange(start, min(end, start + SPAN))
+            at = (uniform_array(index, seed) * n).astype(np.int64) - first
+            mine = (at >= 0) & (at < len(values))
+            least = start // n
+            i, at = index[mine] // n - least, at[mine]
+            sums, counts = (np.bincount(i, x[at]).astype(np.float64) for x in (values, known))
+            found.append((np.arange(least, least + len(sums)), sums, counts))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*found)], ["i", "s", "c"])
+
+    parts = cells.groupBy("range", "chunk").applyInArrow(add, "i long, s double, c double").groupBy("i").agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
+    means = parts.select(F.when(F.col("c") > 0, F.col("s") / F.col("c")).alias("m"))
     sorted_ = means.agg(F.array_sort(F.collect_list("m")).alias("m"))
     at = lambda q: F.element_at("m", int(draws * q) + 1)
     return sorted_.select(at(0.025).alias("low"), at(0.975).alias("high"))

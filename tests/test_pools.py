@@ -236,3 +236,18 @@ def test_knn_sends_a_row_once_a_stripe(spark, monkeypatch):
     met = vectors._meetings(q, n, q, n, 8, 3, 1e6, True)
     # Ten stripes of eight blocks: three rows a query and stripe, where eighty meetings of blocks would give 240.
     assert met.groupBy("query").count().agg(F.max("count")).first()[0] == 30
+
+
+def test_bootstrap_adds_over_chunks_and_ranges(spark, monkeypatch):
+    # Draws are made in tasks over ranges of the values, never as rows; a null stays out of its mean.
+    for name, size in (("RANGE_ROWS", 7), ("CHUNK_DRAWS", 50), ("SPAN", 16)):
+        monkeypatch.setattr(evalstats, name, size)
+    index = [0, 1, 2, 12345, 4_000_000_000, 2**32 + 5, 10**12]
+    wanted = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(index)], "k int, x long").orderBy("k").select(scalar.uniform(F.col("x"), 42)).collect()]
+    assert evalstats.uniform_array(np.array(index), 42).tolist() == wanted
+    values = [float(i * i % 7) if i % 6 else None for i in range(23)]
+    draws = evalstats.uniform_array(np.arange(40 * 23), 42)
+    picked = [[values[int(x * 23)] for x in draws[b * 23 : b * 23 + 23]] for b in range(40)]
+    means = sorted(np.mean([v for v in p if v is not None]) for p in picked)
+    r = evalstats.bootstrap_ci(spark.createDataFrame(list(enumerate(values)), "i int, v double"), "i", F.col("v"), draws=40).first()
+    assert (r["low"], r["high"]) == pytest.approx((means[1], means[39]))
