@@ -61,7 +61,7 @@ def near_names(df: DataFrame, key: str, block: list[str], value: str, width: flo
     """Pairs of a block whose values lie within ``width``: ``a, b`` with a < b."""
     left = df.select(*block, F.col(key).alias("a"), F.col(value).alias("__va"))
     right = df.select(*block, F.col(key).alias("b"), F.col(value).alias("__vb"))
-    return band_join(left, right, "__va", "__vb", width, block).filter("a < b").select("a", "b")
+    return band_join(left, right, "__va", "__vb", width, block, spread=True).filter("a < b").select("a", "b")
 
 
 TRANSITIONS = {"open": ("confirmed", "dismissed"), "confirmed": ("applied", "failed", "dismissed"), "failed": ("confirmed",), "applied": ("archived",), "dismissed": ("archived", "open")}

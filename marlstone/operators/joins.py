@@ -26,3 +26,22 @@ def join_by_size(left: DataFrame, right: DataFrame, key: list[str], n: str = "n"
     hot = F.broadcast(right.filter(F.col(n) > heavy).drop(n))
     rest = left.join(hot.select(*key), key, "left_anti")
     return left.join(hot, key).unionByName(rest.join(right.filter(F.col(n) <= heavy).drop(n), key, how))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: list[str], pairs: int = 20_000_000) -> DataFrame:
+    """Inner join whose groups meet as pairs: tasks are as many as the counted pairs ask for, ``pairs`` each, whatever the size of the input.
+
+    A group with more pairs than that is cut: its left rows are dealt in turn to salts, its right rows
+    go to every salt.
+    """
+    sizes = left.groupBy(*key).agg(F.count("*").alias("__l")).join(right.groupBy(*key).agg(F.count("*").alias("__r")), key)
+    cuts = sizes.select(*key, F.ceil(F.col("__l") * F.col("__r") / pairs).cast("int").alias("__cuts"))
+    seen = sizes.agg(F.sum(F.col("__l") * F.col("__r")).alias("total"), F.max(F.col("__l") * F.col("__r")).alias("top")).first()
+    tasks, on = -(-(seen["total"] or 1) // pairs), key
+    if (seen["top"] or 0) > pairs:
+        cuts = cuts.filter("__cuts > 1")
+        wide = lambda df: df.join(cuts, key, "left").withColumn("__cuts", F.coalesce("__cuts", F.lit(1)))
+        left = wide(left).withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.col("__cuts")).cast("int")).drop("__cuts")
+        right = wide(right).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.col("__cuts") - 1))).drop("__cuts")
+        on = [*key, "__salt"]
+    return left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).drop("__salt")

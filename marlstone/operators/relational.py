@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.operators.joins import spread_join
+
 
 def top_n_by(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     """The first ``n`` rows of each key. Spark limits each task to ``n`` rows a key before the shuffle."""
@@ -118,17 +120,19 @@ def cascade_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return out.select(left_id, tier.alias("tier"), F.coalesce(*[F.col(f"__m{i}") for i in range(len(tiers))]).alias("match"))
 
 
-def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, keys: list[str] | None = None) -> DataFrame:
+def band_join(left: DataFrame, right: DataFrame, left_value: str, right_value: str, width: float, keys: list[str] | None = None, spread: bool = False) -> DataFrame:
     """Pairs with ``abs(left_value - right_value) <= width`` (and equal ``keys``).
 
     The range becomes an equi-join: values fall into cells as wide as the band, and the right
     side is repeated in the three cells around its own. Column names must not clash but for keys.
+    With ``spread`` tasks follow the number of pairs (:func:`spread_join`), for cells of many rows.
     """
     keys = keys or []
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
     a = left.withColumn("__cell", cell(left_value))
     b = right.withColumn("__cell", F.explode(F.array(*[cell(right_value) + d for d in (-1, 0, 1)])))
-    return a.join(b, [*keys, "__cell"]).filter(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("__cell")
+    on = [*keys, "__cell"]
+    return (spread_join(a, b, on) if spread else a.join(b, on)).filter(F.abs(F.col(left_value) - F.col(right_value)) <= width).drop("__cell")
 
 
 def band_count(df: DataFrame, value: str, factor: float = 0.94) -> DataFrame:
