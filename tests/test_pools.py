@@ -251,3 +251,16 @@ def test_bootstrap_adds_over_chunks_and_ranges(spark, monkeypatch):
     means = sorted(np.mean([v for v in p if v is not None]) for p in picked)
     r = evalstats.bootstrap_ci(spark.createDataFrame(list(enumerate(values)), "i int, v double"), "i", F.col("v"), draws=40).first()
     assert (r["low"], r["high"]) == pytest.approx((means[1], means[39]))
+
+
+def test_knn_steps_grow_with_what_was_seen(monkeypatch):
+    # The kth best of few rows lets many of a long step in; steps as long as all before let in about k each.
+    m = np.random.default_rng(4).normal(size=(9000, 32))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids, hits = np.arange(9000), []
+    monkeypatch.setattr(vectors, "_hits", lambda mask, found=vectors._hits: hits.append(found(mask)) or hits[-1])
+    query, neighbour, similarity = vectors._block_top(ids[:50], ids[:50], m[:50], ids, ids, m, m.astype(np.float32), 20, 1e6, True, False)
+    sims = np.floor(m[:50] @ m.T * 1e6 + 0.5)
+    want = [sorted((j for j in range(9000) if j != i), key=lambda j: (-sims[i, j], j))[:20] for i in range(50)]
+    assert neighbour.reshape(50, 20).tolist() == want and query.tolist() == [i for i in range(50) for _ in range(20)]
+    assert sum(len(r) for r, _ in hits[1:]) < 50 * 20 * 6
