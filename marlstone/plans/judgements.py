@@ -28,8 +28,10 @@ WITH s AS (SELECT l_partkey, l_returnflag AS l, sum(l_linenumber) AS w, max(l_li
 f AS (SELECT l_partkey, min_by(l_returnflag, (l_orderkey, l_linenumber)) AS stored FROM lineitem GROUP BY 1) SELECT l_partkey, stored, l AS winner, stored <> l AS drift FROM r JOIN f USING (l_partkey) WHERE r = 1""")
 def election_drift(spark, sf):
     lines = table(spark, sf, "lineitem")
-    # Order and line may repeat: the first such row of the table is the one stored.
-    placed = lines.select("l_partkey", "l_returnflag", F.struct("l_orderkey", "l_linenumber", "_metadata.file_path", "_metadata.row_index").alias("at"))
+    # Order and line may repeat: the first such row of the table is the one stored. Nulls come last, and a row without a flag stores none.
+    last = lambda c: (F.col(c).isNull().alias(f"no_{c}"), F.col(c))
+    at = F.struct(*last("l_orderkey"), *last("l_linenumber"), "_metadata.file_path", "_metadata.row_index")
+    placed = lines.select("l_partkey", "l_returnflag", F.when(F.col("l_returnflag").isNotNull(), at).alias("at"))
     stored = placed.groupBy("l_partkey").agg(F.min_by("l_returnflag", "at").alias("stored"))
     now = lb.elect(lines, "l_partkey", "l_returnflag", "l_linenumber", [])
     return now.join(stored, "l_partkey").select("l_partkey", "stored", "winner", (F.col("stored") != F.col("winner")).alias("drift"))

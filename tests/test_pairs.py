@@ -65,3 +65,17 @@ def test_mirex_gives_unknown_keys_nothing_and_keeps_their_pairs(spark):
     assert [r[0] for r in pairs.select(scoring.mirex(F.col("a"), F.col("m"), F.col("b"), F.col("n"))).collect()] == [0.0, 0.0, 0.0, 0.5]
     sf = "/root/testdata/sf0.001"
     assert catalog.queries()["mirex"](spark, sf).count() == catalog.queries()["key_compat"](spark, sf).count()
+
+
+def test_election_with_nulls_matches_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice([*xs, None])
+    rows = [(rng.choice([*range(60), None]), pick(*range(50)), pick(1, 2), pick("R", "A", "N")) for _ in range(400)]
+    rows = list({r[:3]: r for r in rows}.values()) + [(100, 1, 1, None), (101, 1, None, "A"), (101, 1, 2, None)]
+    spark.createDataFrame(rows, "l_partkey long, l_orderkey long, l_linenumber int, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["election_drift"]).select("l_partkey", "stored", "winner", "drift").fetchall()
+    got = catalog.queries()["election_drift"](spark, str(tmp_path)).select("l_partkey", "stored", "winner", "drift").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
