@@ -264,3 +264,21 @@ def test_knn_steps_grow_with_what_was_seen(monkeypatch):
     want = [sorted((j for j in range(9000) if j != i), key=lambda j: (-sims[i, j], j))[:20] for i in range(50)]
     assert neighbour.reshape(50, 20).tolist() == want and query.tolist() == [i for i in range(50) for _ in range(20)]
     assert sum(len(r) for r, _ in hits[1:]) < 50 * 20 * 6
+
+
+def test_csls_corrects_by_the_nearest_of_all_vectors(spark, tmp_path):
+    from marlstone.plans import catalog
+
+    m = np.random.default_rng(4).normal(size=(1_700, 6))  # a stride of 1,500 rows would leave half of them out
+    spark.createDataFrame([(i, i % 3, x.tolist()) for i, x in enumerate(m)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {}
+    for r in catalog.queries()["csls_topk"](spark, str(tmp_path)).collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["score"]))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.floor(unit @ unit.T * 1e6 + 0.5) / 1e6
+    np.fill_diagonal(sims, -2)
+    near = np.argsort(-sims, axis=1, kind="stable")[:, :20]
+    r = np.take_along_axis(sims, near[:, :10], axis=1).mean(axis=1)
+    scores = -np.sort(-(2 * np.take_along_axis(sims, near, axis=1) - r[:, None] - r[near]), axis=1)[:, :5]
+    assert len(got) == len(m)
+    assert [[s for _, s in sorted(got[i])] for i in range(len(m))] == [pytest.approx(x, abs=1.1e-4) for x in scores.tolist()]
