@@ -79,3 +79,17 @@ def test_election_with_nulls_matches_sql(spark, tmp_path):
     want = con.sql(catalog.oracle_sql()["election_drift"]).select("l_partkey", "stored", "winner", "drift").fetchall()
     got = catalog.queries()["election_drift"](spark, str(tmp_path)).select("l_partkey", "stored", "winner", "drift").collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_match_score_asks_for_every_part(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(9)
+    names = ["red bolt", "blue bolt", "red nut", "old ring", "!", None]
+    parts = [(rng.choice([*range(1, 90), None]), rng.choice(names), rng.choice(["A", "B", None]), rng.choice([1, 4, 9, 30, None])) for _ in range(150)] + [(99, "red bolt", "C", 1)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["match_score"]).select("p_partkey", "best", "score").fetchall()
+    got = catalog.queries()["match_score"](spark, str(tmp_path)).select("p_partkey", "best", "score").collect()
+    assert sum(k % 20 > 0 for k, *_ in want) > 40
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
