@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions import scalar as sc
 from marlstone.functions import text as tx
 from marlstone.operators import census as ce
-from marlstone.operators.joins import spread_join
+from marlstone.operators.joins import block_pairs, unpacked
 from marlstone.plans.catalog import register, table
 
 R4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -247,11 +247,12 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, {R4.format("CASE WHEN a.p_name = b.p_
 {R4.format("CASE WHEN a.p_name = b.p_name THEN 1.0 ELSE 1 - levenshtein(a.p_name, b.p_name)::DOUBLE / greatest(length(a.p_name), length(b.p_name)) END")} AS bounded
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def name_similarity(spark, sf):
-    part = table(spark, sf, "part")
-    side = lambda k, n: part.select("p_brand", "p_size", F.col("p_partkey").alias(k), F.col("p_name").alias(n))
-    x, y, d = F.col("x"), F.col("y"), F.col("d")
-    pairs = spread_join(side("a", "x"), side("b", "y"), ["p_brand", "p_size"]).filter("a < b").select("a", "b", "x", "y", F.levenshtein(x, y).alias("d"))
-    return pairs.select("a", "b", sc.round_up(sc.name_ratio(x, y, d), 4).alias("ratio"), sc.round_up(sc.name_similarity(x, y, d), 4).alias("bounded"))
+    """The names of two classes of equal (artist, size, name) are compared once for all pairs of their rows."""
+    part = table(spark, sf, "part").select("p_brand", "p_size", "p_name", F.col("p_partkey").alias("k")).filter("k IS NOT NULL")
+    x, y, d = F.col("x.p_name"), F.col("y.p_name"), F.col("d")
+    classes = block_pairs(part, ["p_brand", "p_size"], ["p_name"], ["k"]).withColumn("d", F.levenshtein(x, y))
+    scored = classes.withColumns({"ratio": sc.round_up(sc.name_ratio(x, y, d), 4), "bounded": sc.round_up(sc.name_similarity(x, y, d), 4)})
+    return unpacked(scored, ["ratio", "bounded"], ["k"], "k").select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), "ratio", "bounded")
 
 
 @register("version_parse", """

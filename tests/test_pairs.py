@@ -93,3 +93,21 @@ def test_match_score_asks_for_every_part(spark, tmp_path):
     got = catalog.queries()["match_score"](spark, str(tmp_path)).select("p_partkey", "best", "score").collect()
     assert sum(k % 20 > 0 for k, *_ in want) > 40
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+
+
+def test_names_of_equal_rows_are_compared_once_a_block(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(joins.block_pairs, "__defaults__", (8, 30))
+    rng = random.Random(6)
+    parts = [(rng.choice([*range(250), None]), rng.choice(["red bolt", "blue bolt", "", None]), rng.choice(["A", "A", "A", "B", None]), rng.choice([1, 1, 1, 4, None])) for _ in range(400)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["name_similarity"]).select("a", "b", "ratio", "bounded").fetchall()
+    got = catalog.queries()["name_similarity"](spark, str(tmp_path)).select("a", "b", "ratio", "bounded").collect()
+    assert len(want) > 5_000
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    part = spark.read.parquet(f"{tmp_path}/part.parquet").filter("p_partkey IS NOT NULL")
+    blocks = joins.block_pairs(part, ["p_brand", "p_size"], ["p_name"], ["p_partkey"])
+    assert blocks.count() < len(want) / 10
+    assert blocks.select(F.spark_partition_id()).distinct().count() > 4
