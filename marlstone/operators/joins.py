@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.session import materialise
@@ -49,34 +49,43 @@ def spread_join(left: DataFrame, right: DataFrame, key: list[str], pairs: int =
     return left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).drop("__salt")
 
 
-def block_pairs(df: DataFrame, group: list[str], alike: list[str], row: list[str], most: int = 256, side: int = 3_000) -> DataFrame:
-    """Every two rows of a group once, as pairs of blocks: ``x, y`` (structs of ``alike``), ``p, q`` (arrays of ``row``: structs, or the values of a single column, which must not be null), ``same``.
+def cell_join(rows: DataFrame, group: list[str], key: str, columns: list[str], size: Column, side: int = 3_000) -> DataFrame:
+    """Every two rows of a group once, in either order, and each with itself: ``columns`` and ``key`` of one, of the other as ``other_...``.
+
+    Groups are cut into stripes of rows whose ``size`` adds up to about ``side``, and each two stripes
+    meet in a cell of their own, so a row is sent once a stripe; tasks are as many as the pairs, counted
+    by ``size``, ask for. Two rows of one key meet in one order or both. Nulls in ``group`` match
+    nothing. ``rows`` is read three times.
+    """
+    sizes = rows.groupBy(*group).agg(F.sum(size).alias("n"))
+    total = sizes.agg(F.sum(F.col("n") * F.col("n")).alias("t")).first()["t"] or 1
+    large = small_side(sizes.filter(F.col("n") > side).select(*group, F.ceil(F.col("n") / side).alias("of")), 100_000)
+    placed = rows.join(large, group, "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("at", F.pmod(F.xxhash64(key), "of"))
+    tasks, on = -(-total // (2 * side * side)), [*group, "i", "j"]
+    left = placed.select(*group, key, *columns, F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"))
+    right = placed.select(*group, *[F.col(c).alias(f"other_{c}") for c in (key, *columns)], F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
+    # Merged, as a hash table is slow where a key has thousands of rows.
+    met = left.repartition(tasks, *on).join(right.repartition(tasks, *on).hint("merge"), on)
+    return met.filter((F.col("i") < F.col("j")) | (F.col(key) <= F.col(f"other_{key}"))).drop("i", "j")
+
+
+def block_pairs(df: DataFrame, group: list[str], alike: list[str], row: str, most: int = 256, side: int = 3_000) -> DataFrame:
+    """Every two rows of a group once, as pairs of blocks: ``x, y`` (structs of ``alike``), ``p, q`` (arrays of ``row``, whose nulls go), ``same``.
 
     A block holds about ``most`` rows that agree in ``alike``, so what follows from ``x`` and ``y`` is
     worked out once for all pairs of two blocks; :func:`unpacked` gives the rows. A block meets itself
-    with ``same``. Groups are cut into stripes of about ``side`` rows and each two stripes meet in a
-    cell of their own; tasks are as many as the counted pairs ask for. Nulls in ``group`` match nothing.
+    with ``same``. Blocks meet by :func:`cell_join`.
     """
-    rows = df.dropna(subset=group).select(*group, F.struct(*alike).alias("x"), (F.struct(*row) if len(row) > 1 else F.col(row[0])).alias("r"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    rows = df.dropna(subset=group).select(*group, F.struct(*alike).alias("x"), F.col(row).alias("r"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
     full = rows.groupBy(*group, "x").agg(F.count("*").alias("n")).filter(F.col("n") > most).withColumn("of", F.ceil(F.col("n") / most)).drop("n")
     dealt = rows.join(small_side(full, 100_000), [*group, "x"], "left").withColumn("part", F.pmod("deal", F.coalesce("of", F.lit(1))))
     packed = dealt.groupBy(*group, "x", "part").agg(F.collect_list("r").alias("p")).withColumn("id", F.monotonically_increasing_id())
-    blocks = materialise(packed.select(*group, "x", "p", "id"))
-    sizes = blocks.groupBy(*group).agg(F.sum(F.size("p")).alias("n"))
-    total = sizes.agg(F.sum(F.col("n") * F.col("n")).alias("t")).first()["t"] or 1
-    large = small_side(sizes.filter(F.col("n") > side).select(*group, F.ceil(F.col("n") / side).alias("of")), 100_000)
-    placed = blocks.join(large, group, "left").withColumn("of", F.coalesce("of", F.lit(1))).withColumn("at", F.pmod(F.xxhash64("id"), "of"))
-    tasks, on = -(-total // (2 * side * side)), [*group, "i", "j"]
-    left = placed.select(*group, "x", "p", "id", F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"))
-    right = placed.select(*group, F.col("x").alias("y"), F.col("p").alias("q"), F.col("id").alias("other"), F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"))
-    met = left.repartition(tasks, *on).join(right.repartition(tasks, *on), on).filter((F.col("i") < F.col("j")) | (F.col("id") <= F.col("other")))
-    return met.withColumn("same", F.col("id") == F.col("other")).select(*group, "x", "y", "p", "q", "same")
-
-
-def unpacked(blocks: DataFrame, keep: list[str], row: list[str], key: str) -> DataFrame:
-    """The pairs of rows of :func:`block_pairs`, a column ``a_`` and ``b_`` for each of ``row``, with ``a_key`` < ``b_key``; and ``keep`` of the blocks."""
-    opened = lambda s: (F.inline(s) if len(row) > 1 else F.explode(s)).alias(*[f"{s}_{c}" for c in row])
-    both = blocks.select(*keep, "q", "same", opened("p")).select(*keep, "same", *[f"p_{c}" for c in row], opened("q"))
-    p, q = F.col(f"p_{key}"), F.col(f"q_{key}")
-    pairs = both.filter((p < q) | (~F.col("same") & (p > q)))
-    return pairs.select(*keep, *[F.when(p < q, F.col(f"{s}_{c}")).otherwise(F.col(f"{t}_{c}")).alias(f"{to}_{c}") for to, s, t in (("a", "p", "q"), ("b", "q", "p")) for c in row])
+    met = cell_join(materialise(packed.select(*group, "x", "p", "id")), group, "id", ["x", "p"], F.size("p"), side)
+    return met.select(*group, "x", F.col("other_x").alias("y"), "p", F.col("other_p").alias("q"), (F.col("id") == F.col("other_id")).alias("same"))
+
+
+def unpacked(blocks: DataFrame, keep: list[str]) -> DataFrame:
+    """The pairs of rows of :func:`block_pairs` as ``a < b``, with ``keep`` of their blocks."""
+    both = blocks.select(*keep, "q", "same", F.explode("p").alias("p")).select(*keep, "same", "p", F.explode("q").alias("q"))
+    pairs = both.filter((F.col("p") < F.col("q")) | (~F.col("same") & (F.col("p") > F.col("q"))))
+    return pairs.select(*keep, F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))

@@ -248,11 +248,11 @@ SELECT a.p_partkey AS a, b.p_partkey AS b, {R4.format("CASE WHEN a.p_name = b.p_
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def name_similarity(spark, sf):
     """The names of two classes of equal (artist, size, name) are compared once for all pairs of their rows."""
-    part = table(spark, sf, "part").select("p_brand", "p_size", "p_name", F.col("p_partkey").alias("k")).filter("k IS NOT NULL")
+    part = table(spark, sf, "part").select("p_brand", "p_size", "p_name", "p_partkey")
     x, y, d = F.col("x.p_name"), F.col("y.p_name"), F.col("d")
-    classes = block_pairs(part, ["p_brand", "p_size"], ["p_name"], ["k"]).withColumn("d", F.levenshtein(x, y))
+    classes = block_pairs(part, ["p_brand", "p_size"], ["p_name"], "p_partkey").withColumn("d", F.levenshtein(x, y))
     scored = classes.withColumns({"ratio": sc.round_up(sc.name_ratio(x, y, d), 4), "bounded": sc.round_up(sc.name_similarity(x, y, d), 4)})
-    return unpacked(scored, ["ratio", "bounded"], ["k"], "k").select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), "ratio", "bounded")
+    return unpacked(scored, ["ratio", "bounded"]).select("a", "b", "ratio", "bounded")
 
 
 @register("version_parse", """

@@ -108,6 +108,23 @@ def test_names_of_equal_rows_are_compared_once_a_block(spark, tmp_path, monkeypa
     assert len(want) > 5_000
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
     part = spark.read.parquet(f"{tmp_path}/part.parquet").filter("p_partkey IS NOT NULL")
-    blocks = joins.block_pairs(part, ["p_brand", "p_size"], ["p_name"], ["p_partkey"])
+    blocks = joins.block_pairs(part, ["p_brand", "p_size"], ["p_name"], "p_partkey")
     assert blocks.count() < len(want) / 10
     assert blocks.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_twins_of_one_stem_meet_once_in_cells(spark, tmp_path, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(joins.cell_join, "__defaults__", (20,))
+    rng = random.Random(7)
+    stem = "x" * 24
+    texts = [stem, stem + "a", stem + "b", "other", None]
+    docs = [(rng.choice([*range(300), None]), rng.choice(texts[:3] * 4 + texts), rng.choice(["en", "en", "de", None]), rng.choice([1, 2, None])) for _ in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(catalog.oracle_sql()["twin_verdict"]).select("original", "twin", "verdict").fetchall()
+    frame = catalog.queries()["twin_verdict"](spark, str(tmp_path)).select("original", "twin", "verdict")
+    assert len(want) > 10_000
+    assert sorted(repr(tuple(r)) for r in frame.collect()) == sorted(map(repr, want))
+    assert frame.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < len(want) / 4
